@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import line_dedup, mixing, url_filter
+from millrace.llm import jaccard, language, line_dedup, mixing, pieces, topk, url_filter, warc
 
-MODULES = (line_dedup, mixing, url_filter)
+MODULES = (jaccard, line_dedup, mixing, topk, url_filter, language, pieces, warc)
 
 
 def queries() -> dict:
