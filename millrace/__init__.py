@@ -1,0 +1 @@
+"""A relational, text-aggregation and vertex-program engine on Spark DataFrames."""
