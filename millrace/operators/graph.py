@@ -34,7 +34,7 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, tolerance: flo
     program = VertexProgram(
         init={"rank": F.lit(1.0)},
         apply=lambda step, seen: {"rank": F.lit(1.0) if step == 0 else F.lit(0.15) + F.lit(0.85) * F.coalesce("msg", F.lit(0.0))},
-        send=F.col("rank") / F.col("out_degree"),
+        send=F.try_divide("rank", "out_degree"),
         combine=F.sum,
         aggregates={"change": F.sum(F.abs(F.col("rank") - F.col("_rank")))},
         stop=lambda step, seen: step >= 2 and seen["change"] < tolerance or max_steps is not None and step > max_steps,

@@ -1,0 +1,81 @@
+import numpy as np
+from conftest import rows
+from pyspark.sql import functions as F
+
+from millrace.functions import COMPARISONS, compare, decimal_format, fields, number, tokens, uniform_pick
+from millrace.operators import relational
+from millrace.sources import cells_of_groups, wide_cells, write_table
+from millrace.spec import Ref, parse
+
+
+def tables(spark):
+    r = spark.createDataFrame([(1, "a", 2.5), (1, "b", 3.5), (2, "c", 1.0), (3, "d", None), (None, "e", 9.0)], "k int, t string, v double")
+    s = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "k int, u string")
+    return {"r": r, "s": s}.__getitem__
+
+
+def test_joins_keep_bags(spark):
+    want = [(1, "x", "a"), (1, "x", "b"), (1, "y", "a"), (1, "y", "b"), (3, "z", "d")]
+    for how in ("hash", "sort"):
+        assert rows(relational.run("R=r S=s join:R0=S0 res:S1,R1", tables(spark), how)) == want
+    plan = relational.run("R=r S=s join:R0=S0 res:S1", tables(spark), "sort")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan
+    assert "ShuffledHashJoin" in relational.run("R=r S=s join:R0=S0 res:S1", tables(spark))._jdf.queryExecution().toString()
+
+
+def test_cells_number_matches(spark):
+    got = rows(relational.run_cells("R=r S=s join:R0=S0 res:R1,S1", tables(spark), "sort", r_order=["t"], s_order=["u"]))
+    assert ("1", "res", "R1", "a") in got and ("1", "res", "S1.1", "y") in got and ("1", "res", "R1.2", "b") in got and len(got) == 10
+    got = rows(relational.run_cells("R=r S=s join:R0=S0 res:R1,S1", tables(spark), "hash", r_order=["t"], s_order=["u"]))
+    assert ("1", "res", "R1.1", "b") in got and ("1", "res", "S1.2", "y") in got
+
+
+def test_groups(spark):
+    df = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("b", 1.25), ("b", 1.0)], "k string, v double")
+    q = parse("R=x groupby:R0 res:count,avg(R1),max(R1)")
+    assert rows(relational.group_by(df, q)) == [("a", 2, 0.5, 0.5), ("b", 2, 1.125, 1.25)] == rows(relational.group_by(df, q, exact=True))
+    cells = cells_of_groups(relational.group_by(df, q), "key", {a.name: a.name for a in q.res})
+    assert {(r.row_key, r.qualifier): r.value for r in cells.collect()} == {("a", "count"): "2", ("a", "avg(R1)"): ".50", ("a", "max(R1)"): "0.5", ("b", "count"): "2", ("b", "avg(R1)"): "1.12", ("b", "max(R1)"): "1.25"}
+    wide = {r.row_key: r.cells for r in wide_cells(cells).collect()}
+    assert wide["b"] == {"count": "2", "avg(R1)": "1.12", "max(R1)": "1.25"}
+    write_table(cells, "Result")
+    write_table(cells, "Result", keep=True)
+    assert spark.table("Result").count() == 12
+    spark.sql("DROP TABLE Result")
+
+
+def test_filters_compare_floats(spark):
+    values = [0.05, 0.1, 901.1, 5.0, 4.999999999, 5.000001, -3.25, 0.0, 16777217.0, float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for op, f in COMPARISONS.items():
+        for c in (5, 0.05, 901.1, -3.25, 0, 16777216):
+            want = {i for i, v in enumerate(values) if v is not None and v == v and f(np.float32(v), np.float32(c))}
+            got = {r.i for r in df.where(compare(F.col("v"), op, c)).collect()}
+            assert got - {9} == want, (op, c)
+
+
+def test_filter_reaches_the_scan(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    plan = relational.filtered(df, Ref("R", 4), "lt", 5).select("l_quantity")._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(l_quantity" in plan
+
+
+def test_distinct(spark):
+    df = spark.createDataFrame([("ab", 1, 9.0), ("a", 1, 9.0), ("a", 1, 9.0), ("z", 2, 1.0)], "x string, y int, v double")
+    got = relational.run("R=t select:R2,gt,5 distinct:R0", lambda _: df, "sort")
+    assert rows(got) == [("a", 1), ("ab", 0)]  # `ab|` sorts before `a|`
+    assert rows(relational.run("R=t select:R2,gt,5 distinct:R0,R1", lambda _: df)) == [("a", 1), ("ab", 1)]
+    assert rows(relational.run("R=t select:R2,gt,50 distinct:R0", lambda _: df, "sort")) == []
+    many = spark.range(3000).select(F.concat(F.lit("pre"), (F.col("id") % 700).cast("string")).alias("x"), F.lit(9.0).alias("v"))
+    got = {r.R0: r["rank"] for r in relational.run("R=t select:R1,gt,5 distinct:R0", lambda _: many, "sort").collect()}
+    assert got == {k: i for i, k in enumerate(sorted((f"pre{i}" for i in range(700)), key=lambda k: f"{k}|"))}
+
+
+def test_scalars(spark):
+    one = spark.range(1)
+    pick = lambda c: one.select(c).first()[0]
+    assert pick(fields(F.lit("a|b||c|||"))) == ["a", "b", "", "c"]
+    assert pick(number(F.lit("x1"))) is None and pick(number(F.lit(" 1.5 "))) == 1.5
+    assert pick(tokens(F.lit("  a\tb\n\nc "))) == ["a", "b", "c"]
+    assert pick(decimal_format(F.lit(0.125), 2)) == ".12" and pick(decimal_format(F.lit(12.3), 3)) == "12.300"
+    assert pick(uniform_pick(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(7))) in (1, 2, 3)
