@@ -19,7 +19,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

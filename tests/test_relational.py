@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from millrace.functions import COMPARISONS, compare, decimal_format, fields, number, tokens, uniform_pick

@@ -1,6 +1,6 @@
 import struct
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from millrace.operators.textagg import pair_stats, word_count, word_lines
