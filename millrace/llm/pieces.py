@@ -5,17 +5,21 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import table
+from millrace.llm.words import span_hashes
 
 MARK = "▁"
-#: Chunks of text whose encoding a worker keeps.
-CACHE = 150_000
+#: Chunks of text whose ids a worker keeps (a power of two), if they have at most so many.
+SLOTS, WIDE = 1 << 20, 10
+#: Bytes of text, or ids, that are looked up at once, about.
+AT_ONCE = 1_500_000
 #: Adjacent pairs whose compatibility a worker keeps.
-PAIRS = 1_000_000
+PAIRS = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -57,7 +61,8 @@ class PieceCodec:
         if any(not self.chars.issuperset(p) for p in many):
             raise ValueError("a piece holds a character that is no piece")
         split = not any(MARK in p.lstrip(MARK) for p in many)
-        self.chunk = re.compile(f"{MARK}+[^{MARK}\n\t]*|[^{MARK}\n\t]+|[\n\t]" if split and not any(c in p for p in many for c in "\n\t") else "(?s).+").findall
+        self.cut = split and not any(c in p for p in many for c in "\n\t")
+        self.chunk = re.compile(f"{MARK}+[^{MARK}\n\t]*|[^{MARK}\n\t]+|[\n\t]" if self.cut else "(?s).+").findall
         self.own = own if own is not None else [i for p, i in self.ids.items() if self.merge(p) == [i]]
         self.auto, real = ahocorasick.Automaton(), {pieces[i]: i for i in self.own}
         self.shorter = {}
@@ -82,10 +87,11 @@ class PieceCodec:
         return [self.ids[p] for p in parts]
 
     def fits(self, a: int, b: int) -> bool:
-        if (v := self.pairs.get((a, b))) is None:
+        key = a << 20 | b
+        if (v := self.pairs.get(key)) is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            v = self.pairs[a, b] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
+            v = self.pairs[key] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return v
 
     def known(self, s: str) -> list[int]:
@@ -155,27 +161,76 @@ class PieceCodec:
             yield r.decode()
 
 
-class _Chunks(dict):
+class Encoder:
+    """Encodes many texts at once. The ids of the chunks seen last are kept in a table of fixed size, at the
+    place that the low bits of a chunk's hash give; chunks of more than WIDE ids are not kept."""
+
     def __init__(self, codec: PieceCodec):
-        super().__init__()
         self.codec = codec
-
-    def __missing__(self, chunk: str) -> bytes:
-        import numpy as np
-
-        out = np.array(self.codec.encode_chunk(chunk), "<i4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+        self.keys, self.sizes, self.ids = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int8), np.zeros((SLOTS, WIDE), np.uint16 if len(codec.pieces) <= 1 << 16 else np.int32)
+
+    def encode(self, texts: list[str], last: list[int]):
+        """(ids of all texts one after the other, where each text's begin). `last` ends each text."""
+        plain = [k for k, t in enumerate(texts) if t and self.codec.cut and MARK not in t]
+        spans, raw = [], {}
+        for k in plain:
+            raw[k] = b" " + texts[k].encode()  # the dummy prefix
+            b = np.frombuffer(raw[k], np.uint8)
+            own = (b == 9) | (b == 10)
+            begin = own | (b == 32)
+            begin[1:] = (begin[1:] & (own[1:] | (b[:-1] != 32))) | own[:-1]
+            start = np.flatnonzero(begin)
+            end = np.append(start[1:], len(b))
+            spans.append((span_hashes(b, start, end), start, end))
+        sizes, every, pieces = np.zeros(len(texts), np.int64), {}, []
+        if plain:
+            bounds = np.cumsum([0, *(len(h) for h, _, _ in spans)])
+            h, first, inverse = np.unique(np.concatenate([x[0] for x in spans]), return_index=True, return_inverse=True)
+            place = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+            n, flat, more = self.sizes[place].astype(np.int64), self.ids[place], {}
+            new = np.flatnonzero(self.keys[place] != h)
+            text = np.searchsorted(bounds, first[new], side="right") - 1
+            at = first[new] - bounds[text]
+            for u, t, k in zip(new.tolist(), text.tolist(), at.tolist(), strict=True):
+                ids = self.codec.encode_chunk(raw[plain[t]][spans[t][1][k] : spans[t][2][k]].decode().replace(" ", MARK))
+                n[u] = len(ids)
+                if len(ids) <= WIDE:
+                    flat[u, : len(ids)] = ids
+                else:
+                    more[u] = ids
+            keep = new[n[new] <= WIDE]
+            self.keys[place[keep]], self.sizes[place[keep]], self.ids[place[keep]] = h[keep], n[keep], flat[keep]
+            # All distinct chunks' ids in one row, then the texts' chunks from it.
+            start = np.cumsum(n) - n
+            row = np.zeros(int(n.sum()), np.int32)
+            narrow = np.flatnonzero(n <= WIDE)
+            inside = np.arange(WIDE)[None, :] < n[narrow][:, None]
+            row[(start[narrow][:, None] + np.arange(WIDE)[None, :])[inside]] = flat[narrow][inside]
+            for u, ids in more.items():
+                row[start[u] : start[u] + len(ids)] = ids
+            size = n[inverse]
+            ends = np.cumsum(size)
+            pieces = row[np.arange(int(ends[-1])) + np.repeat(start[inverse] - (ends - size), size)]
+            cuts = np.concatenate([[0], ends])[bounds]
+            every = {k: (cuts[i], cuts[i + 1]) for i, k in enumerate(plain)}
+        out = []
+        for k, t in enumerate(texts):
+            if k in every:
+                out.append(pieces[every[k][0] : every[k][1]])
+            else:
+                out.append(np.array([i for c in self.codec.chunks(t or "") for i in self.codec.encode_chunk(c)], np.int32))
+            out.append(np.array(last, np.int32))
+            sizes[k] = len(out[-2]) + len(last)
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
 
 _codecs: dict = {}
 
 
-def _codec(key: str, vocabulary) -> tuple[PieceCodec, _Chunks]:
+def _codec(key: str, vocabulary) -> Encoder:
     if key not in _codecs:
         v = vocabulary.value
-        _codecs[key] = (c := PieceCodec(v["pieces"], v["scores"], v["kinds"], v["own"]), _Chunks(c))
+        _codecs[key] = Encoder(PieceCodec(v["pieces"], v["scores"], v["kinds"], v["own"]))
     return _codecs[key]
 
 
@@ -187,22 +242,24 @@ def _vocabulary(spark, model_file: str):
 
 
 def _map(df: DataFrame, model_file: str, column: str, out: str, kind: T.DataType, each) -> DataFrame:
-    """`df` with `out` made from `column` by each(codec, chunks, values) -> Arrow array, batch by batch."""
+    """`df` with `out` made from `column` by each(encoder, values) -> Arrow array, batch by batch."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     names = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, kind)])
     vocabulary = _vocabulary(df.sparkSession, model_file)
 
     def run(batches):
-        codec, chunks = _codec(model_file, vocabulary)
+        encoder = _codec(model_file, vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, 64):  # a slice of rows bounds what stands in memory beside the batch
-                part = b.slice(at, 64)
-                if len(chunks) > CACHE:
-                    chunks.clear()
-                made = each(codec, chunks, part.column(column))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [made], names=[*names, out])
+            size = b.column(column).value_lengths() if pa.types.is_list(b.column(column).type) else pc.binary_length(b.column(column))
+            ends, lo = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False)), 0
+            while lo < b.num_rows:  # a slice of rows bounds what stands in memory beside the batch
+                done = ends[lo - 1] if lo else 0
+                part = b.slice(lo, max(1, int(np.searchsorted(ends, done + AT_ONCE, side="right")) - lo))
+                lo += part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [each(encoder, part.column(column))], names=[*names, out])
 
     return df.mapInArrow(run, schema)
 
@@ -211,19 +268,16 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", out_col: st
     """`docs` with `out_col`: the ids (array of int) that the sentencepiece library gives for the whole text,
     with an end id if `end` and without sampling. A column of that name is replaced.
 
-    Texts are cut where no piece can join the two sides, and a worker keeps the ids of the chunks it has
-    seen, up to CACHE. No shuffle; every row is handled alone, so repeated rows give equal results. Null
+    Texts are cut where no piece can join the two sides, each distinct chunk is encoded once for a batch, and
+    a worker keeps the ids of the chunks it saw last. No shuffle; every row is handled alone, so repeated rows give equal results. Null
     counts as empty; the empty text has the end id only.
     """
 
-    def each(codec, chunks, texts):
-        import numpy as np
+    def each(encoder, texts):
         import pyarrow as pa
 
-        last = np.array([codec.end] * end, "<i4").tobytes()
-        got = [b"".join([chunks[c] for c in codec.chunks(t or "")]) + last for t in texts.to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype("i4")
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
+        ids, ends = encoder.encode(texts.to_pylist(), [encoder.codec.end] * end)
+        return pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))
 
     return _map(docs, model_file, text_col, out_col, T.ArrayType(T.IntegerType()), each)
 
@@ -232,10 +286,15 @@ def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", out_col: str
     """`rows` with `out_col`: the text that the library's decode(ids) gives. A column of that name is
     replaced. Null ids give the empty text; null elements are skipped; ids outside the vocabulary raise."""
 
-    def each(codec, chunks, lists):
+    def each(encoder, lists):
         import pyarrow as pa
 
-        return pa.array([codec.decode([i for i in x if i is not None] if x else []) for x in lists.to_pylist()], pa.string())
+        flat = lists.flatten()
+        if flat.null_count:
+            return pa.array([encoder.codec.decode([i for i in x if i is not None] if x else []) for x in lists.to_pylist()], pa.string())
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends, ids = np.cumsum(size), flat.to_numpy().tolist()
+        return pa.array([encoder.codec.decode(ids[e - n : e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)], pa.string())
 
     return _map(rows, model_file, ids_col, out_col, T.StringType(), each)
 

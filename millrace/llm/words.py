@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: Bytes that are hashed in one go; a longer text is cut at a blank.
+#: Bytes that are hashed in one go; a longer text is cut between spans.
 SPAN = 1 << 20
 #: An odd multiplier of powers modulo 2^64, and its inverse.
 FACTOR = 0x9E3779B97F4A7C15
@@ -33,42 +33,34 @@ def _powers(n: int):
 
 
 def word_hashes(raw: bytes):
-    """(64-bit hashes, starts, ends) of the words of UTF-8 bytes: runs of [^\\x20\\x09-\\x0D].
-
-    A word's hash is its bytes' polynomial modulo 2^64, taken from one running sum over the text, mixed
-    with its length."""
+    """(64-bit hashes, starts, ends) of the words of UTF-8 bytes: runs of [^\\x20\\x09-\\x0D]."""
     import numpy as np
 
-    if len(raw) <= SPAN:
-        return _hashes(np.frombuffer(raw, np.uint8))
-    parts, at = [], 0
-    blank = _powers(1)[2]
     b = np.frombuffer(raw, np.uint8)
-    while at < len(b):
-        end = min(len(b), at + SPAN)
-        if end < len(b):
-            gaps = np.flatnonzero(blank[b[at:end]])
-            if len(gaps):
-                end = at + int(gaps[-1]) + 1
-            else:  # one word is longer: to its end
-                while end < len(b) and not (more := np.flatnonzero(blank[b[end : end + SPAN]])).size:
-                    end = min(len(b), end + SPAN)
-                end = end + int(more[0]) if end < len(b) else end
-        h, s, e = _hashes(b[at:end])
-        parts.append((h, s + at, e + at))
-        at = end
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    word = np.zeros(len(b) + 2, np.int8)
+    word[1:-1] = ~_powers(1)[2][b]
+    edge = np.diff(word)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return span_hashes(b, start, end), start, end
 
 
-def _hashes(b):
+def span_hashes(b, start, end):
+    """A 64-bit hash of the bytes of each span; spans follow each other. It is the bytes' polynomial modulo
+    2^64, taken from one running sum over the text (over pieces of SPAN bytes, if it is longer), mixed with
+    the span's length."""
     import numpy as np
 
-    up, down, blank = _powers(len(b) + 1)
-    word = np.zeros(len(b) + 2, np.int8)
-    word[1:-1] = ~blank[b]
-    edge = np.diff(word)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))), start, end
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    out, k = [], 0
+    while k < len(start):
+        lo = int(start[k])
+        n = max(k + 1, int(np.searchsorted(end, lo + SPAN, side="right")))
+        hi = int(end[n - 1])
+        up, down, _ = _powers(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((b[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
+        s, e = start[k:n] - lo, end[k:n] - lo
+        out.append(mix((total[e] - total[s]) * down[s] ^ ((e - s).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))))
+        k = n
+    return np.concatenate(out)
