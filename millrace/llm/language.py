@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.llm.pieces import MARK, default_model, load_pieces
+from millrace.llm.words import FACTOR, word_hashes
 
-#: Words whose scores a worker keeps.
-CACHE = 200_000
+#: Words whose scores a worker keeps; a power of two.
+CACHE = 1 << 20
 #: Longer words are scored by the running forward pass, which rescales.
 LONG = 40
+#: Words in one block of the forward pass, and characters of text, about, whose words are looked up at once.
+BLOCK, CHARS = 16_384, 1_500_000
+#: What stands between words, a line end, is in none.
+GAP = 10
+#: Bits of the tables of pieces' beginnings.
+TABLE = 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -23,86 +30,119 @@ def held_out(id_col: str, modulus: int, remainder: int):
 
 
 class Segmenter:
-    """All segmentations of words into pieces of a fixed vocabulary."""
+    """All segmentations of many words into pieces of a fixed vocabulary, at once.
 
-    def __init__(self, pieces: list[str]):
-        import ahocorasick
-
-        self.auto = ahocorasick.Automaton()
-        for i, p in enumerate(pieces):
-            self.auto.add_word(p, (i, len(p)))
-        self.auto.make_automaton()
-        self.chars = {p for p in pieces if len(p) == 1}
-
-    def arcs(self, word: str) -> list[tuple[int, int, int]]:
-        """(end, start, piece) of each match, by end. Characters outside the vocabulary match nothing."""
-        return [(e + 1, e + 1 - n, i) for e, (i, n) in self.auto.iter(word)]
+    Words stand one after the other as code points with a gap between. Windows grow by one character from
+    every position, under a rolling hash, as long as a table says that some piece may begin so; windows that
+    are pieces are the arcs (word, begin, length, piece). Characters that are no piece say nothing about a
+    language here, and are left out.
+    """
 
-    def clean(self, word: str) -> str:
-        """Characters outside the vocabulary say nothing about the language here, and are left out."""
-        return word if self.chars.issuperset(word) else "".join(c for c in word if c in self.chars)
+    def __init__(self, pieces: list[str]):
+        cps = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in pieces]
+        self.known, self.longest = np.zeros(0x110000, bool), max(map(len, cps))
+        self.known[[c[0] for c in cps if len(c) == 1]] = True
+        self.begins, self.ends = np.zeros(1 << TABLE, bool), np.zeros(1 << TABLE, bool)
+        hashes = np.zeros(len(cps), np.uint64)
+        for i, c in enumerate(cps):
+            h = 0
+            for x in c.tolist():
+                h = (h + x) * FACTOR % 2**64
+                self.begins[h >> (64 - TABLE)] = True
+            self.ends[h >> (64 - TABLE)] = True
+            hashes[i] = h
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def arcs(self, words: list[str]):
+        """(lengths of the words, then word, begin, length and piece of every arc)."""
+        cp = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), np.uint32)
+        cp = cp[self.known[cp] | (cp == GAP)]
+        gaps = np.flatnonzero(cp == GAP)
+        first = np.concatenate([[0], gaps[:-1] + 1])
+        word = np.repeat(np.arange(len(words)), gaps - first + 1)
+        at, found = np.flatnonzero(cp != GAP), []
+        wide = cp.astype(np.uint64)
+        h = np.zeros(len(at), np.uint64)
+        for n in range(1, self.longest + 1):
+            c = wide[at + (n - 1)]
+            h = (h + c) * np.uint64(FACTOR)
+            top = h >> np.uint64(64 - TABLE)
+            on = self.begins[top] & (c != GAP)
+            hit = np.flatnonzero(on & self.ends[top])
+            k = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
+            same = self.hashes[k] == h[hit]
+            found.append((at[hit[same]], np.full(int(same.sum()), n), self.order[k[same]]))
+            at, h = at[on], h[on]
+            if not len(at):
+                break
+        begin, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        return gaps - first, word[begin], begin - first[word[begin]], length, piece
+
+    def steps(self, words: list[str]):
+        """The words' lengths, and the arcs by their end and length: (end, words, begins, pieces). No two of
+        one step belong to the same word."""
+        size, word, begin, length, piece = self.arcs(words)
+        key = ((begin + length) * 32 + length).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]])
+        parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+        return size, [(int(begin[p[0]] + length[p[0]]), word[p], begin[p], piece[p]) for p in parts]
 
     def forward(self, words: list[str], probs):
         """Natural log of the sum over segmentations of the product of the pieces' probabilities, for each
         word (row) and language (column of probs)."""
-        import numpy as np
-
         out = np.zeros((len(words), probs.shape[1]))
-        short, rows = [], []
-        for k, w in enumerate(words):
-            w = self.clean(w)
-            if len(w) > LONG:
-                out[k] = self.running(w, probs)
-            elif w:
-                short.append((k, w))
-                rows += [(len(short) - 1, *a) for a in self.arcs(w)]
-        if short:
-            arc = np.array(rows, np.int64)
-            arc = arc[np.lexsort((arc[:, 0], arc[:, 1]))]
-            alpha = np.zeros((len(short), max(len(w) for _, w in short) + 1, probs.shape[1]))
-            alpha[:, 0] = 1.0
-            for part in np.split(arc, np.flatnonzero(np.diff(arc[:, 1])) + 1):
-                step = alpha[part[:, 0], part[:, 2]] * probs[part[:, 3]]
-                first = np.concatenate([[0], np.flatnonzero(np.diff(part[:, 0])) + 1])
-                alpha[part[first, 0], part[0, 1]] = np.add.reduceat(step, first)
-            at = np.array([k for k, _ in short])
-            out[at] = np.log(alpha[np.arange(len(short)), [len(w) for _, w in short]])
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        for k in set(range(len(words))) - set(short):
+            out[k] = self.running(words[k], probs)
+        for lo in range(0, len(short), BLOCK):
+            rows = short[lo : lo + BLOCK]
+            size, steps = self.steps([words[k] for k in rows])
+            out[rows] = np.log(self._alpha(size, steps, probs)[size, np.arange(len(rows))])
         return out
 
-    def running(self, word: str, probs):
-        """The same for one word of any length, holding only as many positions as a piece is long."""
-        import numpy as np
+    @staticmethod
+    def _alpha(size, steps, probs):
+        alpha = np.zeros((int(size.max(initial=0)) + 1, len(size), probs.shape[1]))
+        alpha[0] = 1.0
+        for end, word, begin, piece in steps:
+            alpha[end, word] += alpha[begin, word] * probs[piece]
+        return alpha
 
+    def running(self, word: str, probs):
+        """The same for one word of any length, rescaled as it goes."""
+        size, _, begin, length, piece = self.arcs([word])
+        order = np.argsort(begin + length, kind="stable")
         alpha, scale, seen = {0: np.ones(probs.shape[1])}, np.zeros(probs.shape[1]), 0
-        for end, start, piece in self.arcs(word):
+        for start, end, p in zip(begin[order].tolist(), (begin + length)[order].tolist(), piece[order].tolist(), strict=True):
             if end != seen:
                 top = alpha[seen]
                 scale += np.log(top)
                 alpha = {k: v / top for k, v in alpha.items() if k > end - 64}
                 seen = end
-            alpha[end] = alpha.get(end, 0.0) + alpha[start] * probs[piece]
-        return scale + np.log(alpha[seen])
-
-    def expected(self, counts: dict[str, float], prob, smooth: float):
-        """One EM step for one language: the pieces' expected counts over all segmentations, smoothed."""
-        import numpy as np
-
-        total = np.full(len(prob), smooth)
-        for w, c in counts.items():
-            arcs, n = self.arcs(w), len(w)
-            a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-            for e, s, i in arcs:
-                a[e] += a[s] * prob[i]
-            for e, s, i in reversed(arcs):
-                b[s] += b[e] * prob[i]
-            if a[n] > 0:
-                for e, s, i in arcs:
-                    total[i] += c * a[s] * prob[i] * b[e] / a[n]
-        return total / total.sum()
-
-
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+            alpha[end] = alpha.get(end, 0.0) + alpha[start] * probs[p]
+        return scale + np.log(alpha[int(size[0])])
+
+    def fit(self, words: list[str], counts, size: int, rounds: int, smooth: float):
+        """Piece probabilities of one language by EM: the pieces' expected counts over all segmentations of
+        the words, smoothed, again and again."""
+        blocks = [(np.asarray(counts[lo : lo + BLOCK], float), *self.steps(words[lo : lo + BLOCK])) for lo in range(0, len(words), BLOCK)]
+        prob = np.full((size, 1), 1.0 / size)
+        for _ in range(rounds):
+            total = np.full(size, smooth)
+            for count, n, steps in blocks:
+                rows = np.arange(len(n))
+                alpha = self._alpha(n, steps, prob)[..., 0]
+                beta = np.zeros_like(alpha)
+                beta[n, rows] = 1.0
+                weight = count / alpha[n, rows]
+                for end, word, begin, piece in reversed(steps):
+                    p = prob[piece, 0]
+                    np.add.at(total, piece, weight[word] * alpha[begin, word] * p * beta[end, word])
+                    beta[begin, word] += beta[end, word] * p
+            prob = (total / total.sum())[:, None]
+        return prob[:, 0]
 
 
 def fit_languages(docs: DataFrame, model_file: str, docs_per_lang: int = 150, rounds: int = 4, smooth: float = 0.02, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
@@ -112,8 +152,6 @@ def fit_languages(docs: DataFrame, model_file: str, docs_per_lang: int = 150, ro
     hash of the id is lowest, so that reruns agree. Their words are counted on the executors and fitted by
     EM, one task for each language; only piece probabilities reach the driver (languages x vocabulary).
     """
-    import numpy as np
-
     pieces = [p for p, k in zip(load_pieces(model_file)["pieces"], load_pieces(model_file)["kinds"], strict=True) if k == 1]
     vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
@@ -133,15 +171,12 @@ def fit_languages(docs: DataFrame, model_file: str, docs_per_lang: int = 150, ro
             rows = [(k, w, n) for k, t in zip(f["lang"], f["text"], strict=True) for w, n in _counter(t).items()]
             yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
-    def fit(frame):
+    def fit(key, frame):
         import pandas as pd
 
-        seg = Segmenter(vocabulary.value)
-        counts = {w: n for w, n in ((seg.clean(w), n) for w, n in zip(frame["word"], frame["n"], strict=True) if len(w) <= LONG) if w}
-        prob = np.full(len(vocabulary.value), 1.0 / len(vocabulary.value))
-        for _ in range(rounds):
-            prob = seg.expected(counts, prob, smooth)
-        return pd.DataFrame({"lang": frame["lang"].iloc[:1].repeat(len(prob)).values, "piece": np.arange(len(prob)), "p": prob})
+        frame = frame[frame["word"].str.len() <= LONG]
+        prob = Segmenter(vocabulary.value).fit(frame["word"].tolist(), frame["n"].tolist(), len(vocabulary.value), rounds, smooth)
+        return pd.DataFrame({"lang": [key[0]] * len(prob), "piece": np.arange(len(prob)), "p": prob})
 
     words = rows.where(kept).select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     probs = np.zeros((len(pieces), len(langs)))
@@ -152,18 +187,48 @@ def fit_languages(docs: DataFrame, model_file: str, docs_per_lang: int = 150, ro
 
 def _counter(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
-    for w in words_of(text):
-        out[MARK + w] = out.get(MARK + w, 0) + 1
+    for w in text.lower().encode().split():
+        w = MARK + w.decode()
+        out[w] = out.get(w, 0) + 1
     return out
 
 
+class Scorer:
+    """Words' scores in all languages. The last ones seen are kept in a table of fixed size, at the place
+    that the low bits of a word's hash give."""
+
+    def __init__(self, pieces: list[str], probs):
+        self.seg, self.probs = Segmenter(pieces), probs
+        self.keys, self.logs = np.zeros(CACHE, np.uint64), np.zeros((CACHE, probs.shape[1]))
+
+    def totals(self, texts: list[str]):
+        """The sum of the words' scores of each text."""
+        raw = [t.lower().encode() for t in texts]
+        hashes, start, end = zip(*(word_hashes(r) for r in raw), strict=True)
+        bounds = np.cumsum([0, *map(len, hashes)])
+        h, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        place = (h & np.uint64(CACHE - 1)).astype(np.int64)
+        logs = self.logs[place]
+        new = np.flatnonzero(self.keys[place] != h)
+        if len(new):
+            text = np.searchsorted(bounds, first[new], side="right") - 1
+            at = first[new] - bounds[text]
+            words = [MARK + raw[t][start[t][k] : end[t][k]].decode() for t, k in zip(text.tolist(), at.tolist(), strict=True)]
+            logs[new] = self.seg.forward(words, self.probs)
+            self.keys[place[new]], self.logs[place[new]] = h[new], logs[new]
+        out, every = np.zeros((len(texts), self.probs.shape[1])), logs[inverse]
+        some = np.flatnonzero(np.diff(bounds))
+        out[some] = np.add.reduceat(every, bounds[:-1][some]) if len(some) else 0.0
+        return out
+
+
 _models: dict = {}
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score (which replace columns so named), from `model` of fit_languages.
 
-    The text is lower-cased and split at white space; a word's probability in a language is the sum over
+    The text is lower-cased and split at blanks; a word's probability in a language is the sum over
     all its segmentations into pieces, and the language's posterior under equal priors is the score. `und`
     with score 0 if the text is null or has no letter, or nothing was learned. Ties go to the language
     that sorts first. Rows are handled alone: no shuffle, whole texts, repeated rows alike.
@@ -178,37 +243,26 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     key = id(table_)
 
     def run(batches):
-        import numpy as np
-
         if _models.get("key") != (key, tuple(langs)):
             _models.clear()
-            _models.update(key=(key, tuple(langs)), seg=Segmenter(vocabulary.value), at={}, logs=np.zeros((CACHE * 2, max(1, len(langs)))))
-        seg, at, logs, p = _models["seg"], _models["at"], _models["logs"], table_.value
+            _models.update(key=(key, tuple(langs)), scorer=Scorer(vocabulary.value, table_.value))
+        scorer = _models["scorer"]
         for b in batches:
-            for lo in range(0, b.num_rows, 32):
-                part = b.slice(lo, 32)
-                pred, score = [], []
-                for t in part.column(text_col).to_pylist():
-                    if not t or not langs or not LETTER.search(t):
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    total, words = np.zeros(len(langs)), words_of(t)
-                    for k in range(0, len(words), CACHE):
-                        some = words[k : k + CACHE]
-                        if new := list({w for w in some if w not in at}):
-                            if len(at) + len(new) > len(logs):
-                                at.clear()
-                                new = list(set(some))
-                            for j in range(0, len(new), 4000):
-                                block = new[j : j + 4000]
-                                logs[len(at) : len(at) + len(block)] = seg.forward([MARK + w for w in block], p)
-                                at.update(zip(block, range(len(at), len(at) + len(block)), strict=True))
-                        total += logs[np.fromiter(map(at.__getitem__, some), np.int64, len(some))].sum(axis=0)
-                    best = int(total.argmax())
-                    pred.append(langs[best])
-                    score.append(1.0 / sum(math.exp(max(x - total[best], -700.0)) for x in total))
+            lo = 0
+            while lo < b.num_rows:
+                hi, held, texts = lo, 0, []
+                while hi < b.num_rows and (hi == lo or held < CHARS):
+                    texts.append(b.column(text_col)[hi].as_py())
+                    held, hi = held + len(texts[-1] or ""), hi + 1
+                asked = [k for k, t in enumerate(texts) if t and langs and LETTER.search(t)]
+                pred, score = ["und"] * len(texts), [0.0] * len(texts)
+                if asked:
+                    for k, total in zip(asked, scorer.totals([texts[k] for k in asked]), strict=True):
+                        best = int(total.argmax())
+                        pred[k], score[k] = langs[best], 1.0 / float(np.exp(np.maximum(total - total[best], -700.0)).sum())
+                part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+                lo = hi
 
     return docs.mapInArrow(run, schema)
 
