@@ -9,64 +9,42 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, components, partitions, table
 from millrace.llm.groups import compare_groups, links_and_components
+from millrace.llm.words import FACTOR, mix, word_hashes
 
 WORDS = 5
 #: Runs that one pass over the texts samples.
-RUNS = 10
+RUNS = 20
 #: Hash values of a set that its sketch keeps.
 SKETCH = 64
-#: Word hashes that a worker keeps.
-CACHE = 1_000_000
-
-
-def mix(x):
-    """A bijection of 64-bit integers that spreads every bit (the finaliser of SplitMix64)."""
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Words(dict):
-    def __missing__(self, word):
-        import xxhash
-
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-
-_words = _Words()
-
 
 def shingles(text: str | None, words: int = WORDS):
-    """The sorted distinct hashes of a text's runs of `words` words (lower-cased, split at white space); a
-    shorter text that has words is one shingle."""
+    """The sorted distinct hashes of a text's runs of `words` words (lower-cased, split at blanks); a shorter
+    text that has words is one shingle."""
     import numpy as np
 
-    if len(_words) > CACHE:
-        _words.clear()
-    split = (text or "").lower().split()
-    h = np.fromiter(map(_words.__getitem__, split), np.uint64, len(split))
+    h = word_hashes((text or "").lower().encode())[0]
     if not len(h):
         return h
-    span, step = min(words, len(h)), np.uint64(0x9E3779B97F4A7C15)
+    span, step = min(words, len(h)), np.uint64(FACTOR)
     out = np.zeros(len(h) - span + 1, np.uint64)
     for k in range(span):
-        out = mix(out * step + h[k : k + len(out)])
-    return np.unique(out)
+        out = out * step + h[k : k + len(out)]
+    out = np.sort(mix(out ^ np.uint64(span)))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def chosen(h, seeds, lam: float):
-    """The children of the paths `seeds` for a set: the tokens whose hash under the path is among the
-    1 / (lam * size) smallest, so that two sets as similar as `lam` expect one token in common."""
+def chosen(h, paths, lam: float):
+    """The children of `paths` for a set: of its tokens those whose hash under the path, a product with an
+    odd number of the path's own, is among the 1 / (lam * size) smallest, so that two sets as similar as
+    `lam` expect one token in common. A child's name is mixed from path and token."""
     import numpy as np
 
-    limit = min(2**64 - 1, int(2**64 / (lam * len(h))))
+    limit, odd = np.uint64(min(2**64 - 1, int(2**64 / (lam * len(h))))), mix(paths) | np.uint64(1)
     got = []
-    for lo in range(0, len(h), 1 << 15):
-        v = mix(h[None, lo : lo + (1 << 15)] ^ seeds[:, None])
-        got.append(v[v <= np.uint64(limit)])
+    for lo in range(0, len(h), 1 << 14):
+        v = h[None, lo : lo + (1 << 14)] * odd[:, None]
+        row, col = np.nonzero(v <= limit)
+        got.append(mix(v[row, col] ^ paths[row]))
     return np.concatenate(got).view(np.int64)
 
 
@@ -136,7 +114,7 @@ def _sets(docs: DataFrame, threshold: float, words: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        seeds = mix(np.arange(1, RUNS + 1, dtype=np.uint64))
+        roots = np.arange(1, RUNS + 1, dtype=np.uint64)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part, n, node, sketch, kids = b.slice(lo, 512), [], [], [], []
@@ -146,7 +124,7 @@ def _sets(docs: DataFrame, threshold: float, words: int) -> DataFrame:
                     node.append(set_id(h) if len(h) else None)
                     sketch.append((h[:SKETCH] >> np.uint64(32)).astype(np.uint32))
                     sketch[-1] = np.unique(sketch[-1]).tobytes()
-                    kids.append(np.unique(chosen(h, seeds, threshold)) if len(h) else h.view(np.int64))
+                    kids.append(np.unique(chosen(h, roots, threshold)) if len(h) else h.view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in kids])]).astype("i4")
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kids)))], names=["doc", "n", "node", "sketch", "kids"])
 
@@ -164,8 +142,8 @@ def _split(rows: DataFrame, threshold: float, words: int) -> DataFrame:
             for t, node, grps in zip(*(b.column(c).to_pylist() for c in ("text", "node", "grps")), strict=True):
                 h = shingles(t, words)
                 if len(h) and set_id(h) == node:
-                    seeds = mix(np.array(grps, np.int64).view(np.uint64))
-                    kids = np.unique(np.concatenate([chosen(h, seeds[k : k + 16], threshold) for k in range(0, len(seeds), 16)]))
+                    paths = np.array(grps, np.int64).view(np.uint64)
+                    kids = np.unique(np.concatenate([chosen(h, paths[k : k + 16], threshold) for k in range(0, len(paths), 16)]))
                     yield pa.RecordBatch.from_arrays([pa.array(kids, pa.int64()), pa.array(np.full(len(kids), node), pa.int64())], names=["grp", "node"])
 
     return rows.mapInArrow(run, "grp long, node long")
@@ -180,7 +158,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
 
     Chosen paths: in every run, a set joins the buckets of the tokens that a hash of the path picks from it,
     about 1 / threshold of them. Buckets of more than `small` sets are split again by their sets' tokens, to
-    `max_depth`; then all are compared by brute force, in blocks, on sketches. A pair at the threshold
+    `max_depth`; then all are compared by brute force in blocks, on sketches. A pair at the threshold
     shares a bucket in one run with a probability that falls with the depth of the tree, 1 - exp(-1) at
     depth one; runs are repeated until none is missed with probability `recall`. The components of the
     candidates are compared exactly, text by text, in blocks, so no link has less than the threshold, and
