@@ -49,7 +49,23 @@ def roots_of(linked):
         label = new
 
 
-def compare_groups(members: DataFrame, compare: Callable, payload: list[str], per_block: int = 128, block_bytes: int = 4 << 20) -> DataFrame:
+def inner_roots(nodes, linked, cut: int):
+    """The smallest node of each component inside the two blocks nodes[:cut] and nodes[cut:], and which of
+    them links between the blocks join."""
+    import numpy as np
+
+    inside = linked.copy()
+    inside[:cut, cut:] = inside[cut:, :cut] = False
+    _, label = np.unique(roots_of(inside), return_inverse=True)
+    least = np.full(label.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, nodes)
+    a, b = np.nonzero(linked[:cut, cut:])
+    joined = np.zeros((len(least), len(least)), bool)
+    joined[label[a], label[b + cut]] = joined[label[b + cut], label[a]] = True
+    return least, joined
+
+
+def compare_groups(members: DataFrame, compare: Callable, payload: list[str], per_block: int = 128, block_bytes: int = 4 << 20, count: bool = True) -> DataFrame:
     """Compares all members of each group: `members` has grp long, node long, w long (weight), size long
     (bytes) and the payload columns. Returns (grp, node, links, root, blocks), a row for each node and block
     pair: the weight of the nodes it links with there, and the smallest node that links reach there.
@@ -58,6 +74,9 @@ def compare_groups(members: DataFrame, compare: Callable, payload: list[str], pe
     of blocks is a piece of work of its own, so a task never holds more than two blocks. Only sums and one
     root for each node are written, not pairs. compare(left columns, right columns, same) gives a boolean
     matrix. A node that stands twice in a group counts once.
+
+    Without `count`, links are not counted, and a pair of different blocks only gives how the components
+    inside the two blocks hang together: a row for each component of a block, not for each node.
     """
     spark = members.sparkSession
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(per_block)), F.ceil(F.sum("size") / F.lit(block_bytes)), F.lit(1)).cast("int")
@@ -85,10 +104,16 @@ def compare_groups(members: DataFrame, compare: Callable, payload: list[str], pe
                 cut = sum(own[k] == lo for k in keep)
                 if cut in (0, len(keep)):
                     continue
-                part = compare([c[:cut] for c in load], [c[cut:] for c in load], False)
-                full = np.zeros((len(keep), len(keep)), bool)
-                full[:cut, cut:] = part
-                full[cut:, :cut] = part.T
+                if count:
+                    part = compare([c[:cut] for c in load], [c[cut:] for c in load], False)
+                    full = np.zeros((len(keep), len(keep)), bool)
+                    full[:cut, cut:] = part
+                    full[cut:, :cut] = part.T
+                else:
+                    full = np.array(compare(load, load, True))
+                    np.fill_diagonal(full, False)
+                    nodes, full = inner_roots(nodes, full, cut)
+                    weight = np.zeros(len(nodes), np.int64)
             hit = np.flatnonzero(full.any(axis=1))
             if not len(hit):
                 continue

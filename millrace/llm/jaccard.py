@@ -199,7 +199,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
         for k, r in enumerate(ready):
             sketches = known.join(r.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
             members = r.join(sketches, "node").select("grp", "node", F.lit(1).cast("long").alias("w"), F.lit(4 * SKETCH).cast("long").alias("size"), "sketch", "n")
-            found = compare_groups(members, similar_sketches(threshold), ["sketch", "n"], per_block=small, block_bytes=1 << 30)
+            found = compare_groups(members, similar_sketches(threshold), ["sketch", "n"], per_block=small, block_bytes=1 << 30, count=False)
             found = work.write(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), f"edges-{batch}-{k}")
             edges = found if edges is None else edges.union(found)
         # A pair at the threshold survives a level with probability 1 - exp(-expected survivors).
