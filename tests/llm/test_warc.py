@@ -1,0 +1,77 @@
+import gzip
+import hashlib
+import json
+import zlib
+from pathlib import Path
+
+import pytest
+from helpers import rows
+
+from millrace.llm import warc
+
+PAGES = [(3, "http://a/é b\r\nx", "x" * 200), (1, None, "x" * 200), (7, "http://c", "x" * 200), (2, "http://d", "short"), (4, "http://e", "short"), (5, "http://f", None), (6, "http://g", ""), (8, "http://h", "é\r\n\r\nWARC/1.1\r\n" * 40), (9, "http://i", "y" * 99), (10, "http://i", "y" * 99), (11, "u", "z" * 3_000_000), (None, "n", "q" * 150), (12, "n", "q" * 150), (1, None, "x" * 200)]
+
+
+def brute(pages):
+    digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
+    first = {}
+    for i, _, h in pages:
+        if len((h or "").encode()) >= 100 and i is not None:
+            first[digest(h)] = min(i, first.get(digest(h), i))
+    out = []
+    for i, _, h in pages:
+        f = first.get(digest(h))
+        again = f is not None and f != i
+        out.append((i, len((h or "").encode()), digest(h), "revisit" if again else "response", f if again else None))
+    return sorted(out, key=repr)
+
+
+def test_round_trip(spark, tmp_path):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
+    archives = warc.archive_pages(df, f"file://{tmp_path}", archive_bytes=1000)
+    got = warc.read_archives(archives, f"file://{tmp_path}/warc")
+    assert rows(got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == brute(PAGES)
+    html = {i: (h or "") for i, _, h in PAGES}
+    for r in got.collect():
+        assert r.payload is None if r.record_type == "revisit" else bytes(r.payload).decode() == html[r.page_id]
+    assert {r.url for r in got.collect() if r.page_id in (1, 3)} == {None, "http://a/%C3%A9%20b%0D%0Ax"}
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame(PAGES[:10], "page_id long, url string, html string").coalesce(1)
+    warc.archive_pages(df, f"file://{tmp_path}")
+    (file,) = Path(tmp_path, "warc").glob("*.warc.gz")
+    index = [json.loads(x) for x in Path(f"{file}.idx").read_text().splitlines()]
+    raw, whole = file.read_bytes(), b""
+    assert [x["offset"] for x in index] == [0, *(x["offset"] + x["length"] for x in index[:-1])] and len(index) == 10
+    for x in index:
+        member = zlib.decompressobj(31)
+        part = member.decompress(raw[x["offset"] : x["offset"] + x["length"]])
+        assert member.eof and not member.unused_data and part.startswith(b"WARC/1.1\r\n") and part.endswith(b"\r\n\r\n")
+        whole += part
+    assert gzip.decompress(raw) == whole
+
+
+def test_normalises_any_members(spark, tmp_path):
+    """One member for two records, then a member of its own, as tools leave them."""
+    record = lambda i, body: warc.record_head(i, "http://x", len(body), hashlib.sha256(body).hexdigest(), "response", None, "2024-01-01T00:00:00Z") + body + b"\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.gz").write_bytes(gzip.compress(record(1, b"one") + record(2, b"")) + gzip.compress(record(3, b"\x00" * 700_000)))
+    done = warc.normalise(spark.createDataFrame([("a.gz", 3)], "archive string, records long"), f"file://{tmp_path}/in", f"file://{tmp_path}/out").persist()
+    assert done.first().records == 3
+    assert rows(warc.read_archives(done, f"file://{tmp_path}/out").select("page_id", "payload_bytes")) == [(1, 3), (2, 0), (3, 700_000)]
+    (tmp_path / "in/b.gz").write_bytes(gzip.compress(record(1, b"one")[:-9]))
+    with pytest.raises(Exception, match="cut off"):
+        warc.normalise(spark.createDataFrame([("b.gz", 1)], "archive string, records long"), f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
+
+
+def test_odd_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a" * 100, "r")], "page_id long, url string, html string, record_type string")
+    assert warc.mark_revisits(df).columns == ["page_id", "url", "html", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    none = warc.archive_pages(df.limit(0), f"file://{tmp_path}/none")
+    assert none.count() == 0 and rows(warc.read_archives(none, f"file://{tmp_path}/none/warc")) == []
+
+
+def test_query(spark, sf_dir):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    assert rows(warc.op10_warc(spark, sf_dir)) == brute(pages)
