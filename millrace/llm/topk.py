@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(build_tree(frame["vec_id"].to_numpy(), points))]})
 
     def pack(key, frame):
-        floors = [None if pd.isna(x) else int(x) for x in frame["floor"]]
+        floors = [None if x is None else int(x) for x in frame["floor"]]  # text: a float would round it
         packed = pickle.dumps((frame["vec_id"].to_numpy(), np.array(frame["vec"].tolist(), np.int64).reshape(len(frame), -1), floors))
         return pd.DataFrame({"dim": [key[0]], "home": [key[1]], "block": [key[2]], "packed": [packed]})
 
@@ -133,10 +133,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     found = "query_id long, score long, vec_id long"
     packing = "dim int, home int, block int, packed binary"
     # Round one: each query in its home shard.
-    home = asked.withColumn("floor", F.lit(None).cast("long")).groupBy("dim", "home", "block").applyInPandas(pack, packing)
+    home = asked.withColumn("floor", F.lit(None).cast("string")).groupBy("dim", "home", "block").applyInPandas(pack, packing)
     first = home.join(trees.withColumnRenamed("shard", "home"), ["dim", "home"]).groupBy("dim", "home", "block").applyInPandas(search, found)
     if shards > 1:
-        floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score").cast("string")).alias("floor"))
         # Round two: all blocks in all other shards; the block is repeated for each shard, packed.
         rest = asked.join(floors, "vec_id", "left").groupBy("dim", "home", "block").applyInPandas(pack, packing)
         rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
