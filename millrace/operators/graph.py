@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.pregel import VertexProgram, pregel
+from millrace.plans.pregel import VertexProgram, pregel, register
 
 
 def transpose(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,12 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, tolerance: flo
     rank / out-degree over in-edges; the mass of vertices without out-edges is lost. It halts when the last
     superstep changed all ranks by less than `tolerance` in sum, and keeps that superstep's ranks; or after
     `max_steps` updates."""
-    program = VertexProgram(
+    return pregel(edges, pagerank_program(tolerance, max_steps), vertices)
+
+
+@register("pagerank")
+def pagerank_program(tolerance: float = 1e-6, max_steps: int | None = None) -> VertexProgram:
+    return VertexProgram(
         init={"rank": F.lit(1.0)},
         apply=lambda step, seen: {"rank": F.lit(1.0) if step == 0 else F.lit(0.15) + F.lit(0.85) * F.coalesce("msg", F.lit(0.0))},
         send=F.try_divide("rank", "out_degree"),
@@ -39,37 +44,28 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, tolerance: flo
         aggregates={"change": F.sum(F.abs(F.col("rank") - F.col("_rank")))},
         stop=lambda step, seen: step >= 2 and seen["change"] < tolerance or max_steps is not None and step > max_steps,
     )
-    return pregel(edges, program, vertices)
 
 
 def sssp(edges: DataFrame, source: int, vertices: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
     """(id, dist): the least sum of non-negative weights from `source`, null if it reaches no path. Only
     vertices that came nearer send. With `max_hops`, paths of more edges don't count."""
+    out, _ = pregel(edges, sssp_program(source, max_hops), vertices)
+    return out.select("id", "dist")
+
+
+@register("sssp")
+def sssp_program(source: int, max_hops: int | None = None) -> VertexProgram:
     near = F.col("id") == F.lit(source)
-    program = VertexProgram(
-        init={"dist": F.lit(None).cast("double")},
-        apply=lambda step, seen: {"dist": F.when(near, F.lit(0.0)) if step == 0 else F.least("dist", "msg")},
-        send=F.when(F.col("dist").isNotNull(), F.col("dist") + F.col("weight")),
+    nearer = F.coalesce(F.col("msg").isNotNull() & (F.col("dist").isNull() | (F.col("msg") < F.col("dist"))), F.lit(False))
+    return VertexProgram(
+        init={"dist": F.lit(None).cast("double"), "moved": F.lit(False)},
+        apply=lambda step, seen: {"dist": F.when(near, F.lit(0.0)), "moved": near} if step == 0 else {"dist": F.least("dist", "msg"), "moved": nearer},
+        send=F.when(F.col("moved"), F.col("dist") + F.col("weight")),
         combine=F.min,
         halt=lambda step, seen: F.lit(True),
-        stop=lambda step, seen: max_hops is not None and step > max_hops or step > 1 and not seen["nearer"],
-        aggregates={"nearer": F.count_if(F.col("dist").isNotNull() & (F.col("_dist").isNull() | (F.col("dist") < F.col("_dist"))))},
+        aggregates={"moved": F.count_if("moved")},
+        stop=lambda step, seen: max_hops is not None and step > max_hops or step > 1 and not seen["moved"],
     )
-    return _frontier(edges, program, vertices)
-
-
-def _frontier(edges: DataFrame, program: VertexProgram, vertices: DataFrame | None) -> DataFrame:
-    """Runs a program whose vertices send only when their state changed."""
-    first = next(iter(program.init))
-    init, apply, send = dict(program.init), program.apply, program.send
-    changed = lambda new: F.coalesce(new.isNotNull() & (F.col(first).isNull() | (new < F.col(first))), F.lit(False))
-
-    def step_apply(step, seen):
-        new = apply(step, seen)
-        return new | {"moved": changed(new[first])}
-
-    out, _ = pregel(edges, VertexProgram(init | {"moved": F.lit(False)}, step_apply, F.when(F.col("moved"), send), program.combine, program.halt, program.aggregates, program.stop), vertices)
-    return out.drop("moved")
 
 
 def shortest_paths(edges: DataFrame, source: int, vertices: DataFrame | None = None) -> DataFrame:

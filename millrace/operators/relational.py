@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import compare
+from millrace.plans.state import cut
 from millrace.sources import cells_of_groups, cells_of_join, cells_of_rows
 from millrace.spec import Distinct, GroupBy, Join, Ref, parse
 
@@ -60,8 +61,7 @@ def distinct(r: DataFrame, q: Distinct, ranked: bool = False) -> DataFrame:
     """The distinct asked columns (R8, R9) of the rows that pass the selection. With `ranked`, a column rank
     counts them from 0 by their values as text, each followed by |.
 
-    The rank needs a total order of what is left after `distinct`. It comes from a range-partitioned sort:
-    counts by range are summed, and each row's place in its range is added, so no task holds all rows.
+    The rank comes from a range-partitioned sort (see ranked_rows), so no task holds all rows.
     """
     cols = {str(x): r.columns[x.index] for x in dict.fromkeys(q.columns)}
     rows = filtered(r, q.where, q.op, q.constant).select(*[F.col(c).alias(n) for n, c in cols.items()]).distinct()
@@ -71,15 +71,17 @@ def distinct(r: DataFrame, q: Distinct, ranked: bool = False) -> DataFrame:
 def ranked_rows(rows: DataFrame, key, name: str = "rank") -> DataFrame:
     """`rows` with their place from 0 in the order of `key` (a string column), ties by all columns.
 
-    Rows are binned by the first characters of the key; bins are counted and their counts summed in order
-    (one row per bin), and only within a bin are rows numbered.
+    Rows are dealt into ranges of the order and kept so; ranges are counted and their counts summed in order
+    (one row per range), and only within a range are rows numbered.
     """
-    rows = rows.withColumn("_k", key).withColumn("_bin", F.substring("_k", 1, 6))
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.groupBy("_bin").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_bin").orderBy("_k", *[c for c in rows.columns if c[0] != "_"]))
-    out = rows.withColumn("_i", own).join(bins, "_bin")
-    return out.withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_k", "_bin", "_before", "_i")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["_k", *rows.columns]
+    dealt = cut(rows.withColumn("_k", key).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    out = dealt.withColumn("_i", own).join(parts, "_p")
+    return out.withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_k", "_p", "_before", "_i")
 
 
 def run(spec: str, read: Callable[[str], DataFrame], how: str = "hash") -> DataFrame:

@@ -19,6 +19,8 @@ class VertexProgram:
     apply(step, globals): new state over the state columns, `msg` (null if none came) and `out_degree`.
     send: the message along an out-edge over the sender's new state, `id`, `out_degree`, `dst`, `weight`;
         null sends nothing. Each of several equal edges sends.
+    post: messages to any vertices, neighbours or not: an array of structs (to, msg) over the same columns but
+        `dst` and `weight`. Messages to ids that aren't vertices are lost.
     combine: reduces the messages to a vertex, before the shuffle too.
     halt(step, globals): whether the vertex goes inactive after this superstep (over old state, as `_<name>`,
         and new); a later message makes it active again.
@@ -31,11 +33,26 @@ class VertexProgram:
     apply: Callable[[int, dict], dict[str, Column]]
     send: Column
     combine: Callable[[Column], Column]
+    post: Column | None = None
     halt: Callable[[int, dict], Column] = lambda step, seen: F.lit(False)
     aggregates: dict[str, Column] = field(default_factory=dict)
     stop: Callable[[int, dict], bool] = lambda step, seen: False
 
 
+#: Programs by name; a job can name one of them.
+PROGRAMS: dict[str, Callable[..., VertexProgram]] = {}
+
+
+def register(name: str) -> Callable:
+    """Makes a function that returns a program known by `name`."""
+
+    def add(make: Callable[..., VertexProgram]) -> Callable[..., VertexProgram]:
+        PROGRAMS[name] = make
+        return make
+
+    return add
+
+
 def vertices_of(edges: DataFrame, count: int | None = None) -> DataFrame:
     """id of every vertex: 0 to count - 1, or all ends of edges."""
     if count is not None:
@@ -81,7 +98,10 @@ def pregel(edges: DataFrame, program: VertexProgram, vertices: DataFrame | None
             held.unpersist()
         held, seen = moved, {c: row[c] for c in program.aggregates}
         state = moved.select("id", "out_degree", *names, "active", "ran")
-        outbox = state.where("ran").join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), program.send.alias("msg")).where("msg IS NOT NULL")
+        outbox = state.where("ran").join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), program.send.alias("msg"))
+        if program.post is not None:
+            outbox = outbox.union(state.where("ran").select(F.explode(program.post).alias("p")).select("p.to", "p.msg"))
+        outbox = outbox.where("msg IS NOT NULL")
         messages = outbox.groupBy(F.col("to").alias("id")).agg(program.combine(F.col("msg")).alias("msg"))
         step += 1
         if not row["active"] and outbox.limit(1).count() == 0:

@@ -6,7 +6,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import graph, metrics, simrank
-from millrace.plans.pregel import check_ids, vertices_of
+from millrace.plans.pregel import PROGRAMS, VertexProgram, check_ids, pregel, vertices_of
 
 
 def edges_of(spark, edges):
@@ -141,3 +141,18 @@ def test_metrics(spark):
     assert rows(metrics.value_error(none, none)) == [(0.0, 0.0, 0.0)] and rows(metrics.rank_error(none, none, 3)) == [(0, 0, 0.0, 0.0)]
     assert rows(simrank.add(x, y, -1.0).where(F.abs("sim") > 1e-12)) == [(0, 2, -0.5), (1, 2, 0.25)]
     assert simrank.absolute_sum(simrank.divide(x, 2.0)) == 0.5
+
+
+def test_messages_to_any_vertex(spark):
+    """Every vertex writes to id 0, which adds up; 0 answers 3, which has no edge."""
+    program = VertexProgram(
+        init={"total": F.lit(0).cast("long")},
+        apply=lambda step, seen: {"total": F.col("total") + F.coalesce("msg", F.lit(0))},
+        send=F.lit(None).cast("long"),
+        combine=F.sum,
+        post=F.when(F.col("total") == 0, F.array(F.struct(F.lit(0).cast("long").alias("to"), (F.col("id") + 1).alias("msg")))).when(F.col("id") == 0, F.array(F.struct(F.lit(3).cast("long").alias("to"), F.col("total").alias("msg")), F.struct(F.lit(99).cast("long").alias("to"), F.lit(1).cast("long").alias("msg")))),
+        halt=lambda step, seen: F.lit(True),
+    )
+    out, steps = pregel(edges_of(spark, [(0, 1, 1), (1, 2, 1)]), program, spark.range(4))
+    assert rows(out) == [(0, 10), (1, 0), (2, 0), (3, 10)] and steps >= 3
+    assert set(PROGRAMS) == {"pagerank", "sssp"}
