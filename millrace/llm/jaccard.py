@@ -126,9 +126,9 @@ def _sets(docs: DataFrame, threshold: float, words: int) -> DataFrame:
                     sketch[-1] = np.unique(sketch[-1]).tobytes()
                     kids.append(np.unique(chosen(h, roots, threshold)) if len(h) else h.view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in kids])]).astype("i4")
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kids)))], names=["doc", "n", "node", "sketch", "kids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kids)))], names=["doc", "th", "n", "node", "sketch", "kids"])
 
-    return docs.mapInArrow(run, "doc long, n long, node long, sketch binary, kids array<long>")
+    return docs.mapInArrow(run, "doc long, th long, n long, node long, sketch binary, kids array<long>")
 
 
 def _split(rows: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _split(rows: DataFrame, threshold: float, words: int) -> DataFrame:
     return rows.mapInArrow(run, "grp long, node long")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, small: int = 256, max_depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, small: int = 256, block: int = 1024, max_depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Joins documents whose sets of `words`-word shingles are at least `threshold` similar: one row per row
     of `docs` with doc_id, class_id and n_links.
 
@@ -158,7 +158,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
 
     Chosen paths: in every run, a set joins the buckets of the tokens that a hash of the path picks from it,
     about 1 / threshold of them. Buckets of more than `small` sets are split again by their sets' tokens, to
-    `max_depth`; then all are compared by brute force in blocks, on sketches. A pair at the threshold
+    `max_depth`; then all are compared by brute force on sketches, in blocks of `block`. A pair at the threshold
     shares a bucket in one run with a probability that falls with the depth of the tree, 1 - exp(-1) at
     depth one; runs are repeated until none is missed with probability `recall`. The components of the
     candidates are compared exactly, text by text, in blocks, so no link has less than the threshold, and
@@ -171,15 +171,15 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
     """
     spark = docs.sparkSession
     work, n = Scratch(spark, "jaccard"), partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     sets = work.write(_sets(texts, threshold, words), "sets")
     known = sets.where("node IS NOT NULL AND doc IS NOT NULL")
-    nodes = work.write(known.groupBy("node").agg(F.min("doc").alias("first"), F.count_distinct("doc").alias("w"), F.first("n").alias("n")), "nodes")
+    nodes = work.write(known.groupBy("node").agg(F.min(F.struct("doc", "th")).alias("first"), F.count_distinct("doc").alias("w"), F.first("n").alias("n")).select("node", "first.doc", "first.th", "w", "n"), "nodes")
 
     def text_of(which: DataFrame) -> DataFrame:
         """`which` (node, ...) with the text of each node's first document."""
-        firsts = which.join(nodes.select(F.col("node").alias("_n"), "first"), F.col("node") == F.col("_n")).drop("_n")
-        return firsts.join(texts, F.col("first") == F.col("doc")).drop("doc", "first")
+        firsts = which.join(nodes.select(F.col("node").alias("_n"), "doc", "th"), F.col("node") == F.col("_n")).drop("_n")
+        return firsts.join(texts, ["doc", "th"]).drop("doc", "th")
 
     at, missed, batch, edges = known.select(F.explode("kids").alias("grp"), "node").distinct(), 1.0, 0, None
     while True:
@@ -199,7 +199,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
         for k, r in enumerate(ready):
             sketches = known.join(r.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
             members = r.join(sketches, "node").select("grp", "node", F.lit(1).cast("long").alias("w"), F.lit(4 * SKETCH).cast("long").alias("size"), "sketch", "n")
-            found = compare_groups(members, similar_sketches(threshold), ["sketch", "n"], per_block=small, block_bytes=1 << 30, count=False)
+            found = compare_groups(members, similar_sketches(threshold), ["sketch", "n"], per_block=block, block_bytes=1 << 30, count=False)
             found = work.write(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), f"edges-{batch}-{k}")
             edges = found if edges is None else edges.union(found)
         # A pair at the threshold survives a level with probability 1 - exp(-expected survivors).
@@ -215,9 +215,9 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
     groups = components(edges, work, "candidates")
     members = text_of(groups.join(nodes.select(F.col("node").alias("_m"), "w", "n"), F.col("node") == F.col("_m")).select("node", F.col("root").alias("grp"), "w", (F.col("n") * 16).alias("size")))
     links = links_and_components(members, similar_sets(threshold, words), ["text"], work)
-    roots = nodes.join(links.select(F.col("node").alias("_l"), "links", "root"), F.col("node") == F.col("_l"), "left").select("node", "first", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    roots = nodes.join(links.select(F.col("node").alias("_l"), "links", "root"), F.col("node") == F.col("_l"), "left").select("node", "doc", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     roots = work.write(roots, "roots")
-    least = roots.groupBy("root").agg(F.min("first").alias("class"))
+    least = roots.groupBy("root").agg(F.min("doc").alias("class"))
     final = work.write(roots.join(least, "root").select(F.col("node").alias("_f"), "class", (F.col("links") + F.col("w") - 1).alias("links")), "final")
     out = sets.select("doc", "node").join(final, F.when(F.col("doc").isNotNull(), F.col("node")) == F.col("_f"), "left")
     return out.select(F.col("doc").alias("doc_id"), F.coalesce("class", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))

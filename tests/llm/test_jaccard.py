@@ -109,3 +109,10 @@ def test_paths_expect_one_shared_token(n):
     h = np.sort(r.integers(0, 2**63, n).astype(np.uint64))
     kids = jaccard.chosen(h, np.arange(1, 2001, dtype=np.uint64), 0.8)
     assert 0.9 * min(n, 1.25) < len(kids) / 2000 < 1.1 * min(n, 1.25) + 0.01
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + " x"), (3, a + " y"), (4, a)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_join(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 1, 2)]
