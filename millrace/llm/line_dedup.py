@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import BLANKS, ascii_lower, table
 
+#: Parts into which the rows of one hash are dealt for the join.
+SALTS = 16
+
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drops, in every document, the lines whose key at least `min_docs` documents hold.
@@ -18,8 +21,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     Lines are exploded to (document, position, 128-bit hash of the key); a hash's documents are counted
     distinct, in two steps that sum before each shuffle; the positions of hot hashes are gathered per
     document, and each document is put together again from the slices between them. Lines themselves are
-    never shuffled, and a document's text moves once. A hash that a third of all rows hold is one row of
-    the semi join's build side; the skew join splits the other side.
+    never shuffled, and a document's text moves once. A hash that a third of all rows hold is a row for each
+    of SALTS parts of the rows, which the skew join splits further where they are still large.
 
     Null text counts as empty: one empty line, which stays. Null ids count as one document. Rows that
     repeat an id count once for a key; each repeated row is kept and handled alike. If every line goes,
@@ -32,7 +35,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     lines = docs.select(*own, F.posexplode(F.split(text, "\n")).alias("_ld_pos", "_ld_line")).select("_ld_id", "_ld_th", "_ld_pos", key.alias("_ld_key"))
     lines = lines.where(F.length("_ld_key") >= min_chars).select("_ld_id", "_ld_th", "_ld_pos", F.xxhash64("_ld_key").alias("_ld_h"), F.xxhash64(F.lit(1), "_ld_key").alias("_ld_g"))
     hot = lines.groupBy("_ld_h", "_ld_g").agg(F.count_distinct(F.struct("_ld_id")).alias("_ld_n")).where(F.col("_ld_n") >= min_docs).select("_ld_h", "_ld_g")
-    drops = lines.join(hot, ["_ld_h", "_ld_g"], "left_semi").groupBy("_ld_id", "_ld_th").agg(F.sort_array(F.collect_set("_ld_pos")).alias("_ld_drop"))
+    hot = hot.withColumn("_ld_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.withColumn("_ld_s", F.pmod(F.xxhash64("_ld_th", "_ld_pos"), F.lit(SALTS)).cast("int"))
+    drops = salted.join(hot, ["_ld_h", "_ld_g", "_ld_s"], "left_semi").groupBy("_ld_id", "_ld_th").agg(F.sort_array(F.collect_set("_ld_pos")).alias("_ld_drop"))
     drops = drops.select(F.col("_ld_id").alias("_ld_id2"), F.col("_ld_th").alias("_ld_th2"), "_ld_drop")
     rows = docs.select(*given, *own).join(drops, F.col("_ld_id").eqNullSafe(F.col("_ld_id2")) & (F.col("_ld_th") == F.col("_ld_th2")), "left")
     # A one-element array binds the split lines and the cuts, so that they are computed once for a document.
