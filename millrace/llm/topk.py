@@ -55,7 +55,7 @@ def search_tree(tree: dict, ids, queries, floors, k: int):
     import numpy as np
 
     points, lo, hi = tree["points"], tree["lo"], tree["hi"]
-    top = lambda x: int(max(abs(int(x.max())), abs(int(x.min())))) if x.size else 0
+    top = lambda x: max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0
     if top(points) * top(queries) * points.shape[1] < EXACT:
         points, lo, hi, queries = (x.astype(np.float64) for x in (points, lo, hi, queries))
     else:
@@ -90,14 +90,14 @@ def search_tree(tree: dict, ids, queries, floors, k: int):
         yield from ((own, s, -i) for s, i in best)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k vectors of `vectors` (vec_id, vec array<long>) of largest
     inner product with each row of `queries` (same columns), without the query's own id; ties go to the
     smaller vec_id; all, if there are fewer.
 
     Vectors are dealt by a hash of the id into shards of about `shard_rows`, each a KD-tree in one row, and
     queries into blocks of about `block_rows`; a task searches one block in one tree, so that both sides are
-    bounded at any size. A query is first searched in one shard, and the k-th score found there bounds the
+    bounded at any size. A block is first searched in one shard, and the k-th scores found there bound the
     search in the others. The result is exact: a box is only left out if no point in it can reach the k-th.
 
     Vectors of different lengths are never compared. Rows with null id or vector take no part; if an id
@@ -115,33 +115,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     n = partitions(spark)
     bucket = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(m)).cast("int")
 
-    def build(key, frame):
+    def matrix(frame):
         points = np.array(frame["vec"].tolist(), np.int64).reshape(len(frame), -1)
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(build_tree(frame["vec_id"].to_numpy(), points))]})
+        most = max(int(points.max()), -int(points.min()))
+        return points.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
+
+    def build(key, frame):
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(build_tree(frame["vec_id"].to_numpy(), matrix(frame)))]})
 
     def pack(key, frame):
         floors = [None if x is None else int(x) for x in frame["floor"]]  # text: a float would round it
-        packed = pickle.dumps((frame["vec_id"].to_numpy(), np.array(frame["vec"].tolist(), np.int64).reshape(len(frame), -1), floors))
-        return pd.DataFrame({"dim": [key[0]], "home": [key[1]], "block": [key[2]], "packed": [packed]})
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "packed": [pickle.dumps((frame["vec_id"].to_numpy(), matrix(frame), floors))]})
 
     def search(frame):
         rows = [(int(q), int(max(-(2**63), min(2**63 - 1, s))), int(i)) for t, p in zip(frame["tree"], frame["packed"], strict=True) for q, s, i in search_tree(pickle.loads(t), *pickle.loads(p), k)]
         return pd.DataFrame(rows, columns=["query_id", "score", "vec_id"])
 
     trees = vectors.select(F.size("vec").alias("dim"), bucket(3, shards).alias("shard"), "vec_id", "vec").repartition(max(1, min(n, shards)), "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary")
-    asked = queries.select(F.size("vec").alias("dim"), bucket(4, shards).alias("home"), bucket(5, blocks).alias("block"), "vec_id", "vec")
-    found = "query_id long, score long, vec_id long"
-    packing = "dim int, home int, block int, packed binary"
-    # Round one: each query in its home shard.
-    home = asked.withColumn("floor", F.lit(None).cast("string")).groupBy("dim", "home", "block").applyInPandas(pack, packing)
-    first = home.join(trees.withColumnRenamed("shard", "home"), ["dim", "home"]).groupBy("dim", "home", "block").applyInPandas(search, found)
+    asked = queries.select(F.size("vec").alias("dim"), bucket(4, blocks).alias("block"), "vec_id", "vec")
+    found, packing = "query_id long, score long, vec_id long", "dim int, block int, packed binary"
+
+    def grid(packed: DataFrame) -> DataFrame:
+        tiles = packed.join(trees, ["dim", "shard"]).repartition(n, "dim", "shard", "block")
+        return tiles.groupBy("dim", "shard", "block").applyInPandas(search, found)
+
+    # Round one: each block in one shard.
+    home = F.pmod("block", F.lit(shards)).cast("int")
+    first = grid(asked.withColumn("floor", F.lit(None).cast("string")).groupBy("dim", "block").applyInPandas(pack, packing).withColumn("shard", home))
     if shards > 1:
         floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score").cast("string")).alias("floor"))
-        # Round two: all blocks in all other shards; the block is repeated for each shard, packed.
-        rest = asked.join(floors, "vec_id", "left").groupBy("dim", "home", "block").applyInPandas(pack, packing)
-        rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-        second = rest.join(trees, ["dim", "shard"]).repartition(n, "dim", "shard", "home", "block").groupBy("dim", "shard", "home", "block").applyInPandas(search, found)
-        first = first.union(second)
+        # Round two: each block in all other shards, a packed row for each.
+        rest = asked.join(floors, "vec_id", "left").groupBy("dim", "block").applyInPandas(pack, packing)
+        rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
+        first = first.union(grid(rest))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return first.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
