@@ -80,19 +80,28 @@ def hash_partition(edges: DataFrame, parts: int) -> DataFrame:
     return edges.withColumn("part", (F.pmod("src", F.lit(parts)) + 1).cast("int"))
 
 
-def edge_headers(edges: DataFrame, parts: int) -> DataFrame:
-    """part, vertices, edges: the header of each part, its own sources and edges."""
-    return hash_partition(edges, parts).groupBy("part").agg(F.count_distinct("src").alias("vertices"), F.count("*").alias("edges"))
-
-
-def write_edges(edges: DataFrame, path: str, parts: int | None = None) -> None:
-    """`from to [weight]` lines by source; with `parts`, in one folder for each part of hash_partition."""
-    cols = [F.col("src"), F.col("dst"), *([F.format_string("%s", F.col("weight"))] if "weight" in edges.columns else [])]
-    line = F.concat_ws(" ", *[c.cast("string") for c in cols]).alias("value")
-    if parts is None:
-        edges.orderBy("src", "dst").select(line).write.mode("overwrite").text(path)
-    else:
-        hash_partition(edges, parts).repartition(parts, "part").sortWithinPartitions("part", "src", "dst").select("part", line).write.mode("overwrite").partitionBy("part").text(path)
+def edge_headers(edges: DataFrame, parts: int, vertex_count: int | None = None) -> DataFrame:
+    """part, vertices, edges: the header of each part: how many of the ids 0 to vertex_count - 1 (by default,
+    to the largest id of an edge) fall to it, and its edges."""
+    if vertex_count is None:
+        vertex_count = (edges.agg(F.max(F.greatest("src", "dst")).alias("m")).first()["m"] or -1) + 1
+    every = edges.sparkSession.range(parts).select((F.col("id") + 1).cast("int").alias("part"))
+    vertices = F.lit(vertex_count // parts).cast("long") + F.when(F.col("part") <= vertex_count % parts, F.lit(1)).otherwise(0)
+    counts = hash_partition(edges, parts).groupBy("part").agg(F.count("*").alias("edges"))
+    return every.join(counts, "part", "left").select("part", vertices.cast("long").alias("vertices"), F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+def write_edges(edges: DataFrame, path: str, parts: int = 1, vertex_count: int | None = None) -> None:
+    """A folder part=i for each part of hash_partition, with one file: its vertices, its edges, and then
+    `from to [weight]` lines by source."""
+    weight = [F.format_string("%s", F.col("weight"))] if "weight" in edges.columns else []
+    line = F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), *weight)
+    rows = hash_partition(edges, parts).select("part", F.lit(2).alias("kind"), "src", "dst", line.alias("value"))
+    head = edge_headers(edges, parts, vertex_count)
+    none = F.lit(None).cast("long")
+    for kind, c in enumerate(("vertices", "edges")):
+        rows = rows.union(head.select("part", F.lit(kind), none, none, F.col(c).cast("string")))
+    rows.repartition(parts, "part").sortWithinPartitions("part", "kind", "src", "dst").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
 
 
 def write_similarity(sim: DataFrame, path: str, round_column: str | None = None) -> None:

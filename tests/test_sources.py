@@ -23,11 +23,14 @@ def test_edges(spark, tmp_path):
     assert rows(out_degrees(e)) == [(0, 2), (1, 2), (3, 1)]
     assert rows(in_neighbours(e)) == [(1, [0]), (2, [0, 1, 1]), (3, [3])]
     assert rows(hash_partition(e, 2).select("src", "part").distinct()) == [(0, 1), (1, 2), (3, 2)]
-    assert rows(edge_headers(e, 2)) == [(1, 1, 2), (2, 2, 3)]
+    assert rows(edge_headers(e, 2)) == [(1, 2, 2), (2, 2, 3)] and rows(edge_headers(e, 3, 8)) == [(1, 3, 3), (2, 3, 2), (3, 2, 0)]
     write_edges(e, str(tmp_path / "out"), 2)
+    (file,) = (tmp_path / "out/part=2").glob("part-*.txt")
+    assert file.read_text().splitlines() == ["2", "3", "1 2 1.0", "1 2 1.0", "3 3 7.0"]
     assert rows(read_edges(spark, str(tmp_path / "out/part=1"), str(tmp_path / "out/part=2"))) == rows(e)
-    write_edges(e.select("src", "dst"), str(tmp_path / "bare"))
-    assert read_lines(spark, str(tmp_path / "bare")).count() == 5
+    write_edges(e.select("src", "dst"), str(tmp_path / "bare"), vertex_count=4)
+    assert read_lines(spark, str(tmp_path / "bare")).count() == 7
+    assert rows(read_edges(spark, str(tmp_path / "bare"), default_weight=1.0).select("src", "dst")) == rows(e.select("src", "dst"))
 
 
 def test_vertex_lines(spark, tmp_path):
