@@ -35,6 +35,42 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+def lean(spark: SparkSession) -> None:
+    """Lets Arrow batches hold fewer rows, if their size is the default one: whole texts pass through them,
+    and the JVM and Python each hold a batch beside their own work."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+_held: dict = {}
+
+
+def once(key, make):
+    """What make() returns, kept in this worker until another key comes: a worker serves many tasks, and
+    holds one model at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release(cycles: bool = True) -> None:
+    """Gives free memory back at the end of a task, since workers stay; without looking for `cycles`, a
+    cheaper step between groups."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if cycles:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
 
@@ -53,6 +89,14 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these, once nothing lazy reads them any more."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(root):
+            if status.getPath().getName() not in names:
+                files.delete(status.getPath(), True)
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, components, partitions
+from millrace.llm.common import Scratch, components, lean, partitions, release
 
 
 def runs_of(batches, keys: list[str], values: list[str]) -> Iterator[tuple]:
@@ -129,7 +129,9 @@ def compare_groups(members: DataFrame, compare: Callable, payload: list[str], pe
                 out = [[] for _ in range(5)]
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
+        release()
 
+    lean(spark)
     return rows.mapInArrow(run, "grp long, node long, links long, root long, blocks long")
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, components, partitions, table
+from millrace.llm.common import Scratch, components, lean, release, table
 from millrace.llm.groups import compare_groups, links_and_components
 from millrace.llm.words import FACTOR, mix, word_hashes
 
@@ -116,8 +116,8 @@ def _sets(docs: DataFrame, threshold: float, words: int) -> DataFrame:
 
         roots = np.arange(1, RUNS + 1, dtype=np.uint64)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part, n, node, sketch, kids = b.slice(lo, 512), [], [], [], []
+            for lo in range(0, b.num_rows, 256):
+                part, n, node, sketch, kids = b.slice(lo, 256), [], [], [], []
                 for t in part.column("text").to_pylist():
                     h = shingles(t, words)
                     n.append(len(h))
@@ -127,6 +127,7 @@ def _sets(docs: DataFrame, threshold: float, words: int) -> DataFrame:
                     kids.append(np.unique(chosen(h, roots, threshold)) if len(h) else h.view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in kids])]).astype("i4")
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kids)))], names=["doc", "th", "n", "node", "sketch", "kids"])
+        release()
 
     return docs.mapInArrow(run, "doc long, th long, n long, node long, sketch binary, kids array<long>")
 
@@ -145,6 +146,7 @@ def _split(rows: DataFrame, threshold: float, words: int) -> DataFrame:
                     paths = np.array(grps, np.int64).view(np.uint64)
                     kids = np.unique(np.concatenate([chosen(h, paths[k : k + 16], threshold) for k in range(0, len(paths), 16)]))
                     yield pa.RecordBatch.from_arrays([pa.array(kids, pa.int64()), pa.array(np.full(len(kids), node), pa.int64())], names=["grp", "node"])
+        release()
 
     return rows.mapInArrow(run, "grp long, node long")
 
@@ -170,7 +172,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
     64-bit hash. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    work, n = Scratch(spark, "jaccard"), partitions(spark)
+    work = Scratch(spark, "jaccard")
+    lean(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     sets = work.write(_sets(texts, threshold, words), "sets")
     known = sets.where("node IS NOT NULL AND doc IS NOT NULL")
@@ -219,6 +222,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
     roots = work.write(roots, "roots")
     least = roots.groupBy("root").agg(F.min("doc").alias("class"))
     final = work.write(roots.join(least, "root").select(F.col("node").alias("_f"), "class", (F.col("links") + F.col("w") - 1).alias("links")), "final")
+    work.keep("sets", "final")
     out = sets.select("doc", "node").join(final, F.when(F.col("doc").isNotNull(), F.col("node")) == F.col("_f"), "left")
     return out.select(F.col("doc").alias("doc_id"), F.coalesce("class", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 

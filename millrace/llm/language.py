@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import lean, once, release, table
 from millrace.llm.pieces import MARK, default_model, load_pieces
 from millrace.llm.words import FACTOR, word_hashes
 
 #: Words whose scores a worker keeps; a power of two.
-CACHE = 1 << 20
+CACHE = 1 << 19
 #: Longer words are scored by the running forward pass, which rescales.
 LONG = 40
 #: Words in one block of the forward pass, and characters of text, about, whose words are looked up at once.
-BLOCK, CHARS = 16_384, 1_500_000
+BLOCK, CHARS = 8192, 600_000
 #: What stands between words, a line end, is in none.
 GAP = 10
 #: Bits of the tables of pieces' beginnings.
@@ -222,8 +223,6 @@ class Scorer:
         return out
 
 
-_models: dict = {}
-
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score (which replace columns so named), from `model` of fit_languages.
@@ -240,13 +239,10 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     table_ = docs.sparkSession.sparkContext.broadcast(probs)
-    key = id(table_)
+    key = uuid.uuid4().hex
 
     def run(batches):
-        if _models.get("key") != (key, tuple(langs)):
-            _models.clear()
-            _models.update(key=(key, tuple(langs)), scorer=Scorer(vocabulary.value, table_.value))
-        scorer = _models["scorer"]
+        scorer = once(("language", key), lambda: Scorer(vocabulary.value, table_.value))
         for b in batches:
             lo = 0
             while lo < b.num_rows:
@@ -263,7 +259,9 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
                 lo = hi
+        release()
 
+    lean(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

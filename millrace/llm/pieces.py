@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import table
+from millrace.llm.common import lean, once, release, table
 from millrace.llm.words import span_hashes
 
 MARK = "▁"
 #: Chunks of text whose ids a worker keeps (a power of two), if they have at most so many.
-SLOTS, WIDE = 1 << 20, 10
+SLOTS, WIDE = 1 << 19, 10
 #: Bytes of text, or ids, that are looked up at once, about.
-AT_ONCE = 1_500_000
+AT_ONCE = 600_000
 #: Adjacent pairs whose compatibility a worker keeps.
-PAIRS = 400_000
+PAIRS = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -224,14 +224,9 @@ class Encoder:
         return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
 
-_codecs: dict = {}
-
-
 def _codec(key: str, vocabulary) -> Encoder:
-    if key not in _codecs:
-        v = vocabulary.value
-        _codecs[key] = Encoder(PieceCodec(v["pieces"], v["scores"], v["kinds"], v["own"]))
-    return _codecs[key]
+    v = vocabulary.value
+    return once(("pieces", key), lambda: Encoder(PieceCodec(v["pieces"], v["scores"], v["kinds"], v["own"])))
 
 
 def _vocabulary(spark, model_file: str):
@@ -260,7 +255,9 @@ def _map(df: DataFrame, model_file: str, column: str, out: str, kind: T.DataType
                 part = b.slice(lo, max(1, int(np.searchsorted(ends, done + AT_ONCE, side="right")) - lo))
                 lo += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [each(encoder, part.column(column))], names=[*names, out])
+        release()
 
+    lean(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -11,7 +11,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, partitions, table
+from millrace.llm.common import Scratch, lean, partitions, table
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -233,6 +233,7 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 100, archive_b
     deleted once every normalised file is listed. `folder` must be one that executors share.
     """
     spark = pages.sparkSession
+    lean(spark)
     work = Scratch(spark, "warc")
     mono = work.write(write_monolithic(mark_revisits(pages, min_bytes), work.path("mono"), archive_bytes), "written")
     # One task for a few archives: files are large, their list is small.
