@@ -93,7 +93,9 @@ def _leaves(nodes: DataFrame, trees: range, leaf: int, block: int, k: int) -> Da
 def _lists(pairs: DataFrame, caps: DataFrame | None, k: int, threshold: float, widest: int) -> DataFrame:
     """(u, cap, near): each node's nearest by similarity. A list is saturated if it is full and every entry
     reaches the threshold; it may then hold twice as many from the next round on, up to `widest`."""
-    got = pairs.groupBy("u").agg(F.sort_array(F.collect_set(F.struct("sim", "v")), asc=False).alias("near"))
+    # A node that many lists hold gets many offers: they are ranked by a sort, and few reach one row.
+    best = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), F.desc("v")))).where(F.col("r") <= widest)
+    got = best.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("sim", "v")), asc=False).alias("near"))
     got = got.join(caps.select(F.col("u").alias("_u"), "cap"), F.col("u") == F.col("_u"), "left").drop("_u") if caps is not None else got.withColumn("cap", F.lit(None).cast("int"))
     got = got.withColumn("cap", F.coalesce("cap", F.lit(k))).withColumn("near", F.expr("slice(near, 1, cap)"))
     full = (F.size("near") >= F.col("cap")) & (F.element_at("near", -1)["sim"] >= threshold)
@@ -168,6 +170,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 8, tre
     roots = work.write(roots.select("node", "first", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "roots")
     least = roots.groupBy(F.col("root").alias("_r")).agg(F.min("first").alias("class"))
     final = work.write(roots.join(least, F.col("root") == F.col("_r")).select(F.col("node").alias("_f"), "class", (F.col("links") + F.col("w") - 1).alias("links")), "final")
+    work.keep("final")
     got = rows.select("id", "node").join(final, F.when(F.col("id").isNotNull(), F.col("node")) == F.col("_f"), "left")
     own = F.coalesce("class", "id")
     return got.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
