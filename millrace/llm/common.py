@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.ship import ship
+
 #: The white space of the word and line definitions: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -36,8 +38,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def lean(spark: SparkSession) -> None:
-    """Lets Arrow batches hold fewer rows, if their size is the default one: whole texts pass through them,
-    and the JVM and Python each hold a batch beside their own work."""
+    """Before Python runs on the executors: sends them this package, and lets Arrow batches hold fewer rows,
+    if their size is the default one: whole texts pass through them, and the JVM and Python each hold a batch
+    beside their own work."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

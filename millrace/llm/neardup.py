@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, components, partitions, table
+from millrace.llm.common import Scratch, components, lean, partitions, table
 from millrace.llm.groups import links_and_components, runs_of
 from millrace.llm.topk import valid
 
@@ -121,7 +121,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 8, tre
     count as one vector. Nodes are known by a 64-bit hash. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
-    work, n = Scratch(spark, "neardup"), partitions(spark)
+    work = Scratch(spark, "neardup")
+    lean(spark)
     vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     ok = valid(F.col(vec_col)) & F.exists(F.col(vec_col), lambda x: x != 0) & F.col(label_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(ok, F.xxhash64(F.col(label_col), F.size(vec_col))).alias("grp"), F.when(ok, F.xxhash64(F.col(label_col), vec)).alias("node"), vec.alias("vec"))

@@ -9,7 +9,7 @@ import pickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import partitions, table
+from millrace.llm.common import lean, partitions, table
 
 LEAF = 64
 #: Integer arithmetic in doubles is exact below this.
@@ -108,6 +108,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     import pandas as pd
 
     spark = vectors.sparkSession
+    lean(spark)
     one = lambda df: df.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     vectors, queries = one(vectors.select("vec_id", "vec")), one(queries.select("vec_id", "vec"))
     shards = max(1, math.ceil(vectors.count() / shard_rows))

@@ -91,6 +91,7 @@ def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = 32 <<
         if done:
             yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["archive", "records"]), preserve_index=False)
 
+    lean(records.sparkSession)
     return records.select(id_col, url_col, "payload", "payload_digest", "record_type", "refers_to").mapInArrow(run, "archive string, records long")
 
 
@@ -172,6 +173,7 @@ def normalise(archives: DataFrame, source: str, target: str, level: int = 6) ->
                         index.write((json.dumps({"offset": start, "length": at - start, "id": fields["warc-record-id"], "type": fields["warc-type"]}) + "\n").encode())
                 yield pa.RecordBatch.from_arrays([pa.array([new]), pa.array([n], pa.int64())], names=["archive", "records"])
 
+    lean(archives.sparkSession)
     return archives.mapInArrow(run, "archive string, records long")
 
 
@@ -216,6 +218,7 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
+    lean(archives.sparkSession)
     return archives.mapInArrow(run, READ)
 
 
@@ -233,7 +236,6 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 100, archive_b
     deleted once every normalised file is listed. `folder` must be one that executors share.
     """
     spark = pages.sparkSession
-    lean(spark)
     work = Scratch(spark, "warc")
     mono = work.write(write_monolithic(mark_revisits(pages, min_bytes), work.path("mono"), archive_bytes), "written")
     # One task for a few archives: files are large, their list is small.
