@@ -93,19 +93,19 @@ def pregel(edges: DataFrame, program: VertexProgram, vertices: DataFrame | None
         halted = program.halt(step, seen)
         moved = moved.withColumn("active", F.col("ran") & ~halted)
         moved = cut(moved) if (step + 1) % cut_every == 0 else moved.persist()
-        row = moved.agg(F.count_if("active").alias("active"), F.count_if(F.col("ran")).alias("ran"), *[e.alias(c) for c, e in program.aggregates.items()]).first()
+        row = moved.agg(F.count_if(F.col("ran")).alias("ran"), *[e.alias(c) for c, e in program.aggregates.items()]).first()
         if held is not None:
             held.unpersist()
-        held, seen = moved, {c: row[c] for c in program.aggregates}
-        state = moved.select("id", "out_degree", *names, "active", "ran")
+        held, state = moved, moved.select("id", "out_degree", *names, "active", "ran")
+        if not row["ran"]:  # nobody was active, and no message came
+            break
+        seen = {c: row[c] for c in program.aggregates}
         outbox = state.where("ran").join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), program.send.alias("msg"))
         if program.post is not None:
             outbox = outbox.union(state.where("ran").select(F.explode(program.post).alias("p")).select("p.to", "p.msg"))
         outbox = outbox.where("msg IS NOT NULL")
         messages = outbox.groupBy(F.col("to").alias("id")).agg(program.combine(F.col("msg")).alias("msg"))
         step += 1
-        if not row["active"] and outbox.limit(1).count() == 0:
-            break
     out = cut(state.select("id", *names))
     if held is not None:
         held.unpersist()
