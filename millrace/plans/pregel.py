@@ -66,12 +66,13 @@ def check_ids(edges: DataFrame, count: int) -> None:
         raise ValueError(f"edge {bad[0]['src']} -> {bad[0]['dst']}: ids must be from 0 to {count - 1}")
 
 
-def pregel(edges: DataFrame, program: VertexProgram, vertices: DataFrame | None = None, max_steps: int = 10_000, cut_every: int = 4) -> tuple[DataFrame, int]:
+def pregel(edges: DataFrame, program: VertexProgram, vertices: DataFrame | None = None, max_steps: int = 10_000, cut_every: int = 1) -> tuple[DataFrame, int]:
     """Runs `program` until its hook stops it, or no vertex is active and no message was sent; returns the
     state (id, state columns) and the number of supersteps.
 
     Edges stay partitioned by source in memory. A superstep is one job: new state, then what the next one
-    needs to know in a single row. State is cached, and its lineage is cut every few steps.
+    needs to know in a single row. State is cached, and its lineage is cut every `cut_every` steps: the next
+    one names it twice, so an uncut plan doubles in every step.
     """
     spark = edges.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -92,11 +93,13 @@ def pregel(edges: DataFrame, program: VertexProgram, vertices: DataFrame | None
         moved = inbox.select("id", "out_degree", runs.alias("ran"), *[F.col(c).alias(f"_{c}") for c in names], *[F.when(runs, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in names])
         halted = program.halt(step, seen)
         moved = moved.withColumn("active", F.col("ran") & ~halted)
-        moved = cut(moved) if (step + 1) % cut_every == 0 else moved.persist()
+        moved = moved.persist()
         row = moved.agg(F.count_if(F.col("ran")).alias("ran"), *[e.alias(c) for c, e in program.aggregates.items()]).first()
         if held is not None:
             held.unpersist()
         held, state = moved, moved.select("id", "out_degree", *names, "active", "ran")
+        if (step + 1) % cut_every == 0:
+            state = cut(state, cached=True)
         if not row["ran"]:  # nobody was active, and no message came
             break
         seen = {c: row[c] for c in program.aggregates}

@@ -7,10 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, cached: bool = False) -> DataFrame:
     """The same rows from a checkpoint in the shared folder of spark.checkpoint.dir, so that a lost executor
-    costs no earlier step; where that is unset (tests), in a folder of our own."""
+    costs no earlier step; where that is unset (tests), in a folder of our own. The rows are cached meanwhile,
+    unless they are `cached` already, since Spark computes them once more to write them."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint(eager=True)
+    if cached:
+        return df.checkpoint(eager=True)
+    held = df.persist()
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
