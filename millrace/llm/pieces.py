@@ -236,13 +236,13 @@ def _vocabulary(spark, model_file: str):
     return spark.sparkContext.broadcast(v)
 
 
-def _map(df: DataFrame, model_file: str, column: str, out: str, kind: T.DataType, each) -> DataFrame:
-    """`df` with `out` made from `column` by each(encoder, values) -> Arrow array, batch by batch."""
+def _map(df: DataFrame, model_file: str, column: str, out: dict[str, T.DataType], each) -> DataFrame:
+    """`df` with the columns `out` made from `column` by each(encoder, values) -> Arrow arrays, batch by batch."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    names = [c for c in df.columns if c != out]
-    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, kind)])
+    names = [c for c in df.columns if c not in out]
+    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(c, kind) for c, kind in out.items()])
     vocabulary = _vocabulary(df.sparkSession, model_file)
 
     def run(batches):
@@ -254,13 +254,34 @@ def _map(df: DataFrame, model_file: str, column: str, out: str, kind: T.DataType
                 done = ends[lo - 1] if lo else 0
                 part = b.slice(lo, max(1, int(np.searchsorted(ends, done + AT_ONCE, side="right")) - lo))
                 lo += part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [each(encoder, part.column(column))], names=[*names, out])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + each(encoder, part.column(column)), names=[*names, *out])
         release()
 
     lean(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+IDS = T.ArrayType(T.IntegerType())
+
+
+def _encoded(encoder: Encoder, texts, end: bool):
+    import pyarrow as pa
+
+    ids, ends = encoder.encode(texts.to_pylist(), [encoder.codec.end] * end)
+    return pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))
+
+
+def _decoded(encoder: Encoder, lists):
+    import pyarrow as pa
+
+    flat = lists.flatten()
+    if flat.null_count:
+        return pa.array([encoder.codec.decode([i for i in x if i is not None] if x else []) for x in lists.to_pylist()], pa.string())
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends, ids = np.cumsum(size), flat.to_numpy().tolist()
+    return pa.array([encoder.codec.decode(ids[e - n : e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)], pa.string())
+
+
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "ids", end: bool = True) -> DataFrame:
     """`docs` with `out_col`: the ids (array of int) that the sentencepiece library gives for the whole text,
     with an end id if `end` and without sampling. A column of that name is replaced.
@@ -270,30 +291,25 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", out_col: st
     counts as empty; the empty text has the end id only.
     """
 
-    def each(encoder, texts):
-        import pyarrow as pa
-
-        ids, ends = encoder.encode(texts.to_pylist(), [encoder.codec.end] * end)
-        return pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))
-
-    return _map(docs, model_file, text_col, out_col, T.ArrayType(T.IntegerType()), each)
+    return _map(docs, model_file, text_col, {out_col: IDS}, lambda encoder, texts: [_encoded(encoder, texts, end)])
 
 
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """`rows` with `out_col`: the text that the library's decode(ids) gives. A column of that name is
     replaced. Null ids give the empty text; null elements are skipped; ids outside the vocabulary raise."""
 
-    def each(encoder, lists):
-        import pyarrow as pa
+    return _map(rows, model_file, ids_col, {out_col: T.StringType()}, lambda encoder, lists: [_decoded(encoder, lists)])
+
 
-        flat = lists.flatten()
-        if flat.null_count:
-            return pa.array([encoder.codec.decode([i for i in x if i is not None] if x else []) for x in lists.to_pylist()], pa.string())
-        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        ends, ids = np.cumsum(size), flat.to_numpy().tolist()
-        return pa.array([encoder.codec.decode(ids[e - n : e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)], pa.string())
+def round_trip(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """`docs` with the ids of `encode` and the text that `decode` gives back for them, in one pass: one
+    Python worker for each task instead of two."""
+
+    def each(encoder, texts):
+        ids = _encoded(encoder, texts, True)
+        return [ids, _decoded(encoder, ids)]
 
-    return _map(rows, model_file, ids_col, out_col, T.StringType(), each)
+    return _map(docs, model_file, text_col, {ids_col: IDS, decoded_col: T.StringType()}, each)
 
 
 def default_model() -> str:
@@ -304,7 +320,7 @@ def default_model() -> str:
 
 def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
     """One row per document (doc_id, text): n_tokens, ids_sha256, decoded_sha256."""
-    rows = decode(encode(docs.select("doc_id", "text"), model_file).select("doc_id", "ids"), model_file)
+    rows = round_trip(docs.select("doc_id", "text"), model_file)
     spaced = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spaced.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

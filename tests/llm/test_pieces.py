@@ -7,7 +7,7 @@ from helpers import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.pieces import Encoder, PieceCodec, decode, default_model, encode, load_pieces, op8_sentencepiece
+from millrace.llm.pieces import Encoder, PieceCodec, decode, default_model, encode, load_pieces, op8_sentencepiece, round_trip
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +66,8 @@ def test_odd_rows(spark, odd_docs, lib):
     assert got.columns == ["doc_id", "text", "n_chars", "ids", "decoded"]
     for r in got.collect():
         assert r.ids == lib.encode(r.text or "", add_eos=True) and r.decoded == lib.decode(r.ids)
+    both = round_trip(clash, default_model())
+    assert both.columns == got.columns and rows(both) == rows(got)
     assert rows(encode(odd_docs.limit(0), default_model())) == []
     df = spark.createDataFrame([(1, None), (2, []), (3, [22557, None, 2])], "i int, ids array<int>")
     assert [r.decoded for r in decode(df, default_model()).orderBy("i").collect()] == ["", "", lib.decode([22557, 2])]
