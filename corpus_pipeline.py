@@ -14,7 +14,7 @@ from millrace.llm.jaccard import jaccard_join
 from millrace.llm.language import fit_languages, identify
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import mix_sources
-from millrace.llm.pieces import decode, default_model, encode
+from millrace.llm.pieces import default_model, round_trip
 
 #: A document stays if the language is at least so sure.
 SURE = 0.5
@@ -56,7 +56,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and digests of them and of the text that they decode to."""
-    rows = decode(encode(docs.select("doc_id", "source", "lang", "text"), default_model()).drop("text"), default_model())
+    rows = round_trip(docs.select("doc_id", "source", "lang", "text"), default_model())
     spaced = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spaced.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
