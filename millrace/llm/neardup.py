@@ -1,17 +1,14 @@
-"""Embedding near-dedup by NN-descent."""
+"""Embedding near-dedup by exact comparison in blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, components, lean, partitions, table
-from millrace.llm.groups import links_and_components, runs_of
+from millrace.llm.common import Scratch, lean, table
+from millrace.llm.groups import links_and_components
 from millrace.llm.topk import valid
 
-#: Hyperplanes of a tree; a group of more rows than 2^BITS leaves has larger leaves, dealt into blocks.
-BITS = 40
-
 
 def _unit(rows):
     import numpy as np
@@ -25,94 +22,14 @@ def cosines(a, b):
     return (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :])
 
 
-def _nearest(sims, floors, k: int):
-    """(row, column) of the k largest of each row that are above the row's floor, the diagonal left out."""
-    import numpy as np
-
-    np.fill_diagonal(sims, -2.0)
-    if sims.shape[1] > k:
-        part = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    else:
-        part = np.tile(np.arange(sims.shape[1]), (sims.shape[0], 1))
-    row = np.repeat(np.arange(len(sims)), part.shape[1])
-    col = part.ravel()
-    ok = (sims[row, col] > floors[row]) & (sims[row, col] >= -1.5)
-    return row[ok], col[ok]
-
-
-def _pairs(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Within each run of equal keys (key, node, vec, floor), each node's k nearest above its floor."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for _, (node, vec, floor) in runs_of(batches, keys, ["node", "vec", "floor"]):
-            keep = [i for i in range(len(node)) if i == 0 or node[i] != node[i - 1]]
-            if len(keep) < 2:
-                continue
-            nodes, x = np.array([node[i] for i in keep], np.int64), _unit([vec[i] for i in keep])
-            sims = cosines(x, x)
-            r, c = _nearest(sims, np.array([floor[i] for i in keep]), k)
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[r]), pa.array(nodes[c]), pa.array(sims[r, c])], names=["u", "v", "sim"])
-
-    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "u long, v long, sim double")
-
-
-def _leaves(nodes: DataFrame, trees: range, leaf: int, block: int, k: int) -> DataFrame:
-    """Neighbours to start with: random-projection trees, whose leaves (blocks of them, if large) are
-    compared inside. A leaf is the sides of a vector against as many hyperplanes as its group needs."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        planes: dict = {}
-        for b in batches:
-            group, bits = b.column("grp").to_numpy(), b.column("bits").to_numpy()
-            vecs = [np.frombuffer(x, "<f8") for x in b.column("vec").to_pylist()]
-            for t in trees:
-                code = np.zeros(len(vecs), np.int64)
-                for dim in {len(v) for v in vecs}:
-                    at = np.array([i for i, v in enumerate(vecs) if len(v) == dim])
-                    if (t, dim) not in planes:
-                        planes[t, dim] = np.random.default_rng([t, dim]).standard_normal((dim, BITS))
-                    side = (np.stack([vecs[i] for i in at]) @ planes[t, dim] > 0) & (np.arange(BITS)[None, :] < bits[at][:, None])
-                    code[at] = side @ (1 << np.arange(BITS, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vecs), t)), pa.array(group), pa.array(code), b.column("node"), b.column("vec")], names=["tree", "grp", "code", "node", "vec"])
-
-    sizes = nodes.groupBy(F.col("grp").alias("_g")).agg(F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.count("*") / F.lit(leaf))))).cast("int").alias("bits"))
-    rows = nodes.join(sizes, F.col("grp") == F.col("_g")).select("grp", "bits", "node", "vec").mapInArrow(run, "tree long, grp long, code long, node long, vec binary")
-    rows = rows.withColumn("leaf", F.xxhash64("tree", "grp", "code")).select("leaf", "node", "vec")
-    counts = rows.groupBy(F.col("leaf").alias("_l")).agg(F.ceil(F.count("*") / F.lit(block)).alias("_b"))
-    rows = rows.join(counts, F.col("leaf") == F.col("_l")).withColumn("part", F.xxhash64("leaf", F.pmod(F.xxhash64(F.lit(2), "node"), "_b")))
-    return _pairs(rows.select("part", "node", "vec", F.lit(-1.5).alias("floor")), ["part"], k)
-
-
-def _lists(pairs: DataFrame, caps: DataFrame | None, k: int, threshold: float, widest: int) -> DataFrame:
-    """(u, cap, near): each node's nearest by similarity. A list is saturated if it is full and every entry
-    reaches the threshold; it may then hold twice as many from the next round on, up to `widest`."""
-    # A node that many lists hold gets many offers: they are ranked by a sort, and few reach one row.
-    best = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), F.desc("v")))).where(F.col("r") <= widest)
-    got = best.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("sim", "v")), asc=False).alias("near"))
-    got = got.join(caps.select(F.col("u").alias("_u"), "cap"), F.col("u") == F.col("_u"), "left").drop("_u") if caps is not None else got.withColumn("cap", F.lit(None).cast("int"))
-    got = got.withColumn("cap", F.coalesce("cap", F.lit(k))).withColumn("near", F.expr("slice(near, 1, cap)"))
-    full = (F.size("near") >= F.col("cap")) & (F.element_at("near", -1)["sim"] >= threshold)
-    return got.select("u", F.when(full, F.least(F.col("cap") * 2, F.lit(widest))).otherwise(F.col("cap")).cast("int").alias("cap"), "near")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 8, trees: int = 6, leaf: int = 128, block: int = 512, widest: int = 64, audit_rows: int = 1000, recall: float = 0.995, max_rounds: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, leaf: int = 128, block: int = 512, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of equal label whose cosine, in doubles, is at least `threshold`: one row per row of
     `vectors` with vec_id, n_links, component_id and kept.
 
-    NN-descent: each node has a list of its nearest so far, begun from `trees` random-projection trees. In
-    a round, every node compares its neighbours and those it is a neighbour of with each other, and the
-    lists take what is nearer. Lists that are full of links are widened. Then the links' components are
-    audited: about `audit_rows` nodes, chosen by a hash, are compared with all nodes of their label; until
-    `recall` of their links lie inside components, up to `max_rounds` rounds with two more trees each. At
-    last the components are compared exactly, in blocks, which counts every link inside them and leaves
-    none below the threshold. What a hash picks or bounds here are starting lists and the audit only.
+    All pairs of a label's distinct vectors are compared, in blocks of `block`, so no link is missed; the
+    work grows with the square of a label's distinct vectors. Each pair of blocks is a piece of work of its
+    own, and only counts and roots are written, not pairs. `leaf` has no effect: callers of the search tree
+    that stood here before may still give it.
 
     n_links counts the other vectors linked directly; component_id is the smallest vec_id that links reach;
     kept says that it is the row's own. Equal vectors are one node, so copies never make pairs. Null labels,
@@ -137,35 +54,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 8, tre
 
     ready = rows.where("node IS NOT NULL AND id IS NOT NULL").mapInArrow(packed, "grp long, node long, id long, vec binary")
     nodes = work.write(ready.groupBy("node").agg(F.min("id").alias("first"), F.count_distinct("id").alias("w"), F.first("grp").alias("grp"), F.first("vec").alias("vec")), "nodes")
-    total = nodes.count()
-    share = min(1.0, audit_rows / max(1, total))
-    sample = nodes.where(F.xxhash64(F.lit(5), "node") <= F.lit(int(-(2**63) + share * (2**64 - 2**12)))).select("grp", "node", "vec")
-
-    lists = work.write(_lists(_leaves(nodes, range(trees), leaf, block, k), None, k, threshold, widest), "lists-0")
-    for step in range(1, max_rounds + 1):
-        # Neighbours of neighbours: around each node, those in its list and up to as many that list it.
-        out = lists.select("u", F.explode(F.col("near.v")).alias("v"))
-        back = out.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64(F.lit(step), "u")))).where(F.col("r") <= k).select(F.col("v").alias("c"), F.col("u").alias("m"))
-        around = out.select(F.col("u").alias("c"), F.col("v").alias("m")).union(back).union(lists.select(F.col("u").alias("c"), F.col("u").alias("m"))).distinct()
-        floors = lists.select(F.col("u").alias("m2"), F.when(F.size("near") >= F.col("cap"), F.element_at("near", -1)["sim"]).otherwise(-1.5).alias("floor"))
-        known = work.write(nodes.select("node", "vec").join(floors, F.col("node") == F.col("m2")).select("node", "vec", "floor"), f"known-{step}")
-        better = _pairs(around.join(known, F.col("m") == F.col("node")).select("c", "node", "vec", "floor"), ["c"], 3)
-        pairs = lists.select("u", F.explode("near").alias("x")).select("u", "x.v", "x.sim").union(better)
-        if step > 1:
-            pairs = pairs.union(_leaves(nodes, range(trees + 2 * step - 4, trees + 2 * step - 2), leaf, block, k))
-        lists = work.write(_lists(pairs, lists, k, threshold, widest), f"lists-{step}")
-        links = lists.select("u", F.explode("near").alias("x")).where(F.col("x.sim") >= threshold).select(F.col("u").alias("a"), F.col("x.v").alias("b"))
-        found = work.write(components(links, work, f"links-{step}"), f"components-{step}")
-        for t in (f"known-{step}", f"lists-{step - 1}"):
-            work.drop(t)
-        if _audit(nodes, found, sample, threshold) >= recall:
-            break
 
     def compare(left, right, same):
         a = _unit(left[0])
         return cosines(a, a if same else _unit(right[0])) >= threshold
 
-    members = found.select("node", F.col("root").alias("grp")).join(nodes.select(F.col("node").alias("_n"), "w", "vec"), F.col("node") == F.col("_n")).select("node", "grp", "w", F.octet_length("vec").cast("long").alias("size"), "vec")
+    members = nodes.select("node", "grp", "w", F.octet_length("vec").cast("long").alias("size"), "vec")
     links = links_and_components(members, compare, ["vec"], work, per_block=block, block_bytes=8 << 20)
     roots = nodes.select("node", "first", "w").join(links.select(F.col("node").alias("_l"), "links", "root"), F.col("node") == F.col("_l"), "left")
     roots = work.write(roots.select("node", "first", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "roots")
@@ -177,37 +71,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 8, tre
     return got.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
 
 
-def _audit(nodes: DataFrame, found: DataFrame, sample: DataFrame, threshold: float) -> float:
-    """The share of the sample's true links that lie inside components; 1 if it has none. The sample is
-    bounded by a parameter and is broadcast; all nodes stream past it, and only counts come back."""
-    roots = found.select(F.col("node").alias("_n"), "root")
-    rooted = lambda df: df.join(roots, F.col("node") == F.col("_n"), "left").select("grp", "node", "vec", F.coalesce("root", "node").alias("root"))
-    picked = nodes.sparkSession.sparkContext.broadcast([(r["grp"], r["node"], bytes(r["vec"]), r["root"]) for r in rooted(sample).collect()])
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        by: dict = {}
-        for g, node, vec, root in picked.value:
-            by.setdefault(g, []).append((node, vec, root))
-        asked = {g: (np.array([x[0] for x in v]), _unit([x[1] for x in v]), np.array([x[2] for x in v])) for g, v in by.items()}
-        inside = total = 0
-        for b in batches:
-            group, node, root = (b.column(c).to_numpy() for c in ("grp", "node", "root"))
-            raw = b.column("vec").to_pylist()
-            for g in set(group.tolist()) & set(asked):
-                at = np.flatnonzero(group == g)
-                q, x, r = asked[g]
-                hit = (cosines(x, _unit([raw[i] for i in at])) >= threshold) & (q[:, None] != node[at][None, :])
-                total += int(hit.sum())
-                inside += int((hit & (r[:, None] == root[at][None, :])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([inside]), pa.array([total])], names=["inside", "total"])
-
-    got = rooted(nodes).mapInArrow(run, "inside long, total long").agg(F.sum("inside").alias("inside"), F.sum("total").alias("total")).first()
-    return got["inside"] / got["total"] if got["total"] else 1.0
-
-
 def op9_embedding_neardup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 

@@ -52,3 +52,14 @@ def test_odd_rows(spark):
     got = rows(near_duplicates(df))
     assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), *[(i, 0, i, True) for i in range(3, 12)], (None, 0, None, False)], key=repr)
     assert rows(near_duplicates(df.limit(0))) == []
+
+
+def test_dense_clusters_side_by_side(spark):
+    """Each vector has more nearer neighbours in its own cluster than a list of nearest ones would hold."""
+    r = np.random.default_rng(8)
+    a, b = np.linalg.qr(r.standard_normal((64, 2)))[0].T
+    other = 0.985 * a + np.sqrt(1 - 0.985**2) * b
+    data = [(i, [float(x) for x in c + r.standard_normal(64) * 1e-5], 1) for i, c in enumerate([a] * 200 + [other] * 200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = near_duplicates(df).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.n_links for r in got) == 400 * 399
