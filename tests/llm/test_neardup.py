@@ -63,3 +63,16 @@ def test_dense_clusters_side_by_side(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
     got = near_duplicates(df).collect()
     assert {r.component_id for r in got} == {0} and sum(r.n_links for r in got) == 400 * 399
+
+
+def test_few_links_among_many_vectors(spark):
+    """So few vectors have a link that a sample of them sees none."""
+    r = np.random.default_rng(3)
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    x = unit(r.standard_normal((6000, 64)))
+    d = r.standard_normal((8, 64))
+    d = unit(d - (d * x[:8]).sum(axis=1)[:, None] * x[:8])
+    x = np.concatenate([x, 0.981 * x[:8] + np.sqrt(1 - 0.981**2) * d])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df, leaf=4).collect()}
+    assert got == {i: (1, i % 6000) if i < 8 or i >= 6000 else (0, i) for i in range(6008)}
