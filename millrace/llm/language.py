@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 
@@ -15,7 +16,7 @@ from millrace.llm.words import FACTOR, word_hashes
 
 #: Words whose scores a worker keeps; a power of two.
 CACHE = 1 << 19
-#: Longer words are scored by the running forward pass, which rescales.
+#: Longer words are scored by the running forward pass, which rescales, and fitted in logarithms.
 LONG = 40
 #: Words in one block of the forward pass, and characters of text, about, whose words are looked up at once.
 BLOCK, CHARS = 8192, 600_000
@@ -128,7 +129,10 @@ class Segmenter:
     def fit(self, words: list[str], counts, size: int, rounds: int, smooth: float):
         """Piece probabilities of one language by EM: the pieces' expected counts over all segmentations of
         the words, smoothed, again and again."""
-        blocks = [(np.asarray(counts[lo : lo + BLOCK], float), *self.steps(words[lo : lo + BLOCK])) for lo in range(0, len(words), BLOCK)]
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        rows = [short[lo : lo + BLOCK] for lo in range(0, len(short), BLOCK)]
+        blocks = [(np.array([counts[k] for k in r], float), *self.steps([words[k] for k in r])) for r in rows]
         prob = np.full((size, 1), 1.0 / size)
         for _ in range(rounds):
             total = np.full(size, smooth)
@@ -142,9 +146,30 @@ class Segmenter:
                     p = prob[piece, 0]
                     np.add.at(total, piece, weight[word] * alpha[begin, word] * p * beta[end, word])
                     beta[begin, word] += beta[end, word] * p
+            for k in long:
+                self._expect(words[k], counts[k], prob[:, 0], total)
             prob = (total / total.sum())[:, None]
         return prob[:, 0]
 
+    def _expect(self, word: str, count, prob, total) -> None:
+        """Adds to `total` the pieces' expected counts over all segmentations of one word of any length."""
+        size, _, begin, length, piece = self.arcs([word])
+        n, end, logs = int(size[0]), begin + length, np.log(prob[piece])
+        fore, back = self._logs(n, begin, end, logs), self._logs(n, n - end, n - begin, logs)[::-1]
+        np.add.at(total, piece, count * np.exp(fore[begin] + logs + back[end] - fore[n]))
+
+    @staticmethod
+    def _logs(n: int, begin, end, logs):
+        """The log of the sum over paths of arcs from 0 to each position."""
+        order = np.argsort(end, kind="stable")
+        cuts = np.searchsorted(end[order], np.arange(1, n + 2)).tolist()
+        start, step, out = begin[order].tolist(), logs[order].tolist(), [0.0]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            x = [out[start[i]] + step[i] for i in range(lo, hi)]
+            top = max(x)
+            out.append(top + math.log(sum(math.exp(v - top) for v in x)))
+        return np.array(out)
+
 
 def fit_languages(docs: DataFrame, model_file: str, docs_per_lang: int = 150, rounds: int = 4, smooth: float = 0.02, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """(languages, probabilities [piece, language]) from the rows with text and language.
@@ -176,7 +201,6 @@ def fit_languages(docs: DataFrame, model_file: str, docs_per_lang: int = 150, ro
     def fit(key, frame):
         import pandas as pd
 
-        frame = frame[frame["word"].str.len() <= LONG]
         prob = Segmenter(vocabulary.value).fit(frame["word"].tolist(), frame["n"].tolist(), len(vocabulary.value), rounds, smooth)
         return pd.DataFrame({"lang": [key[0]] * len(prob), "piece": np.arange(len(prob)), "p": prob})
 

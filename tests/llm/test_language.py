@@ -71,3 +71,19 @@ def test_odd_rows(spark, odd_docs):
     assert rows(L.identify(odd_docs.limit(0), model)) == []
     none = L.fit_languages(odd_docs.limit(0), default_model())
     assert {(r.lang_pred, r.score) for r in L.identify(odd_docs, none).collect()} == {("und", 0.0)}
+
+
+def test_long_words_are_fitted(spark, monkeypatch):
+    pieces, r = ["▁", "a", "b", "c", "ab", "abc", "bc", "▁a", "cab"], random.Random(4)
+    words = ["▁" + "".join(r.choice("abc") for _ in range(n)) for n in (5, 30, 45, 60, 70)]
+    seg = L.Segmenter(pieces)
+    split = seg.fit(words, [3, 1, 2, 1, 4], len(pieces), 3, 0.02)
+    monkeypatch.setattr(L, "LONG", 100)
+    assert np.allclose(split, seg.fit(words, [3, 1, 2, 1, 4], len(pieces), 3, 0.02))
+    monkeypatch.setattr(L, "LONG", 40)
+    assert np.isfinite(seg.fit(["▁" + "abc" * 5000], [1], len(pieces), 2, 0.02)).all()
+
+    texts = [(k, "".join(r.choice(letters) for _ in range(r.randint(60, 300))), lang) for k, (lang, letters) in enumerate([("p", "abcdefgh"), ("q", "klmnopqr"), ("r", "stuvwxyz")] * 8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = L.identify(docs, L.fit_languages(docs, default_model())).collect()
+    assert all(x.lang_pred == x.lang and x.score > 0.9 for x in got) and len(got) == 24
