@@ -323,23 +323,23 @@ def simrank_matrix_3(spark, d):
 
 @query()
 def simrank_converged(spark, d):
-    sim, steps = simrank.simrank(light_edges(spark, d), nations(spark, d), 0.8)
+    sim, steps = simrank.simrank(nation_edges(spark, d), nations(spark, d), 0.8)
     return sim.withColumn("steps", F.lit(steps))
 
 
 @query()
 def simrank_mc(spark, d):
-    return simrank.simrank_monte_carlo(graph.transpose(light_edges(spark, d)), nations(spark, d), rounds=100, length=6, c=0.8)
+    return simrank.simrank_monte_carlo(graph.transpose(nation_edges(spark, d)), nations(spark, d), rounds=100, length=6, c=0.8)
 
 
 @query()
 def simrank_mc_meeting(spark, d):
-    return simrank.simrank_monte_carlo_meeting(light_edges(spark, d), nations(spark, d), rounds=100, length=6, c=0.8)
+    return simrank.simrank_monte_carlo_meeting(nation_edges(spark, d), nations(spark, d), rounds=100, length=6, c=0.8)
 
 
 @query()
 def simrank_lines(spark, d):
-    return similarity_lines(simrank.simrank(light_edges(spark, d), nations(spark, d), 0.8, max_steps=5, tolerance=0.0)[0])
+    return similarity_lines(simrank.simrank(nation_edges(spark, d), nations(spark, d), 0.8, max_steps=5, tolerance=0.0)[0])
 
 
 # Quality --------------------------------------------------------------------------------------------------

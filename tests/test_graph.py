@@ -6,6 +6,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import graph, metrics, simrank
+from millrace.plans import queries
 from millrace.plans.pregel import PROGRAMS, VertexProgram, check_ids, pregel, vertices_of
 
 
@@ -156,3 +157,17 @@ def test_messages_to_any_vertex(spark):
     out, steps = pregel(edges_of(spark, [(0, 1, 1), (1, 2, 1)]), program, spark.range(4))
     assert rows(out) == [(0, 10), (1, 0), (2, 0), (3, 10)] and steps >= 3
     assert set(PROGRAMS) == {"pagerank", "sssp"}
+
+
+def test_simrank_queries_take_the_whole_graph(spark, sf_dir):
+    edges = [(r.src, r.dst, 1) for r in queries.nation_edges(spark, sf_dir).collect()]
+    true, steps = brute_simrank(25, edges, 0.8, 100)
+    five, _ = brute_simrank(25, edges, 0.8, 5)
+    pairs = [(a, b) for a in range(25) for b in range(a + 1, 25)]
+    got = {(r.a, r.b): (r.sim, r.steps) for r in queries.simrank_converged(spark, sf_dir).collect()}
+    assert set(got) == {p for p in pairs if true[p] > 0} and all(abs(sim - true[p]) < 1e-9 and n == steps for p, (sim, n) in got.items())
+    lines = {a: "".join(f" {b}: {five[a, b]:f}," for b in range(a + 1, 25) if five[a, b] > 0) for a in range(25)}
+    assert {r.id: r.value for r in queries.simrank_lines(spark, sf_dir).collect()} == {a: f"{a}: {{{x}}}" for a, x in lines.items() if x}
+    for query in (queries.simrank_mc, queries.simrank_mc_meeting):
+        near = {(r.a, r.b): r.sim for r in query(spark, sf_dir).collect()}
+        assert abs(np.mean([near.get(p, 0.0) - true[p] for p in pairs])) < 0.05
