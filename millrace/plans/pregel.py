@@ -66,9 +66,9 @@ def check_ids(edges: DataFrame, count: int) -> None:
         raise ValueError(f"edge {bad[0]['src']} -> {bad[0]['dst']}: ids must be from 0 to {count - 1}")
 
 
-def pregel(edges: DataFrame, program: VertexProgram, vertices: DataFrame | None = None, max_steps: int = 10_000, cut_every: int = 1) -> tuple[DataFrame, int]:
+def pregel(edges: DataFrame, program: VertexProgram, vertices: DataFrame | None = None, max_steps: int | None = None, cut_every: int = 1) -> tuple[DataFrame, int]:
     """Runs `program` until its hook stops it, or no vertex is active and no message was sent; returns the
-    state (id, state columns) and the number of supersteps.
+    state (id, state columns) and the number of supersteps, which only a given `max_steps` limits.
 
     Edges stay partitioned by source in memory. A superstep is one job: new state, then what the next one
     needs to know in a single row. State is cached, and its lineage is cut every `cut_every` steps: the next
@@ -83,7 +83,7 @@ def pregel(edges: DataFrame, program: VertexProgram, vertices: DataFrame | None
     state = start.select("id", "out_degree", *[e.alias(c) for c, e in program.init.items()], F.lit(True).alias("active"), F.lit(True).alias("ran")).repartition(n, "id")
     seen: dict = {}
     messages, step, held = None, 0, None
-    while step < max_steps and not program.stop(step, seen):
+    while (max_steps is None or step < max_steps) and not program.stop(step, seen):
         if messages is None:
             inbox = state.withColumn("msg", F.lit(None).cast(_kind(state, edges, program)))
         else:

@@ -171,3 +171,12 @@ def test_simrank_queries_take_the_whole_graph(spark, sf_dir):
     for query in (queries.simrank_mc, queries.simrank_mc_meeting):
         near = {(r.a, r.b): r.sim for r in query(spark, sf_dir).collect()}
         assert abs(np.mean([near.get(p, 0.0) - true[p] for p in pairs])) < 0.05
+
+
+def test_steps_are_unlimited_by_default(spark):
+    """Only a given max_steps ends a program whose messages are under way."""
+    e = edges_of(spark, [(k, k + 1, 1) for k in range(4)])
+    program = VertexProgram(init={"far": F.lit(-1)}, apply=lambda step, seen: {"far": F.when(F.col("id") == 0, 0).otherwise(-1) if step == 0 else F.coalesce("msg", "far")}, send=F.when(F.col("far") >= 0, F.col("far") + 1), combine=F.max, halt=lambda step, seen: F.lit(True))
+    assert pregel.__defaults__[1] is None
+    assert rows(pregel(e, program)[0]) == rows(pregel(e, program, max_steps=None)[0]) == [(k, k) for k in range(5)]
+    assert rows(pregel(e, program, max_steps=2)[0]) == [(0, 0), (1, 1), (2, -1), (3, -1), (4, -1)]
