@@ -45,6 +45,8 @@ def decimal_format(c: Column, places: int) -> Column:
     return F.call_function("format_number", c, F.lit("#." + "0" * places))
 
 
-def uniform_pick(choices: Column, *key: Column) -> Column:
-    """An element of an array by a hash of the key: the same whenever a task runs again."""
-    return F.get(choices, F.pmod(F.xxhash64(*key), F.size(choices)).cast("int"))
+def uniform_draw(n: Column, *key: Column) -> Column:
+    """A whole number from 0 to n - 1 by a digest of the key, the same whenever a task runs again; null if n
+    is null or 0. The first 48 bits of the MD5 of the key's parts with : between them, modulo n."""
+    digest = F.md5(F.concat_ws(":", *[k.cast("string") for k in key]).cast("binary"))
+    return F.when(n > 0, F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), n))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.pregel import VertexProgram, pregel, register
+from millrace.plans.pregel import PROGRAMS, VertexProgram, pregel, register
+from millrace.plans.state import cut
 
 
 def transpose(edges: DataFrame) -> DataFrame:
@@ -85,19 +86,43 @@ def shortest_paths(edges: DataFrame, source: int, vertices: DataFrame | None = N
     return out.select("id", F.col("best.dist").alias("dist"), F.col("best.pred").alias("pred"))
 
 
-def path_to(paths: DataFrame, source: int, target: int, max_length: int = 1_000_000) -> list[int]:
-    """The vertices from `source` to `target`, by the predecessors of shortest_paths; empty if unreached. One
-    small lookup for each vertex of the path."""
-    paths = paths.select("id", "pred", "dist").persist()
-    path, at = [], target
-    while len(path) < max_length:
-        row = paths.where(F.col("id") == at).first()
-        if row is None or row["dist"] is None:
-            path = []
-            break
-        path.append(at)
-        if at == source:
-            break
-        at = row["pred"]
-    paths.unpersist()
-    return path[::-1]
+def paths_back(paths: DataFrame, source: int, target: int | None = None) -> DataFrame:
+    """(id, place, vertex) of the whole path from `source` to each vertex that shortest_paths reached (or to
+    `target` alone), place counting from 0 at the source. A path of n steps takes n + 1 rows. ValueError if
+    predecessors run in a circle, as edges without weight may make them.
+
+    Every vertex learns its ancestor 1, 2, 4, ... steps back by joining the table of jumps with itself, and
+    its path's length; ancestors are then put together from the jumps. The joins are as many as the binary digits
+    of the longest path, not its vertices."""
+    reached = paths.where("dist IS NOT NULL").select("id", "pred")
+    jump = cut(reached.select("id", F.when(F.col("id") == F.lit(source), F.col("id")).otherwise(F.col("pred")).alias("up"), F.when(F.col("id") == F.lit(source), 0).otherwise(1).cast("long").alias("n")))
+    jumps = [jump]
+    while jump.where(F.col("up") != F.lit(source)).limit(1).count():
+        far = jump.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("n").alias("_n"))
+        if len(jumps) > 62:
+            raise ValueError("the predecessors run in a circle")
+        jump = cut(jump.join(far, F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up"), (F.col("n") + F.col("_n")).alias("n")))
+        jumps.append(jump)
+    # Places back from the end: of 0, then twice as many with every digit.
+    ends = jump if target is None else jump.where(F.col("id") == F.lit(target))
+    out = ends.select("id", F.col("id").alias("at"), F.lit(0).cast("long").alias("back"), F.col("n").alias("length"))
+    for k, j in enumerate(jumps):
+        step = j.select(F.col("id").alias("_id"), F.col("up").alias("_up"))
+        further = out.where(F.col("back") + F.lit(2**k) <= F.col("length")).join(step, F.col("at") == F.col("_id"))
+        out = cut(out.union(further.select("id", F.col("_up").alias("at"), (F.col("back") + F.lit(2**k)).alias("back"), "length")))
+    return out.select("id", (F.col("length") - F.col("back")).alias("place"), F.col("at").alias("vertex"))
+
+
+def path_to(paths: DataFrame, source: int, target: int) -> list[int]:
+    """The vertices from `source` to `target`, by the predecessors of shortest_paths, however many they are;
+    empty if unreached. One vertex's path, so that it fits the caller."""
+    rows = paths_back(paths, source, target).collect()
+    return [r["vertex"] for r in sorted(rows, key=lambda r: r["place"])]
+
+
+def run_program(name: str, edges: DataFrame, vertices: DataFrame | None = None, **arguments) -> DataFrame:
+    """Runs the registered program of that name; its other arguments are those of the function registered. ValueError
+    names the programs there are."""
+    if name not in PROGRAMS:
+        raise ValueError(f"no program {name!r}; there are {', '.join(sorted(PROGRAMS))}")
+    return pregel(edges, PROGRAMS[name](**arguments), vertices)[0]

@@ -12,7 +12,7 @@ from millrace.plans.state import cut
 from millrace.sources import cells_of_groups, cells_of_join, cells_of_rows
 from millrace.spec import Distinct, GroupBy, Join, Ref, parse
 
-#: Aggregates by name; more can be added.
+#: Aggregates by name, for specs too; more can be added. All but count name a column.
 AGGREGATES: dict[str, Callable] = {"count": lambda c: F.count("*"), "avg": F.avg, "max": F.max, "sum": F.sum, "min": F.min}
 
 
@@ -22,13 +22,14 @@ def _side(df: DataFrame, side: str, wanted: list[Ref], order: list[str] = ()) ->
     return df.select(*[F.col(df.columns[i]).alias(f"{side}{i}") for i in cols], *[F.col(c).alias(f"_{side}_{k}") for k, c in enumerate(order)])
 
 
-def join(r: DataFrame, s: DataFrame, q: Join, how: str = "hash", r_order: list[str] = (), s_order: list[str] = ()) -> DataFrame:
-    """All matches of an inner equi-join: key and the asked columns (R5, S1). `how` is `hash` (R is the build
-    side) or `merge`; both give the same bag. Keys that are null match nothing."""
+def join(r: DataFrame, s: DataFrame, q: Join, how: str = "hash", r_order: list[str] = (), s_order: list[str] = (), strategy: str | None = None) -> DataFrame:
+    """All matches of an inner equi-join: key and the asked columns (R5, S1). `how`, hash or merge, only says
+    in which order join_cells counts matches: the bag is the same, and Catalyst chooses how to join by the sizes of
+    both sides. `strategy` (broadcast, shuffle_hash or merge, a hint for S) is for callers who know better.
+    Keys that are null match nothing."""
     wanted = [q.r_key, q.s_key, *q.res]
     left, right = _side(r, "R", wanted, r_order), _side(s, "S", wanted, s_order)
-    left = left.hint("shuffle_hash") if how == "hash" else left.hint("merge")
-    out = left.join(right, F.col(str(q.r_key)) == F.col(str(q.s_key)))
+    out = left.join(right.hint(strategy) if strategy else right, F.col(str(q.r_key)) == F.col(str(q.s_key)))
     extra = [c for c in out.columns if c.startswith("_")]
     return out.select(F.col(str(q.r_key)).alias("key"), *dict.fromkeys(str(x) for x in q.res), *extra)
 
@@ -84,11 +85,12 @@ def ranked_rows(rows: DataFrame, key, name: str = "rank") -> DataFrame:
     return out.withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_k", "_p", "_before", "_i")
 
 
-def run(spec: str, read: Callable[[str], DataFrame], how: str = "hash") -> DataFrame:
-    """Parses a spec, reads its tables by `read` and runs it; `how` is hash or sort (merge)."""
-    q = parse(spec)
+def run(spec: str, read: Callable[[str], DataFrame], how: str = "hash", strategy: str | None = None) -> DataFrame:
+    """Parses a spec, reads its tables by `read` and runs it; `how` is hash or sort (merge), `strategy` a
+    hint for joins."""
+    q = parse(spec, aggregates=AGGREGATES)
     if isinstance(q, Join):
-        return join(read(q.r), read(q.s), q, "hash" if how == "hash" else "merge")
+        return join(read(q.r), read(q.s), q, "hash" if how == "hash" else "merge", strategy=strategy)
     if isinstance(q, GroupBy):
         return group_by(read(q.r), q, exact=how != "hash")
     return distinct(read(q.r), q, ranked=how != "hash")
@@ -96,7 +98,7 @@ def run(spec: str, read: Callable[[str], DataFrame], how: str = "hash") -> DataF
 
 def run_cells(spec: str, read: Callable[[str], DataFrame], how: str = "hash", **order) -> DataFrame:
     """The same as cells (row_key, family, qualifier, value), ready for write_table."""
-    q = parse(spec)
+    q = parse(spec, aggregates=AGGREGATES)
     if isinstance(q, Join):
         return join_cells(read(q.r), read(q.s), q, "hash" if how == "hash" else "merge", **order)
     if isinstance(q, GroupBy):

@@ -17,6 +17,8 @@ def word_lines(counts: DataFrame) -> DataFrame:
     return counts.select("word", F.format_string("count of %s =\t%d", "word", "n").alias("value"))
 
 
-def pair_stats(rows: DataFrame) -> DataFrame:
-    """source, destination, n and the average time as text with three decimals, from source, destination, time."""
-    return rows.groupBy("source", "destination").agg(F.count("*").alias("n"), decimal_format(F.sum("time").cast("double") / F.count("time"), 3).alias("avg"))
+def pair_stats(rows: DataFrame, ordered: bool = False) -> DataFrame:
+    """source, destination, n and the average time as text with three decimals, from source, destination,
+    time; `ordered` by source, then destination, as files of a sorted job are (not on a stream)."""
+    out = rows.groupBy("source", "destination").agg(F.count("*").alias("n"), decimal_format(F.sum("time").cast("double") / F.count("time"), 3).alias("avg"))
+    return out.orderBy("source", "destination") if ordered else out

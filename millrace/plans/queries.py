@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.operators import graph, metrics, relational, simrank, textagg
 from millrace.plans.pregel import VertexProgram, pregel
-from millrace.sources import edge_headers, in_neighbours, out_degrees, rank_lines, distance_lines, read_table, similarity_lines, wide_cells
+from millrace.plans.state import scratch_path
+from millrace.sources import TPCH, distance_lines, edge_headers, in_neighbours, out_degrees, rank_lines, read_delimited, read_edges, read_keyed, read_lines, read_table, similarity_lines, wide_cells, write_edges, write_lines, write_vertices
 from millrace.spec import Ref
 
+#: The sample specs of the query language.
 JOIN_ORDERS = "R=lineitem S=orders join:R0=S0 res:S1,R1,R5"
 JOIN_PARTS = "R=lineitem S=part join:R1=S0 res:S1,S3,R5"
 GROUP_SUPPLIERS = "R=lineitem groupby:R2 res:count,max(R5)"
@@ -73,6 +75,16 @@ def join_nation_region(spark, d):
     return _named(relational.run("R=nation S=region join:R2=S0 res:R1,S1", _reader(spark, d), "sort"), r1="R1", s1="S1")
 
 
+@query("SELECT n_name AS r1, r_name AS s1 FROM nation JOIN region ON n_regionkey = r_regionkey")
+def join_delimited(spark, d):
+    """The same over |-separated files that end their lines with a separator."""
+    folder = scratch_path(spark, "delimited")
+    texts = {"nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name")}
+    for name, columns in texts.items():
+        write_lines(read_table(spark, d, name).select(F.concat(*[F.concat(F.col(c).cast("string"), F.lit("|")) for c in columns], F.lit("no comment|")).alias("value")), f"{folder}/{name}")
+    return _named(relational.run("R=nation S=region join:R2=S0 res:R1,S1", lambda name: read_delimited(spark, f"{folder}/{name}", TPCH[name])), r1="R1", s1="S1")
+
+
 # Groups ---------------------------------------------------------------------------------------------------
 
 
@@ -94,6 +106,11 @@ def group_cells(spark, d):
     return relational.run_cells("R=customer groupby:R4 res:count,avg(R3),max(R0)", _reader(spark, d), "sort")
 
 
+@query("SELECT l_returnflag AS key, count(*) AS n, min(l_quantity) AS min_r4, sum(l_linenumber)::DOUBLE AS sum_r3 FROM lineitem GROUP BY 1")
+def group_sums(spark, d):
+    return _named(relational.run("R=lineitem groupby:R8 res:count,min(R4),sum(R3)", _reader(spark, d), "hash"), key="key", n="count", min_r4="min(R4)", sum_r3="sum(R3)")
+
+
 # Selections and distinct ----------------------------------------------------------------------------------
 
 _FILTERED = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity::FLOAT {op} 5::FLOAT"
@@ -154,14 +171,11 @@ def word_lines(spark, d):
     return textagg.word_lines(textagg.word_count(read_table(spark, d, "conversations"), "text")).select("value")
 
 
-def _triples(spark, d) -> DataFrame:
-    return read_table(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("destination"), F.col("value").cast("decimal(18,2)").alias("time"))
-
-
 @query("SELECT user_id::VARCHAR AS source, event_type AS destination, count(*) AS n, regexp_replace(printf('%.3f', sum(value::DECIMAL(18,2))::DOUBLE / count(*)), '^(-?)0[.]', '\\1.') AS avg FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def pair_stats(spark, d):
-    rows = _triples(spark, d).where("time IS NOT NULL")
-    return textagg.pair_stats(rows)
+    """Over lines of text; where an event has no value, its line lacks the third token and doesn't count."""
+    lines = read_table(spark, d, "events").select(F.concat_ws(" ", F.col("user_id").cast("string"), "event_type", F.col("value").cast("decimal(18,2)").cast("string")).alias("value"))
+    return textagg.pair_stats(read_keyed(lines).withColumn("time", F.col("time").cast("decimal(18,2)")))
 
 
 # Graphs ---------------------------------------------------------------------------------------------------
@@ -246,6 +260,16 @@ def pagerank_lines(spark, d):
     return rank_lines(graph.pagerank(nation_edges(spark, d))[0])
 
 
+@query(_rank_steps(_NATION, 40) + _rank_halt(40).replace("SELECT id, round(rank, 6) AS rank, k AS steps", "SELECT printf('%d: %f', id, rank) AS value"))
+def pagerank_files(spark, d):
+    """From edge files with headers to vertex files, and those read again."""
+    folder = scratch_path(spark, "graph")
+    write_edges(nation_edges(spark, d), f"{folder}/edges", 4)
+    ranks, _ = graph.pagerank(read_edges(spark, *[f"{folder}/edges/part={k}" for k in range(1, 5)]))
+    write_vertices(rank_lines(ranks), f"{folder}/ranks", 4)
+    return read_lines(spark, f"{folder}/ranks/part=*")
+
+
 def _path_steps(edges: str, n: int, source: int = 0) -> str:
     ctes = [f"e AS MATERIALIZED (SELECT src, dst, min(weight) AS weight FROM ({edges}) GROUP BY 1, 2)", "v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)", f"d0 AS MATERIALIZED (SELECT {source}::BIGINT AS id, 0.0::DOUBLE AS dist)"]
     ctes += [f"d{k} AS MATERIALIZED (SELECT id, min(dist) AS dist FROM (SELECT * FROM d{k - 1} UNION ALL SELECT e.dst, p.dist + e.weight FROM d{k - 1} p JOIN e ON e.src = p.id) GROUP BY 1)" for k in range(1, n + 1)]
@@ -267,6 +291,19 @@ def shortest_paths(spark, d):
     return graph.shortest_paths(nation_edges(spark, d), 0).withColumn("pred", F.coalesce("pred", F.lit(-1).cast("long")))
 
 
+_PRED = _path_steps(_NATION, 25) + ", p AS (SELECT e.dst AS id, min(e.src) AS pred FROM e JOIN d25 s ON s.id = e.src JOIN d25 t ON t.id = e.dst WHERE s.dist + e.weight = t.dist AND t.dist > 0 GROUP BY 1)"
+
+
+@query("WITH RECURSIVE " + _PRED.removeprefix("WITH ") + ", w AS (SELECT id, id AS vertex, 0 AS back FROM d25 UNION ALL SELECT w.id, p.pred, back + 1 FROM w JOIN p ON p.id = w.vertex) SELECT id, (max(back) OVER (PARTITION BY id) - back)::BIGINT AS place, vertex FROM w")
+def path_vertices(spark, d):
+    return graph.paths_back(graph.shortest_paths(nation_edges(spark, d), 0), 0)
+
+
+@query(_path_steps(_NATION, 25) + " SELECT v.id, dist FROM v LEFT JOIN d25 USING (id)")
+def program_by_name(spark, d):
+    return graph.run_program("sssp", nation_edges(spark, d), source=0).select("id", "dist")
+
+
 def _hops(edges: str, n: int) -> str:
     return _path_steps(edges, n).replace("min(weight) AS weight", "1.0::DOUBLE AS weight")
 
@@ -293,60 +330,83 @@ def nations(spark, d) -> DataFrame:
     return read_table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
 
 
-def light_edges(spark, d) -> DataFrame:
-    """The nation graph's edges between a nation and those up to three numbers on, a graph of few pairs."""
-    return nation_edges(spark, d).where("pmod(dst - src, 25) BETWEEN 1 AND 3 AND (src * 7 + dst) % 4 <> 0")
-
-
-_LIGHT = f"SELECT * FROM ({_NATION}) WHERE ((dst - src) % 25 + 25) % 25 BETWEEN 1 AND 3 AND (src * 7 + dst) % 4 <> 0"
-
-
 def _sim_steps(n: int, matrix: bool) -> str:
-    ctes = [f"e AS MATERIALIZED ({_LIGHT})", "q AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE / any_value(n) AS share FROM e JOIN (SELECT dst, count(*) AS n FROM e GROUP BY 1) USING (dst) GROUP BY 1, 2)"]
+    ctes = [f"e AS MATERIALIZED ({_NATION})", "q AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE / any_value(n) AS share FROM e JOIN (SELECT dst, count(*) AS n FROM e GROUP BY 1) USING (dst) GROUP BY 1, 2)"]
     unit = "SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT AS b, 1.0::DOUBLE AS sim FROM nation"
-    ctes.append(f"s0 AS MATERIALIZED ({unit})")
+    ctes.append(f"s0 AS MATERIALIZED (SELECT a, b, sim * (1 - 0.8::DOUBLE) AS sim FROM ({unit}))" if matrix else f"s0 AS MATERIALIZED ({unit})")
     for k in range(1, n + 1):
-        step = f"SELECT x.dst AS a, y.dst AS b, 0.8 * sum(s.sim * x.share * y.share) AS sim FROM s{k - 1} s JOIN q x ON x.src = s.a JOIN q y ON y.src = s.b GROUP BY 1, 2"
+        half = f"SELECT s.a, y.dst AS b, sum(s.sim * y.share) AS sim FROM s{k - 1} s JOIN q y ON y.src = s.b GROUP BY 1, 2"
+        step = f"SELECT x.dst AS a, h.b, 0.8 * sum(h.sim * x.share) AS sim FROM ({half}) h JOIN q x ON x.src = h.a GROUP BY 1, 2"
         ctes.append(f"s{k} AS MATERIALIZED (" + (f"SELECT a, b, sum(sim) AS sim FROM ({step} UNION ALL SELECT a, b, sim * (1 - 0.8::DOUBLE) FROM ({unit})) GROUP BY 1, 2" if matrix else f"SELECT * FROM ({step}) WHERE a <> b UNION ALL {unit}") + ")")
     return "WITH " + ",\n".join(ctes)
 
 
+def _sim_halt(n: int) -> str:
+    steps = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(coalesce(x.sim, 0) - coalesce(y.sim, 0))) AS change FROM (SELECT * FROM s{k} WHERE a < b) x FULL JOIN (SELECT * FROM s{k - 1} WHERE a < b) y USING (a, b)" for k in range(1, n + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, * FROM s{k}" for k in range(1, n + 1))
+    return f", halt AS (SELECT coalesce(min(k), {n}) AS k FROM ({steps}) WHERE coalesce(change, 0) <= 1e-6) SELECT a, b, round(sim, 6) AS sim, k AS steps FROM ({every}) JOIN halt USING (k) WHERE a < b"
+
+
 @query(_sim_steps(3, False) + " SELECT a, b, round(sim, 6) AS sim FROM s3 WHERE a < b")
 def simrank_3(spark, d):
-    return simrank.simrank(light_edges(spark, d), nations(spark, d), 0.8, max_steps=3, tolerance=0.0)[0].select("a", "b", F.round("sim", 6).alias("sim"))
+    return simrank.simrank(nation_edges(spark, d), nations(spark, d), 0.8, max_steps=3, tolerance=0.0)[0].select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(_sim_steps(3, True) + " SELECT a, b, round(sim, 6) AS sim FROM s3")
 def simrank_matrix_3(spark, d):
-    return simrank.simrank_matrix(light_edges(spark, d), nations(spark, d), 0.8, max_steps=3, tolerance=0.0)[0].select("a", "b", F.round("sim", 6).alias("sim"))
+    return simrank.simrank_matrix(nation_edges(spark, d), nations(spark, d), 0.8, max_steps=3, tolerance=0.0)[0].select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(_sim_steps(100, False) + _sim_halt(100))
 def simrank_converged(spark, d):
     sim, steps = simrank.simrank(nation_edges(spark, d), nations(spark, d), 0.8)
-    return sim.withColumn("steps", F.lit(steps))
+    return sim.select("a", "b", F.round("sim", 6).alias("sim"), F.lit(steps).alias("steps"))
 
 
-@query()
+def _mc_steps(steps: int, rounds: int = 100) -> str:
+    """Walks against the edges by the draws of uniform_draw, and where two walkers of a round first meet."""
+    ctes = [f"e AS MATERIALIZED (SELECT dst AS src, src AS dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS k FROM ({_NATION}))", "n AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY 1)"]
+    ctes.append(f"w0 AS MATERIALIZED (SELECT n_nationkey::BIGINT AS walker, r AS round, n_nationkey::BIGINT AS spot FROM nation, range({rounds}) t(r))")
+    ctes += [f"w{k + 1} AS MATERIALIZED (SELECT walker, round, e.dst AS spot FROM w{k} JOIN n ON n.src = spot JOIN e ON e.src = spot AND e.k = ('0x' || substr(md5(concat_ws(':', 1, round, walker, {k})), 1, 12))::BIGINT % n.n)" for k in range(steps)]
+    spots = " UNION ALL ".join(f"SELECT {k} AS step, * FROM w{k}" for k in range(1, steps + 1))
+    ctes.append(f"p AS MATERIALIZED ({spots})")
+    ctes.append("m AS MATERIALIZED (SELECT x.round, x.walker AS a, y.walker AS b, min(x.step) AS step FROM p x JOIN p y ON x.round = y.round AND x.step = y.step AND x.spot = y.spot AND x.walker < y.walker GROUP BY 1, 2, 3)")
+    return "WITH " + ",\n".join(ctes)
+
+
+@query(_mc_steps(5) + " SELECT a, b, round(sum(pow(0.8::DOUBLE, step)) / 100, 6) AS sim FROM m GROUP BY 1, 2")
 def simrank_mc(spark, d):
-    return simrank.simrank_monte_carlo(graph.transpose(nation_edges(spark, d)), nations(spark, d), rounds=100, length=6, c=0.8)
+    return simrank.simrank_monte_carlo(graph.transpose(nation_edges(spark, d)), nations(spark, d), rounds=100, length=6, c=0.8).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(_mc_steps(6) + ", s AS (SELECT a, b, round(sum(pow(0.8::DOUBLE, step)) / 100, 6) AS sim FROM m GROUP BY 1, 2) SELECT a, b, sim FROM s UNION ALL SELECT b, a, sim FROM s UNION ALL SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 1.0::DOUBLE FROM nation")
 def simrank_mc_meeting(spark, d):
-    return simrank.simrank_monte_carlo_meeting(nation_edges(spark, d), nations(spark, d), rounds=100, length=6, c=0.8)
+    return simrank.simrank_monte_carlo_meeting(nation_edges(spark, d), nations(spark, d), rounds=100, length=6, c=0.8).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(_sim_steps(5, False) + " SELECT a AS id, a || ': {' || string_agg(printf(' %d: %f,', b, sim), '' ORDER BY b) || '}' AS value FROM s5 WHERE a < b AND sim > 0 GROUP BY a")
 def simrank_lines(spark, d):
     return similarity_lines(simrank.simrank(nation_edges(spark, d), nations(spark, d), 0.8, max_steps=5, tolerance=0.0)[0])
 
 
+@query(_mc_steps(5) + """, t AS (SELECT a, b, sim FROM s20 WHERE a < b), l AS (SELECT r.done AS round, a, b, sum(pow(0.8::DOUBLE, step)) / r.done AS sim FROM (SELECT unnest([25, 50, 75, 100]) AS done) r JOIN m ON m.round < r.done GROUP BY 1, 2, 3),
+    c AS (SELECT coalesce(x.round, y.round + 25) AS round, max(abs(coalesce(x.sim, 0) - coalesce(y.sim, 0))) AS update FROM l x FULL JOIN (SELECT * FROM l WHERE round < 100) y ON x.round = y.round + 25 AND x.a = y.a AND x.b = y.b GROUP BY 1),
+    g AS (SELECT r.done AS round, sum(abs(coalesce(l.sim, 0) - t.sim)) AS error FROM (SELECT unnest([25, 50, 75, 100]) AS done) r JOIN t ON true LEFT JOIN l ON l.round = r.done AND l.a = t.a AND l.b = t.b GROUP BY 1),
+    h AS (SELECT l.round, sum(l.sim) AS error FROM l ANTI JOIN t ON l.a = t.a AND l.b = t.b GROUP BY 1)
+    SELECT c.round::INT AS round, round(update, 6) AS update, round((g.error + coalesce(h.error, 0)) / 300, 6) AS error FROM c JOIN g USING (round) LEFT JOIN h USING (round)""".replace("s20", "(" + _sim_steps(20, False) + " SELECT * FROM s20)"))
+def similarity_progress(spark, d):
+    """How far the Monte-Carlo log of 25, 50, 75 and 100 rounds is from 20 exact sweeps."""
+    edges, ids, log = nation_edges(spark, d), nations(spark, d), scratch_path(spark, "log")
+    simrank.simrank_monte_carlo(graph.transpose(edges), ids, rounds=100, length=6, c=0.8, batch=25, log=log)
+    truth = simrank.simrank(edges, ids, 0.8, max_steps=20, tolerance=0.0)[0]
+    return metrics.progress(spark.read.parquet(log), truth, 300, 25).select("round", F.round("update", 6).alias("update"), F.round("error", 6).alias("error"))
+
+
 # Quality --------------------------------------------------------------------------------------------------
 
 
 def _two(spark, d) -> tuple[DataFrame, DataFrame]:
-    edges, ids = light_edges(spark, d), nations(spark, d)
+    edges, ids = nation_edges(spark, d), nations(spark, d)
     one = simrank.simrank(edges, ids, 0.8, max_steps=2, tolerance=0.0)[0]
     three = simrank.simrank(edges, ids, 0.8, max_steps=4, tolerance=0.0)[0]
     clean = lambda m: m.select("a", "b", F.round("sim", 6).alias("sim"))
@@ -376,4 +436,3 @@ def similarity_top(spark, d):
 
 def flagship(spark, d) -> DataFrame:
     return join_hash(spark, d)
-

@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
+
+
+def own_folder(context: SparkContext) -> str:
+    """A folder of this machine, for local masters only: the machines of a cluster would not share it."""
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="millrace-")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, or in one of our own on a local master."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{given.rstrip('/') if given else 'file://' + own_folder(spark.sparkContext)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, cached: bool = False) -> DataFrame:
@@ -13,7 +28,7 @@ def cut(df: DataFrame, cached: bool = False) -> DataFrame:
     unless they are `cached` already, since Spark computes them once more to write them."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+        context.setCheckpointDir(own_folder(context))
     if cached:
         return df.checkpoint(eager=True)
     held = df.persist()

@@ -1,8 +1,8 @@
 """Compact query specs over positional columns.
 
-    R=<path> S=<path> join:R0=S0 res:S1,R1,R5
-    R=<path> groupby:R2 res:count,avg(R3),max(R4)
-    R=<path> select:R7,gt,1800 distinct:R3,R4,R5
+    R=<path> S=<path> join:R4=S2 res:S0,R6,R9
+    R=<path> groupby:R8 res:count,avg(R7),max(R6)
+    R=<path> select:R6,ge,12.5 distinct:R1,R8
 
 R and S are tables; R<i> and S<i> are their columns from 0. The arguments may come in any order.
 """
@@ -10,12 +10,14 @@ R and S are tables; R<i> and S<i> are their columns from 0. The arguments may co
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from millrace.functions import COMPARISONS
 
 USAGE = __doc__.split("\n\n")[1]
-AGGREGATES = ("count", "avg", "max")
+#: Aggregates that a spec may name; others can be given to parse.
+AGGREGATES = ("count", "avg", "max", "sum", "min")
 
 
 @dataclass(frozen=True)
@@ -68,9 +70,9 @@ class Distinct:
     columns: tuple[Ref, ...]
 
 
-def parse(*args: str) -> Join | GroupBy | Distinct:
+def parse(*args: str, aggregates: Iterable[str] = AGGREGATES) -> Join | GroupBy | Distinct:
     """The query that the arguments (or one string with blanks between them) say; ValueError with the usage
-    if they say none."""
+    if they say none. `aggregates` are the names that a group-by may use: count, and others of one column."""
     if len(args) == 1:
         args = tuple(args[0].split())
     given: dict[str, str] = {}
@@ -88,9 +90,10 @@ def parse(*args: str) -> Join | GroupBy | Distinct:
     if kinds == {"R", "groupby", "res"}:
         res = []
         for x in given["res"].split(","):
-            m = re.fullmatch(r"(count)|(avg|max)\((R\d+)\)", x)
-            if not m:
-                raise ValueError(f"{x!r} is no aggregate; one of count, avg(R<i>), max(R<i>)\n{USAGE}")
+            m = re.fullmatch(r"(count)|(\w+)\((R\d+)\)", x)
+            if not m or (m[1] or m[2]) not in aggregates or m[2] == "count":
+                known = ", ".join(a if a == "count" else f"{a}(R<i>)" for a in aggregates)
+                raise ValueError(f"{x!r} is no aggregate; one of {known}\n{USAGE}")
             res.append(Aggregate(m[1] or m[2], Ref.parse(m[3]) if m[3] else None))
         return GroupBy(given["R"], Ref.parse(given["groupby"], "R"), tuple(res))
     if kinds == {"R", "select", "distinct"}:

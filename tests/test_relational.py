@@ -2,7 +2,7 @@ import numpy as np
 from helpers import rows
 from pyspark.sql import functions as F
 
-from millrace.functions import COMPARISONS, compare, decimal_format, fields, number, tokens, uniform_pick
+from millrace.functions import COMPARISONS, compare, decimal_format, fields, number, tokens, uniform_draw
 from millrace.operators import relational
 from millrace.sources import cells_of_groups, wide_cells, write_table
 from millrace.spec import Ref, parse
@@ -18,9 +18,33 @@ def test_joins_keep_bags(spark):
     want = [(1, "x", "a"), (1, "x", "b"), (1, "y", "a"), (1, "y", "b"), (3, "z", "d")]
     for how in ("hash", "sort"):
         assert rows(relational.run("R=r S=s join:R0=S0 res:S1,R1", tables(spark), how)) == want
-    plan = relational.run("R=r S=s join:R0=S0 res:S1", tables(spark), "sort")._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan
-    assert "ShuffledHashJoin" in relational.run("R=r S=s join:R0=S0 res:S1", tables(spark))._jdf.queryExecution().toString()
+    plan = lambda *a: relational.run("R=r S=s join:R0=S0 res:S1,R1", tables(spark), *a)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan("sort", "merge") and "ShuffledHashJoin" in plan("hash", "shuffle_hash")
+
+
+def test_catalyst_chooses_the_join(spark, sf_dir):
+    """Small tables are broadcast; beyond that size, lineitem is never what a join builds a table of."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plan = lambda spec, how: relational.run(spec, read, how)._jdf.queryExecution().toString()
+    for how in ("hash", "sort"):
+        assert "BroadcastHashJoin" in plan("R=nation S=region join:R2=S0 res:R1,S1", how)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in ("hash", "sort"):
+            p = plan("R=lineitem S=orders join:R0=S0 res:S1,R1,R5", how)
+            assert "SortMergeJoin" in p or "ShuffledHashJoin" in p and "BuildRight" in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_more_aggregates(spark):
+    df = spark.createDataFrame([("a", 0.5), ("a", 1.5), ("b", 1.25)], "k string, v double")
+    assert rows(relational.run("R=x groupby:R0 res:sum(R1),min(R1)", lambda _: df)) == [("a", 2.0, 0.5), ("b", 1.25, 1.25)]
+    relational.AGGREGATES["spread"] = lambda c: F.max(c) - F.min(c)
+    try:
+        assert rows(relational.run("R=x groupby:R0 res:spread(R1),count", lambda _: df)) == [("a", 1.0, 2), ("b", 0.0, 1)]
+    finally:
+        del relational.AGGREGATES["spread"]
 
 
 def test_cells_number_matches(spark):
@@ -78,4 +102,5 @@ def test_scalars(spark):
     assert pick(number(F.lit("x1"))) is None and pick(number(F.lit(" 1.5 "))) == 1.5
     assert pick(tokens(F.lit("  a\tb\n\nc "))) == ["a", "b", "c"]
     assert pick(decimal_format(F.lit(0.125), 2)) == ".12" and pick(decimal_format(F.lit(12.3), 3)) == "12.300"
-    assert pick(uniform_pick(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(7))) in (1, 2, 3)
+    draws = [r[0] for r in spark.range(3000).select(uniform_draw(F.lit(3), F.col("id"), F.lit(7))).collect()]
+    assert all(abs(draws.count(k) - 1000) < 100 for k in range(3)) and pick(uniform_draw(F.lit(0), F.lit(7))) is None
