@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.ship import ship
+from millrace.plans.state import own_folder
 
 #: The white space of the word and line definitions: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -20,19 +20,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever stands in it: a dot or a tick is part of the name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_ids(df: DataFrame, name: str) -> Column:
+    """An id column as long; ValueError if it holds no whole numbers by its type."""
+    if (kind := df.schema[name].dataType.typeName()) not in ("byte", "short", "integer", "long", "void"):
+        raise ValueError(f"{name} must be a column of whole numbers, not {kind}")
+    return column(name).cast("long")
+
+
+def packed(df: DataFrame, replaced: tuple = ()) -> tuple[DataFrame, list[str]]:
+    """(`df` as one struct column `row` of c0, c1, ..., the columns' names): beside it, an operator's own columns
+    clash with none of the caller's. See unpacked."""
+    fields = [column(c).alias(f"c{i}") for i, c in enumerate(df.columns)] or [F.lit(None).alias("c0")]
+    return df.select(F.struct(*fields).alias("row")), [c for c in df.columns if c not in replaced]
+
+
+def field(df: DataFrame, name: str) -> str:
+    """Where the packed row of `df` holds the column of that name."""
+    return f"row.c{df.columns.index(name)}"
+
+
+def unpacked(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns `names` of the frame `df` that was packed, from its rows, under their own names."""
+    return [F.col(field(df, c)).alias(c) for c in names]
+
+
+def numbered(df: DataFrame, given: list[str], text_col: str) -> tuple[DataFrame, list[str]]:
+    """(the columns `given` of `df` as c0, c1, ... and `text_col` as text, the former names): names that Arrow
+    functions can take."""
+    names = [f"c{i}" for i in range(len(given))]
+    return df.select(*[column(c).alias(n) for c, n in zip(given, names, strict=True)], column(text_col).alias("text")), names
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The shared folder of spark.checkpoint.dir; where that is unset, a folder of our own on a local master
+    (tests), and an error on another, whose machines would not share it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     own = spark.conf.get("spark.millrace.scratch", None)
     if not own:
-        own = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        own = f"file://{own_folder(spark.sparkContext)}"
         spark.conf.set("spark.millrace.scratch", own)
     return own
 

@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, components, lean, partitions, release
 
 
+#: Parts of a large group's members where they learn its size.
+SALTS = 16
+
+
+def sized(rows: DataFrame, on: list[str], size: Column, name: str, least: int) -> DataFrame:
+    """`rows` with an int column `name`, `size` of all rows with the same values of `on`, `least` at least. Only
+    groups above that have a row in the join, which are few, and one for each of SALTS parts of the group, so that no
+    task of the join holds a large group whole. The rows of a part are those with one hash of all other columns."""
+    large = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in on]).agg(size.cast("int").alias(name)).where(F.col(name) > least)
+    large = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int") == F.col("_salt")
+    for c in on:
+        salt &= F.col(c) == F.col(f"_{c}")
+    return rows.join(large, salt, "left").select(*rows.columns, F.coalesce(name, F.lit(least)).alias(name))
+
+
 def runs_of(batches, keys: list[str], values: list[str]) -> Iterator[tuple]:
     """(key, columns of values as lists) of each run of equal keys in sorted Arrow batches."""
     import numpy as np
@@ -79,9 +95,9 @@ def compare_groups(members: DataFrame, compare: Callable, payload: list[str], pe
     inside the two blocks hang together: a row for each component of a block, not for each node.
     """
     spark = members.sparkSession
-    blocks = F.greatest(F.ceil(F.count("*") / F.lit(per_block)), F.ceil(F.sum("size") / F.lit(block_bytes)), F.lit(1)).cast("int")
-    stats = members.groupBy("grp").agg(blocks.alias("blocks"), F.count("*").alias("_n")).where("_n > 1").select(F.col("grp").alias("_grp"), "blocks")
-    rows = members.join(stats, F.col("grp") == F.col("_grp")).withColumn("own", F.pmod(F.xxhash64(F.lit(11), "node"), "blocks").cast("int"))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(per_block)), F.ceil(F.sum("size") / F.lit(block_bytes)))
+    rows = sized(members, ["grp"], blocks, "blocks", 1)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(11), "node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     rows = rows.select("grp", "lo", "hi", "own", "blocks", "node", "w", *payload).repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "own", "node")

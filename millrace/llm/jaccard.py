@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, components, lean, release, table
+from millrace.llm.common import Scratch, column, components, lean, release, table, whole_ids
 from millrace.llm.groups import compare_groups, links_and_components
-from millrace.llm.words import FACTOR, mix, word_hashes
+from millrace.llm.words import FACTOR, digest, mix, word_hashes
 
 WORDS = 5
 #: Runs that one pass over the texts samples.
@@ -22,7 +22,7 @@ def shingles(text: str | None, words: int = WORDS):
     text that has words is one shingle."""
     import numpy as np
 
-    h = word_hashes((text or "").lower().encode())[0]
+    h = word_hashes((text or "").lower().encode())
     if not len(h):
         return h
     span, step = min(words, len(h)), np.uint64(FACTOR)
@@ -48,11 +48,9 @@ def chosen(h, paths, lam: float):
     return np.concatenate(got).view(np.int64)
 
 
-def set_id(h) -> int:
-    import numpy as np
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64))
+def set_key(h) -> bytes:
+    """A digest of 128 bits, by which equal sets are known."""
+    return digest(h.tobytes(), 16)
 
 
 def overlaps(left: list, right: list):
@@ -108,7 +106,7 @@ def similar_sketches(threshold: float):
 
 
 def _sets(docs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """For each document: doc, n (shingles), node (hash of the set), sketch and the children of RUNS roots."""
+    """For each document: doc, n (shingles), key (of the set), sketch and the children of RUNS roots."""
 
     def run(batches):
         import numpy as np
@@ -117,32 +115,32 @@ def _sets(docs: DataFrame, threshold: float, words: int) -> DataFrame:
         roots = np.arange(1, RUNS + 1, dtype=np.uint64)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                part, n, node, sketch, kids = b.slice(lo, 256), [], [], [], []
+                part, n, key, sketch, kids = b.slice(lo, 256), [], [], [], []
                 for t in part.column("text").to_pylist():
                     h = shingles(t, words)
                     n.append(len(h))
-                    node.append(set_id(h) if len(h) else None)
+                    key.append(set_key(h) if len(h) else None)
                     sketch.append((h[:SKETCH] >> np.uint64(32)).astype(np.uint32))
                     sketch[-1] = np.unique(sketch[-1]).tobytes()
                     kids.append(np.unique(chosen(h, roots, threshold)) if len(h) else h.view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in kids])]).astype("i4")
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kids)))], names=["doc", "th", "n", "node", "sketch", "kids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kids)))], names=["doc", "th", "n", "key", "sketch", "kids"])
         release()
 
-    return docs.mapInArrow(run, "doc long, th long, n long, node long, sketch binary, kids array<long>")
+    return docs.mapInArrow(run, "doc long, th long, n long, key binary, sketch binary, kids array<long>")
 
 
 def _split(rows: DataFrame, threshold: float, words: int) -> DataFrame:
-    """The children of (text, node, grps): (grp, node) below each of the set's buckets."""
+    """The children of (text, node, key, grps): (grp, node) below each of the set's buckets."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            for t, node, grps in zip(*(b.column(c).to_pylist() for c in ("text", "node", "grps")), strict=True):
+            for t, node, key, grps in zip(*(b.column(c).to_pylist() for c in ("text", "node", "key", "grps")), strict=True):
                 h = shingles(t, words)
-                if len(h) and set_id(h) == node:
+                if len(h) and set_key(h) == key:
                     paths = np.array(grps, np.int64).view(np.uint64)
                     kids = np.unique(np.concatenate([chosen(h, paths[k : k + 16], threshold) for k in range(0, len(paths), 16)]))
                     yield pa.RecordBatch.from_arrays([pa.array(kids, pa.int64()), pa.array(np.full(len(kids), node), pa.int64())], names=["grp", "node"])
@@ -151,7 +149,7 @@ def _split(rows: DataFrame, threshold: float, words: int) -> DataFrame:
     return rows.mapInArrow(run, "grp long, node long")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, small: int = 256, block: int = 1024, max_depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, small: int = 256, block: int = 1024, max_depth: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Joins documents whose sets of `words`-word shingles are at least `threshold` similar: one row per row
     of `docs` with doc_id, class_id and n_links.
 
@@ -159,40 +157,50 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
     smallest doc_id that links reach. Equal sets are one node throughout, so copies never make pairs.
 
     Chosen paths: in every run, a set joins the buckets of the tokens that a hash of the path picks from it,
-    about 1 / threshold of them. Buckets of more than `small` sets are split again by their sets' tokens, to
-    `max_depth`; then all are compared by brute force on sketches, in blocks of `block`. A pair at the threshold
-    shares a bucket in one run with a probability that falls with the depth of the tree, 1 - exp(-1) at
-    depth one; runs are repeated until none is missed with probability `recall`. The components of the
-    candidates are compared exactly, text by text, in blocks, so no link has less than the threshold, and
-    links that the buckets missed inside a component are found too.
+    about 1 / threshold of them. Buckets of more than `small` sets are split again by their sets' tokens, as
+    deep as the logarithm of the number of sets asks for (or to `max_depth`), unless a split leaves as many sets in
+    large buckets as it found: those can't be told apart, and are compared by brute force on sketches, like
+    small buckets, in blocks of `block`. A pair at the threshold shares a bucket in one run with a probability that
+    falls with the depth of the tree, 1 - exp(-1) at depth one; runs are repeated until none is missed with
+    probability `recall`. The components of the candidates are compared exactly, text by text, in blocks, so
+    no link has less than the threshold, and links that the buckets missed inside a component are found too.
 
     Null, empty and blank texts have no shingles: no links, a class of their own. Shorter texts are one
-    shingle. Rows with null id link with nothing and have null class. Repeated rows count as one document,
-    each with a result row; an id with several texts is counted once for each set. Sets are known by a
-    64-bit hash. An empty table gives an empty table.
+    shingle. Ids are whole numbers (others raise ValueError). Rows with null id link with nothing and have null
+    class. Repeated rows count as one document, each with a result row; an id with several texts is counted once
+    for each set. Words and shingles are known by 64 bits of a digest inside a pair of texts, sets by 128. Other
+    columns of `docs`, whatever their names, are left out. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "jaccard")
     lean(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    texts = docs.select(whole_ids(docs, id_col).alias("doc"), F.xxhash64(column(text_col)).alias("th"), column(text_col).alias("text"))
     sets = work.write(_sets(texts, threshold, words), "sets")
-    known = sets.where("node IS NOT NULL AND doc IS NOT NULL")
-    nodes = work.write(known.groupBy("node").agg(F.min(F.struct("doc", "th")).alias("first"), F.count_distinct("doc").alias("w"), F.first("n").alias("n")).select("node", "first.doc", "first.th", "w", "n"), "nodes")
+    known = sets.where("key IS NOT NULL AND doc IS NOT NULL")
+    firsts = known.groupBy("key").agg(F.min(F.struct("doc", "th")).alias("first"), F.count_distinct("doc").alias("w"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("kids").alias("kids"))
+    # The number that a set is known by from here on is given once, as the table is written.
+    nodes = work.write(firsts.select(F.monotonically_increasing_id().alias("node"), "key", "first.doc", "first.th", "w", "n", "sketch", "kids"), "nodes")
+    placed = work.write(sets.select("doc", "key"), "placed")
+    work.drop("sets")
+    total = nodes.count()
+    deepest = max_depth or 2 + int(math.log(max(1.0, total / small), 16))
 
     def text_of(which: DataFrame) -> DataFrame:
-        """`which` (node, ...) with the text of each node's first document."""
-        firsts = which.join(nodes.select(F.col("node").alias("_n"), "doc", "th"), F.col("node") == F.col("_n")).drop("_n")
+        """`which` (node, ...) with the text and key of each node's first document."""
+        firsts = which.join(nodes.select(F.col("node").alias("_n"), "key", "doc", "th"), F.col("node") == F.col("_n")).drop("_n")
         return firsts.join(texts, ["doc", "th"]).drop("doc", "th")
 
-    at, missed, batch, edges = known.select(F.explode("kids").alias("grp"), "node").distinct(), 1.0, 0, None
+    at, missed, batch, edges = nodes.select(F.explode("kids").alias("grp"), "node"), 1.0, 0, None
     while True:
-        depth, ready = 1, []
+        depth, ready, before = 1, [], None
         while True:
             at = work.write(at, f"at-{batch}-{depth}")
             counts = at.groupBy("grp").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("c > 1")
             # Runs often give the same bucket again: one of those with equal members is enough.
             counts = work.write(counts.groupBy("c", "x", "y").agg(F.min("grp").alias("grp")), f"counts-{batch}-{depth}")
-            large = depth < max_depth and counts.where(F.col("c") > small).limit(1).count() > 0
+            over = counts.agg(F.sum(F.when(F.col("c") > small, F.col("c")))).first()[0] or 0
+            large = over > 0 and depth < deepest and (before is None or over < 0.8 * before)
+            before = over
             pick = counts.where(F.col("c") <= small) if large else counts
             ready.append(at.join(pick.select("grp"), "grp", "left_semi"))
             if not large:
@@ -200,11 +208,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
             deep = at.join(counts.where(F.col("c") > small).select("grp"), "grp", "left_semi").groupBy("node").agg(F.collect_list("grp").alias("grps"))
             at, depth = _split(text_of(deep), threshold, words).distinct(), depth + 1
         for k, r in enumerate(ready):
-            sketches = known.join(r.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-            members = r.join(sketches, "node").select("grp", "node", F.lit(1).cast("long").alias("w"), F.lit(4 * SKETCH).cast("long").alias("size"), "sketch", "n")
+            members = r.join(nodes.select(F.col("node").alias("_n"), "sketch", "n"), F.col("node") == F.col("_n"))
+            members = members.select("grp", "node", F.lit(1).cast("long").alias("w"), F.lit(4 * SKETCH).cast("long").alias("size"), "sketch", "n")
             found = compare_groups(members, similar_sketches(threshold), ["sketch", "n"], per_block=block, block_bytes=1 << 30, count=False)
             found = work.write(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), f"edges-{batch}-{k}")
             edges = found if edges is None else edges.union(found)
+        for k in range(1, depth + 1):
+            work.drop(f"at-{batch}-{k}")
         # A pair at the threshold survives a level with probability 1 - exp(-expected survivors).
         hit = 1.0
         for _ in range(depth):
@@ -218,12 +228,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
     groups = components(edges, work, "candidates")
     members = text_of(groups.join(nodes.select(F.col("node").alias("_m"), "w", "n"), F.col("node") == F.col("_m")).select("node", F.col("root").alias("grp"), "w", (F.col("n") * 16).alias("size")))
     links = links_and_components(members, similar_sets(threshold, words), ["text"], work)
-    roots = nodes.join(links.select(F.col("node").alias("_l"), "links", "root"), F.col("node") == F.col("_l"), "left").select("node", "doc", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    roots = nodes.join(links.select(F.col("node").alias("_l"), "links", "root"), F.col("node") == F.col("_l"), "left").select("key", "doc", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     roots = work.write(roots, "roots")
     least = roots.groupBy("root").agg(F.min("doc").alias("class"))
-    final = work.write(roots.join(least, "root").select(F.col("node").alias("_f"), "class", (F.col("links") + F.col("w") - 1).alias("links")), "final")
-    work.keep("sets", "final")
-    out = sets.select("doc", "node").join(final, F.when(F.col("doc").isNotNull(), F.col("node")) == F.col("_f"), "left")
+    final = work.write(roots.join(least, "root").select(F.col("key").alias("_f"), "class", (F.col("links") + F.col("w") - 1).alias("links")), "final")
+    work.keep("placed", "final")
+    out = placed.join(final, F.when(F.col("doc").isNotNull(), F.col("key")) == F.col("_f"), "left")
     return out.select(F.col("doc").alias("doc_id"), F.coalesce("class", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -10,12 +10,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import lean, once, release, table
+from millrace.llm.common import column, lean, numbered, once, release, table
 from millrace.llm.pieces import MARK, default_model, load_pieces
-from millrace.llm.words import FACTOR, word_hashes
+from millrace.llm.words import FACTOR
 
-#: Words whose scores a worker keeps; a power of two.
-CACHE = 1 << 19
+#: Words whose scores a worker keeps.
+CACHE = 1 << 18
 #: Longer words are scored by the running forward pass, which rescales, and fitted in logarithms.
 LONG = 40
 #: Words in one block of the forward pass, and characters of text, about, whose words are looked up at once.
@@ -24,9 +24,26 @@ BLOCK, CHARS = 8192, 600_000
 GAP = 10
 #: Bits of the tables of pieces' beginnings.
 TABLE = 20
+#: What may be a letter: numerals that aren't decimal digits are in it too.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
+def byte_piece(b: int) -> str:
+    """Stands for the piece of one byte, a character that no text holds."""
+    return chr(0xDC00 + b)
+
+
+def vocabulary_of(model_file: str) -> list[str]:
+    """The pieces of the fixed vocabulary: strings, and the bytes that cover every other character."""
+    v = load_pieces(model_file)
+    return [byte_piece(int(p[3:5], 16)) if k == 6 else p for p, k in zip(v["pieces"], v["kinds"], strict=True) if k in (1, 6)]
+
+
 def held_out(id_col: str, modulus: int, remainder: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
@@ -36,12 +53,17 @@ class Segmenter:
 
     Words stand one after the other as code points with a gap between. Windows grow by one character from
     every position, under a rolling hash, as long as a table says that some piece may begin so; windows that
-    are pieces are the arcs (word, begin, length, piece). Characters that are no piece say nothing about a
-    language here, and are left out.
+    have a piece's hash and are that piece, character by character, are the arcs (word, begin, length, piece). A
+    character that is no piece stands as its bytes' pieces (see byte_piece); if the vocabulary has none, it is
+    left out.
     """
 
     def __init__(self, pieces: list[str]):
-        cps = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in pieces]
+        cps = [np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32) for p in pieces]
+        self.bytes = {byte_piece(b) for b in range(256)} <= set(pieces)
+        self.letters = np.zeros((len(cps), max(map(len, cps))), np.uint32)
+        for i, c in enumerate(cps):
+            self.letters[i, : len(c)] = c
         self.known, self.longest = np.zeros(0x110000, bool), max(map(len, cps))
         self.known[[c[0] for c in cps if len(c) == 1]] = True
         self.begins, self.ends = np.zeros(1 << TABLE, bool), np.zeros(1 << TABLE, bool)
@@ -58,7 +80,11 @@ class Segmenter:
 
     def arcs(self, words: list[str]):
         """(lengths of the words, then word, begin, length and piece of every arc)."""
-        cp = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), np.uint32)
+        text = "\n".join([*words, ""])
+        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        if self.bytes and len(other := np.unique(cp[~self.known[cp] & (cp != GAP)])):
+            text = text.translate({c: "".join(map(byte_piece, chr(c).encode())) for c in other.tolist()})
+            cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         cp = cp[self.known[cp] | (cp == GAP)]
         gaps = np.flatnonzero(cp == GAP)
         first = np.concatenate([[0], gaps[:-1] + 1])
@@ -74,7 +100,11 @@ class Segmenter:
             hit = np.flatnonzero(on & self.ends[top])
             k = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
             same = self.hashes[k] == h[hit]
-            found.append((at[hit[same]], np.full(int(same.sum()), n), self.order[k[same]]))
+            begin, piece = at[hit[same]], self.order[k[same]]
+            real = np.ones(len(begin), bool)
+            for j in range(n):
+                real &= cp[begin + j] == self.letters[piece, j]
+            found.append((begin[real], np.full(int(real.sum()), n), piece[real]))
             at, h = at[on], h[on]
             if not len(at):
                 break
@@ -178,10 +208,10 @@ def fit_languages(docs: DataFrame, model_file: str, docs_per_lang: int = 150, ro
     hash of the id is lowest, so that reruns agree. Their words are counted on the executors and fitted by
     EM, one task for each language; only piece probabilities reach the driver (languages x vocabulary).
     """
-    pieces = [p for p, k in zip(load_pieces(model_file)["pieces"], load_pieces(model_file)["kinds"], strict=True) if k == 1]
+    pieces = vocabulary_of(model_file)
     vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)
     lean(docs.sparkSession)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
+    rows = docs.where(column(lang_col).isNotNull() & column(text_col).isNotNull()).select(column(lang_col).alias("lang"), column(text_col).alias("text"), F.xxhash64(F.lit(seed), column(id_col)).alias("h"))
     share = {r["lang"]: min(1.0, docs_per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(share)
     if not langs:
@@ -220,35 +250,32 @@ def _counter(text: str) -> dict[str, int]:
 
 
 class Scorer:
-    """Words' scores in all languages. The last ones seen are kept in a table of fixed size, at the place
-    that the low bits of a word's hash give."""
+    """Words' scores in all languages. Those of the words seen last are kept; a word is found by its bytes,
+    never by a hash of them."""
 
     def __init__(self, pieces: list[str], probs):
         self.seg, self.probs = Segmenter(pieces), probs
-        self.keys, self.logs = np.zeros(CACHE, np.uint64), np.zeros((CACHE, probs.shape[1]))
+        self.rows, self.logs = {}, np.zeros((1 << 14, probs.shape[1]))
 
     def totals(self, texts: list[str]):
         """The sum of the words' scores of each text."""
-        raw = [t.lower().encode() for t in texts]
-        hashes, start, end = zip(*(word_hashes(r) for r in raw), strict=True)
-        bounds = np.cumsum([0, *map(len, hashes)])
-        h, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        place = (h & np.uint64(CACHE - 1)).astype(np.int64)
-        logs = self.logs[place]
-        new = np.flatnonzero(self.keys[place] != h)
-        if len(new):
-            text = np.searchsorted(bounds, first[new], side="right") - 1
-            at = first[new] - bounds[text]
-            words = [MARK + raw[t][start[t][k] : end[t][k]].decode() for t, k in zip(text.tolist(), at.tolist(), strict=True)]
-            logs[new] = self.seg.forward(words, self.probs)
-            self.keys[place[new]], self.logs[place[new]] = h[new], logs[new]
-        out, every = np.zeros((len(texts), self.probs.shape[1])), logs[inverse]
-        some = np.flatnonzero(np.diff(bounds))
-        out[some] = np.add.reduceat(every, bounds[:-1][some]) if len(some) else 0.0
+        words = [t.lower().encode().split() for t in texts]
+        if len(self.rows) > CACHE:
+            self.rows, self.logs = {}, np.zeros((1 << 14, self.probs.shape[1]))
+        rows, known = self.rows, len(self.rows)
+        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in rows]
+        if new:
+            if known + len(new) > len(self.logs):
+                self.logs = np.concatenate([self.logs, np.zeros((known + len(new), self.probs.shape[1]))])
+            self.logs[known : known + len(new)] = self.seg.forward([MARK + w.decode() for w in new], self.probs)
+            rows.update(zip(new, range(known, known + len(new)), strict=True))
+        ends = np.cumsum([0, *map(len, words)])
+        at = np.fromiter((rows[w] for ws in words for w in ws), np.int64, int(ends[-1]))
+        out, some = np.zeros((len(texts), self.probs.shape[1])), np.flatnonzero(np.diff(ends))
+        out[some] = np.add.reduceat(self.logs[at], ends[:-1][some]) if len(some) else 0.0
         return out
 
 
-
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score (which replace columns so named), from `model` of fit_languages.
 
@@ -261,7 +288,8 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     from pyspark.sql import types as T
 
     langs, probs, vocabulary = model
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    given = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    docs, names = numbered(docs, given, text_col)
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     table_ = docs.sparkSession.sparkContext.broadcast(probs)
     key = uuid.uuid4().hex
@@ -273,9 +301,9 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
             while lo < b.num_rows:
                 hi, held, texts = lo, 0, []
                 while hi < b.num_rows and (hi == lo or held < CHARS):
-                    texts.append(b.column(text_col)[hi].as_py())
+                    texts.append(b.column("text")[hi].as_py())
                     held, hi = held + len(texts[-1] or ""), hi + 1
-                asked = [k for k, t in enumerate(texts) if t and langs and LETTER.search(t)]
+                asked = [k for k, t in enumerate(texts) if t and langs and has_letter(t)]
                 pred, score = ["und"] * len(texts), [0.0] * len(texts)
                 if asked:
                     for k, total in zip(asked, scorer.totals([texts[k] for k in asked]), strict=True):
@@ -287,7 +315,7 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
         release()
 
     lean(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*given, "lang_pred", "score")
 
 
 def op7_language_id(spark, sf_dir):

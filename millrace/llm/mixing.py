@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import field, packed, table, unpacked
 
 
 def words_of(text: Column) -> Column:
@@ -50,10 +50,11 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), max_repeat: int = 3
     taken. An empty table gives an empty table.
     """
     made = ("size", "source_size", "target", "copies", "taken")
-    given = [F.col(c) for c in docs.columns if c not in made]
-    src = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))
-    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    rows = docs.select(*given, src.alias("_mx_src"), words_of(F.col(text_col)).alias("size"), h.alias("_mx_h"), F.xxhash64(text_col).alias("_mx_t")).withColumn("_mx_bin", F.substring("_mx_h", 1, 3))
+    whole, given = packed(docs, made)
+    id_, text, source = (F.col(field(docs, c)) for c in (id_col, text_col, source_col))
+    src = F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
+    h = F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    rows = whole.select("row", src.alias("_mx_src"), words_of(text).alias("size"), h.alias("_mx_h"), F.xxhash64(text).alias("_mx_t")).withColumn("_mx_bin", F.substring("_mx_h", 1, 3))
     cells = rows.groupBy("_mx_src", "size", "_mx_bin").agg(F.count("*").alias("_n"))
     sizes = cells.groupBy("_mx_src", "size").agg(F.sum("_n").alias("_m"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -63,12 +64,12 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), max_repeat: int = 3
     targets = targets.withColumn("_rate", rate).withColumn("_u", offset)
     sizes = sizes.withColumn("_p", F.coalesce(F.sum("_m").over(before(Window.partitionBy("_mx_src").orderBy("size"))), F.lit(0))).drop("_m").join(targets, "_mx_src")
     cells = cells.withColumn("_q", F.coalesce(F.sum("_n").over(before(Window.partitionBy("_mx_src", "size").orderBy("_mx_bin"))), F.lit(0))).drop("_n").join(sizes, ["_mx_src", "size"])
-    own = F.row_number().over(Window.partitionBy("_mx_src", "size", "_mx_bin").orderBy("_mx_h", F.col(id_col), "_mx_t"))
+    own = F.row_number().over(Window.partitionBy("_mx_src", "size", "_mx_bin").orderBy("_mx_h", id_, "_mx_t"))
     out = rows.withColumn("_i", own).join(cells, ["_mx_src", "size", "_mx_bin"])
     rank = F.col("_p") + F.col("_q") + F.col("_i")
     copies = (F.floor(rank * F.col("_rate") + F.col("_u")) - F.floor((rank - 1) * F.col("_rate") + F.col("_u"))).cast("long")
     out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*given, *made)
+    return out.select(*unpacked(docs, given), *made)
 
 
 def op3_mix_sources(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -10,16 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import lean, once, release, table
-from millrace.llm.words import span_hashes
+from millrace.llm.common import lean, numbered, once, release, table
+from millrace.llm.words import Table
 
 MARK = "▁"
-#: Chunks of text whose ids a worker keeps (a power of two), if they have at most so many.
-SLOTS, WIDE = 1 << 19, 10
+#: Chunks of text whose ids a worker keeps, if they have at most so many characters.
+CHUNKS, WIDE = 1 << 18, 40
 #: Bytes of text, or ids, that are looked up at once, about.
 AT_ONCE = 600_000
 #: Adjacent pairs whose compatibility a worker keeps.
-PAIRS = 250_000
+PAIRS = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -44,14 +45,15 @@ class PieceCodec:
     A chunk's tokens are found from the left: at each position the longest piece is tried first, then its
     prefixes. A piece is accepted if it is compatible with the token before it, that is, if merging the
     two pieces' characters anew gives the same two pieces. A position from which no piece fits is marked
-    in a bitfield and never tried again. Longest matches come from one pass of an Aho-Corasick automaton.
+    in a bitfield and never tried again. Longest matches come from an Aho-Corasick automaton, which runs from the
+    left, and again from a position that none of the matches so far begins at, until it meets them.
     Only pieces that merging their own characters gives back can occur in an encoding.
     """
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int], own: list[int] | None = None):
         import ahocorasick
 
-        self.pieces, self.kinds = pieces, kinds
+        self.pieces, self.kinds, self.size = pieces, kinds, [len(p) for p in pieces]
         self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 1}
         self.score = {p: scores[i] for p, i in self.ids.items()}
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 6}
@@ -67,7 +69,7 @@ class PieceCodec:
         self.auto, real = ahocorasick.Automaton(), {pieces[i]: i for i in self.own}
         self.shorter = {}
         for p, i in real.items():
-            self.auto.add_word(p, (i, len(p)))
+            self.auto.add_word(p, i)
             self.shorter[i] = next((real[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in real), None)
         self.auto.make_automaton()
         self.surface = [p.replace(MARK, " ").encode() if k == 1 else bytes([int(p[3:5], 16)]) if k == 6 else " ⁇ ".encode() if k == 2 else b"" for p, k in zip(pieces, kinds, strict=True)]
@@ -96,22 +98,35 @@ class PieceCodec:
 
     def known(self, s: str) -> list[int]:
         """Tokens of a string whose characters are all pieces."""
-        longest = [None] * (len(s) + 1)
-        for end, (i, n) in self.auto.iter(s):
-            longest[end - n + 1] = i  # a later end is a longer match
-        open_at, tokens, pos, token = bytearray(b"\1") * (len(s) + 1), [], 0, longest[0]
-        pieces, shorter = self.pieces, self.shorter
+        n, longest = len(s), [None] * (len(s) + 1)
+        self._matches(s, 0, longest)
+        open_at, tokens, pos, token, last = bytearray(b"\1") * (len(s) + 1), [], 0, longest[0], -1
+        size, shorter, pairs = self.size, self.shorter, self.pairs
         while token is not None:
-            end = pos + len(pieces[token])
-            if open_at[end] and (not tokens or self.fits(tokens[-1], token)):
+            end, fits = pos + size[token], last < 0
+            if open_at[end] and not fits and (fits := pairs.get(last << 20 | token)) is None:
+                fits = self.fits(last, token)
+            if fits and open_at[end]:
                 tokens.append(token)
-                pos, token = end, longest[end]
+                pos, last, token = end, token, longest[end]
+                if token is None and end < n:
+                    token = self._matches(s, end, longest)
             elif (token := shorter[token]) is None:
                 open_at[pos] = 0
                 token = tokens.pop()
-                pos -= len(pieces[token])
+                pos, last = pos - size[token], tokens[-1] if tokens else -1
         return tokens
 
+    def _matches(self, s: str, pos: int, longest: list):
+        """The longest piece at `pos`; fills `longest` with it and those that follow end to end, as far as they
+        aren't there yet."""
+        for end, i in self.auto.iter_long(s, pos):
+            at = end + 1 - self.size[i]
+            if longest[at] is not None:
+                break
+            longest[at] = i
+        return longest[pos]
+
     def encode_chunk(self, s: str) -> list[int]:
         if self.chars.issuperset(s):
             return self.known(s)
@@ -162,66 +177,27 @@ class PieceCodec:
 
 
 class Encoder:
-    """Encodes many texts at once. The ids of the chunks seen last are kept in a table of fixed size, at the
-    place that the low bits of a chunk's hash give; chunks of more than WIDE ids are not kept."""
+    """Encodes many texts. The ids of the chunks seen last are kept; a chunk is found by its characters, never by
+    a hash of them."""
 
     def __init__(self, codec: PieceCodec):
-        self.codec = codec
-        self.keys, self.sizes, self.ids = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int8), np.zeros((SLOTS, WIDE), np.uint16 if len(codec.pieces) <= 1 << 16 else np.int32)
+        self.codec, code = codec, "H" if len(codec.pieces) <= 1 << 16 else "i"
+        self.kind = np.dtype(code)
+        self.packed = Table(lambda chunk: array(code, codec.encode_chunk(chunk.replace(" ", MARK))).tobytes(), CHUNKS, WIDE)
+        # What `chunks` finds in a text without marks, before its blanks become marks.
+        self.split = re.compile(" +[^ \n\t]*|[^ \n\t]+|[\n\t]" if codec.cut else "(?s).+").findall
+
+    def _one(self, text: str) -> bytes:
+        if MARK in text:
+            return np.array([i for c in self.codec.chunks(text) for i in self.codec.encode_chunk(c)], self.kind).tobytes()
+        return b"".join(map(self.packed.__getitem__, self.split(" " + text)))  # with the dummy prefix
 
     def encode(self, texts: list[str], last: list[int]):
         """(ids of all texts one after the other, where each text's begin). `last` ends each text."""
-        plain = [k for k, t in enumerate(texts) if t and self.codec.cut and MARK not in t]
-        spans, raw = [], {}
-        for k in plain:
-            raw[k] = b" " + texts[k].encode()  # the dummy prefix
-            b = np.frombuffer(raw[k], np.uint8)
-            own = (b == 9) | (b == 10)
-            begin = own | (b == 32)
-            begin[1:] = (begin[1:] & (own[1:] | (b[:-1] != 32))) | own[:-1]
-            start = np.flatnonzero(begin)
-            end = np.append(start[1:], len(b))
-            spans.append((span_hashes(b, start, end), start, end))
-        sizes, every, pieces = np.zeros(len(texts), np.int64), {}, []
-        if plain:
-            bounds = np.cumsum([0, *(len(h) for h, _, _ in spans)])
-            h, first, inverse = np.unique(np.concatenate([x[0] for x in spans]), return_index=True, return_inverse=True)
-            place = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-            n, flat, more = self.sizes[place].astype(np.int64), self.ids[place], {}
-            new = np.flatnonzero(self.keys[place] != h)
-            text = np.searchsorted(bounds, first[new], side="right") - 1
-            at = first[new] - bounds[text]
-            for u, t, k in zip(new.tolist(), text.tolist(), at.tolist(), strict=True):
-                ids = self.codec.encode_chunk(raw[plain[t]][spans[t][1][k] : spans[t][2][k]].decode().replace(" ", MARK))
-                n[u] = len(ids)
-                if len(ids) <= WIDE:
-                    flat[u, : len(ids)] = ids
-                else:
-                    more[u] = ids
-            keep = new[n[new] <= WIDE]
-            self.keys[place[keep]], self.sizes[place[keep]], self.ids[place[keep]] = h[keep], n[keep], flat[keep]
-            # All distinct chunks' ids in one row, then the texts' chunks from it.
-            start = np.cumsum(n) - n
-            row = np.zeros(int(n.sum()), np.int32)
-            narrow = np.flatnonzero(n <= WIDE)
-            inside = np.arange(WIDE)[None, :] < n[narrow][:, None]
-            row[(start[narrow][:, None] + np.arange(WIDE)[None, :])[inside]] = flat[narrow][inside]
-            for u, ids in more.items():
-                row[start[u] : start[u] + len(ids)] = ids
-            size = n[inverse]
-            ends = np.cumsum(size)
-            pieces = row[np.arange(int(ends[-1])) + np.repeat(start[inverse] - (ends - size), size)]
-            cuts = np.concatenate([[0], ends])[bounds]
-            every = {k: (cuts[i], cuts[i + 1]) for i, k in enumerate(plain)}
-        out = []
-        for k, t in enumerate(texts):
-            if k in every:
-                out.append(pieces[every[k][0] : every[k][1]])
-            else:
-                out.append(np.array([i for c in self.codec.chunks(t or "") for i in self.codec.encode_chunk(c)], np.int32))
-            out.append(np.array(last, np.int32))
-            sizes[k] = len(out[-2]) + len(last)
-        return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
+        tail = np.array(last, self.kind).tobytes()
+        rows = [(self._one(t) if t else b"") + tail for t in texts]
+        ends = np.cumsum([0, *(len(r) // self.kind.itemsize for r in rows)])
+        return np.frombuffer(b"".join(rows), self.kind).astype(np.int32), ends
 
 
 def _codec(key: str, vocabulary) -> Encoder:
@@ -241,24 +217,26 @@ def _map(df: DataFrame, model_file: str, column: str, out: dict[str, T.DataType]
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    names = [c for c in df.columns if c not in out]
-    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(c, kind) for c, kind in out.items()])
+    given = [c for c in df.columns if c not in out]
+    df, names = numbered(df, given, column)
+    made = [f"o{i}" for i in range(len(out))]
+    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(c, kind) for c, kind in zip(made, out.values(), strict=True)])
     vocabulary = _vocabulary(df.sparkSession, model_file)
 
     def run(batches):
         encoder = _codec(model_file, vocabulary)
         for b in batches:
-            size = b.column(column).value_lengths() if pa.types.is_list(b.column(column).type) else pc.binary_length(b.column(column))
+            size = b.column("text").value_lengths() if pa.types.is_list(b.column("text").type) else pc.binary_length(b.column("text"))
             ends, lo = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False)), 0
             while lo < b.num_rows:  # a slice of rows bounds what stands in memory beside the batch
                 done = ends[lo - 1] if lo else 0
                 part = b.slice(lo, max(1, int(np.searchsorted(ends, done + AT_ONCE, side="right")) - lo))
                 lo += part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + each(encoder, part.column(column)), names=[*names, *out])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + each(encoder, part.column("text")), names=[*names, *made])
         release()
 
     lean(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).toDF(*given, *out)
 
 
 IDS = T.ArrayType(T.IntegerType())
@@ -286,9 +264,9 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", out_col: st
     """`docs` with `out_col`: the ids (array of int) that the sentencepiece library gives for the whole text,
     with an end id if `end` and without sampling. A column of that name is replaced.
 
-    Texts are cut where no piece can join the two sides, each distinct chunk is encoded once for a batch, and
-    a worker keeps the ids of the chunks it saw last. No shuffle; every row is handled alone, so repeated rows give equal results. Null
-    counts as empty; the empty text has the end id only.
+    Texts are cut where no piece can join the two sides, and a worker keeps the ids of the chunks it saw last,
+    by their characters. No shuffle; every row is handled alone, so repeated rows give equal results. Null counts
+    as empty; the empty text has the end id only.
     """
 
     return _map(docs, model_file, text_col, {out_col: IDS}, lambda encoder, texts: [_encoded(encoder, texts, end)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, table
+from millrace.llm.common import ascii_lower, field, packed, table, unpacked
 
 #: Fixed values of the query: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -75,7 +75,8 @@ def url_filter(pages: DataFrame, rules=RULES, z: float = 1.645, limit: float = 0
 
     The host stands between the first :// and the next /, ? or # (A-Z lower-cased), the path from there
     to ? or #. A rule (verdict, host, path) fits its host and subdomains if the path starts with its own;
-    the longest fitting one decides, and `rule` shows it as host and path. Other urls are blocked if the
+    the longest fitting one decides, of equally long ones the last by verdict, host and path, and `rule` shows it as host
+    and path. Other urls are blocked if the
     posterior bad rate of their host is above `limit` by `z` deviations. `outcomes` (host, bad 0/1) are the
     labelled pages; by default, the pages that a rule judges. A host without outcomes takes its registered
     domain's posterior mean and strength as prior, that failing the suffix's, that failing all's; without
@@ -86,8 +87,9 @@ def url_filter(pages: DataFrame, rules=RULES, z: float = 1.645, limit: float = 0
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules")
-    given = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*given, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    whole, given = packed(pages, ("host", "path", "rule", "verdict"))
+    url = F.col(field(pages, url_col))
+    rows = whole.select("row", host_of(url).alias("host"), path_of(url).alias("path"))
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
@@ -104,8 +106,10 @@ def url_filter(pages: DataFrame, rules=RULES, z: float = 1.645, limit: float = 0
     a, b = (F.coalesce(*[F.col(f"_{x}{i}") for i in range(4)]) for x in "ab")
     bad = ask.where(_bound(a, b, z) > limit).select(F.col("host").alias("_bad"))
     # Only blocked hosts are joined back.
-    rows = rows.join(bad, F.when(F.col("_said").isNull(), F.col("host")) == F.col("_bad"), "left")
-    return rows.select(*given, "host", "path", "rule", F.coalesce("_said", F.when(F.col("_bad").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+    # Judged rows would all meet on one null key: theirs is a hash that no host is.
+    key = F.when(F.col("_said").isNull(), F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("path", "host").cast("string")))
+    rows = rows.join(bad, key == F.col("_bad"), "left")
+    return rows.select(*unpacked(pages, given), "host", "path", "rule", F.coalesce("_said", F.when(F.col("_bad").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
 def op6_url_filter(spark, sf_dir):

@@ -11,7 +11,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, lean, partitions, table
+from millrace.llm.common import Scratch, column, field, lean, packed, partitions, table, unpacked
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -43,13 +43,13 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 100, id_col: str = "page_id
     so named). Only digests that occur more than once are joined back, a small table; payloads move only
     if that table is too large to broadcast, and then the skew join splits a digest that many pages share."""
     made = ("payload", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    given = [c for c in pages.columns if c not in made]
-    raw = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(*given, raw.alias("payload"), F.octet_length(raw).cast("long").alias("payload_bytes"), F.sha2(raw, 256).alias("payload_digest"))
-    same = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.count("*").alias("_n"), F.min(id_col).alias("_first")).where("_n > 1").select(F.col("payload_digest").alias("_digest"), "_first")
+    whole, given = packed(pages, made)
+    raw, page = F.coalesce(F.col(field(pages, html_col)), F.lit("")).cast("binary"), F.col(field(pages, id_col))
+    rows = whole.select("row", raw.alias("payload"), F.octet_length(raw).cast("long").alias("payload_bytes"), F.sha2(raw, 256).alias("payload_digest"))
+    same = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.count("*").alias("_n"), F.min(page).alias("_first")).where("_n > 1").select(F.col("payload_digest").alias("_digest"), "_first")
     rows = rows.join(same, F.col("payload_digest") == F.col("_digest"), "left")
-    again = F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first"))
-    return rows.select(*given, "payload", "payload_bytes", "payload_digest", F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
+    again = F.col("_first").isNotNull() & ~page.eqNullSafe(F.col("_first"))
+    return rows.select(*unpacked(pages, given), "payload", "payload_bytes", "payload_digest", F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
 
 
 def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -76,7 +76,7 @@ def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = 32 <<
                 out = None
 
         for b in batches:
-            cols = [b.column(c) for c in (id_col, url_col, "payload", "payload_digest", "record_type", "refers_to")]
+            cols = [b.column(c) for c in ("page", "url", "payload", "payload_digest", "record_type", "refers_to")]
             for k in range(b.num_rows):
                 page, url, payload, digest, kind, first = (c[k].as_py() for c in cols)
                 if out is None:
@@ -92,14 +92,14 @@ def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = 32 <<
             yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["archive", "records"]), preserve_index=False)
 
     lean(records.sparkSession)
-    return records.select(id_col, url_col, "payload", "payload_digest", "record_type", "refers_to").mapInArrow(run, "archive string, records long")
+    return records.select(column(id_col).alias("page"), column(url_col).alias("url"), "payload", "payload_digest", "record_type", "refers_to").mapInArrow(run, "archive string, records long")
 
 
 class _Stream:
     """Inflates a file once from front to back, through all its members, holding one piece."""
 
     def __init__(self, source):
-        self.source, self.gz, self.buffer, self.over = source, zlib.decompressobj(31), b"", False
+        self.source, self.gz, self.buffer, self.at, self.over = source, zlib.decompressobj(31), b"", 0, False
 
     def more(self) -> bool:
         while not self.over:
@@ -111,29 +111,29 @@ class _Stream:
                 self.over = True
                 break
             if got := self.gz.decompress(raw, 4 * PIECE):
-                self.buffer += got
+                self.buffer, self.at = self.buffer[self.at :] + got, 0
                 return True
         return False
 
     def head(self) -> bytes:
         """The next record's header, with its empty line; empty at the end."""
-        while self.buffer[:2] == b"\r\n" or len(self.buffer) < 2:
-            if len(self.buffer) >= 2:
-                self.buffer = self.buffer[2:]
+        while len(self.buffer) - self.at < 2 or self.buffer.startswith(b"\r\n", self.at):
+            if len(self.buffer) - self.at >= 2:
+                self.at += 2
             elif not self.more():
                 return b""
-        while (at := self.buffer.find(b"\r\n\r\n")) < 0:
+        while (end := self.buffer.find(b"\r\n\r\n", self.at)) < 0:
             if not self.more():
                 raise ValueError("a record's header is cut off")
-        head, self.buffer = self.buffer[: at + 4], self.buffer[at + 4 :]
+        head, self.at = self.buffer[self.at : end + 4], end + 4
         return head
 
     def body(self, size: int):
         while size:
-            if not self.buffer and not self.more():
+            if len(self.buffer) == self.at and not self.more():
                 raise ValueError("a record is cut off")
-            part, self.buffer = self.buffer[:size], self.buffer[size:]
-            size -= len(part)
+            part = self.buffer[self.at : self.at + size]
+            self.at, size = self.at + len(part), size - len(part)
             yield part
 
 

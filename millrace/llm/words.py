@@ -1,66 +1,56 @@
-"""Hashes of all words of a text at once."""
+"""Words of texts, known by their bytes, and hashes of them."""
 
 from __future__ import annotations
 
-#: Bytes that are hashed in one go; a longer text is cut between spans.
-SPAN = 1 << 20
-#: An odd multiplier of powers modulo 2^64, and its inverse.
+from hashlib import blake2b
+
+#: An odd multiplier for hashes of sequences modulo 2^64.
 FACTOR = 0x9E3779B97F4A7C15
-_tables: dict = {}
+#: Keys the digests of words, so that they are no other library's.
+PERSON = b"millrace words"
 
 
-def mix(x):
-    """A bijection of 64-bit integers that spreads every bit (the finaliser of SplitMix64)."""
-    import numpy as np
+class Table(dict):
+    """What `make` gives for a key, which is compared whole: looked up by table[key], made where it is missing.
+    When it holds `most` entries they become the old ones, of which those asked for again come back; keys
+    longer than `wide` aren't kept."""
 
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    def __init__(self, make, most: int, wide: int = 64):
+        self.make, self.most, self.wide, self.old = make, most, wide, {}
 
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.wide:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
-def _powers(n: int):
-    """Powers of the factor and of its inverse, at least n of each, and which bytes are blanks."""
-    import numpy as np
 
-    if len(_tables.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, f in (("up", FACTOR), ("down", pow(FACTOR, -1, 2**64))):
-            steps = np.full(size, f, np.uint64)
-            steps[0] = 1
-            _tables[name] = np.cumprod(steps)
-        _tables["blank"] = np.isin(np.arange(256), [32, *range(9, 14)])
-    return _tables["up"], _tables["down"], _tables["blank"]
+def digest(word: bytes, size: int = 8) -> bytes:
+    """A keyed cryptographic digest: no two words are known to have the same one, whatever they are made of."""
+    return blake2b(word, digest_size=size, person=PERSON).digest()
+
+
+#: Digests of the words seen last.
+_digests = Table(digest, 1 << 18)
 
 
 def word_hashes(raw: bytes):
-    """(64-bit hashes, starts, ends) of the words of UTF-8 bytes: runs of [^\\x20\\x09-\\x0D]."""
+    """64-bit hashes of the words of UTF-8 bytes: runs of [^\\x20\\x09-\\x0D]."""
     import numpy as np
 
-    b = np.frombuffer(raw, np.uint8)
-    word = np.zeros(len(b) + 2, np.int8)
-    word[1:-1] = ~_powers(1)[2][b]
-    edge = np.diff(word)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return span_hashes(b, start, end), start, end
+    return np.frombuffer(b"".join(map(_digests.__getitem__, raw.split())), np.uint64)
 
 
-def span_hashes(b, start, end):
-    """A 64-bit hash of the bytes of each span; spans follow each other. It is the bytes' polynomial modulo
-    2^64, taken from one running sum over the text (over pieces of SPAN bytes, if it is longer), mixed with
-    the span's length."""
+def mix(x):
+    """A bijection of 64-bit integers that spreads every bit (the finaliser of SplitMix64)."""
     import numpy as np
 
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    out, k = [], 0
-    while k < len(start):
-        lo = int(start[k])
-        n = max(k + 1, int(np.searchsorted(end, lo + SPAN, side="right")))
-        hi = int(end[n - 1])
-        up, down, _ = _powers(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((b[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
-        s, e = start[k:n] - lo, end[k:n] - lo
-        out.append(mix((total[e] - total[s]) * down[s] ^ ((e - s).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))))
-        k = n
-    return np.concatenate(out)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

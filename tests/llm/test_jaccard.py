@@ -6,7 +6,7 @@ import pytest
 from helpers import rows
 
 from millrace.llm import groups, jaccard
-from millrace.llm.words import span_hashes, word_hashes
+from millrace.llm.words import Table, word_hashes
 
 
 def brute(docs, threshold=0.8, words=5):
@@ -96,11 +96,38 @@ def test_overlaps_and_hashes():
     assert jaccard.overlaps(sets[:4], sets[4:]).tolist() == [row[4:] for row in want[:4]]
     assert jaccard.overlaps(sets[:1], sets[1:2]).tolist() == [[want[0][1]]]
     raw = b"  ab  cd\nab\tcd\x85 " + b"z" * 3_000_000 + b" ab"
-    h, start, end = word_hashes(raw)
-    assert [raw[a:b] for a, b in zip(start, end, strict=True)] == raw.split(b" " * 0 or None)
-    assert h[0] == h[2] == h[-1] and h[1] != h[3]
-    b = np.frombuffer(raw, np.uint8)
-    assert all(span_hashes(b, start[k : k + 1], end[k : k + 1])[0] == h[k] for k in range(len(h)))
+    h = word_hashes(raw)
+    assert len(h) == len(raw.split()) == 6 and h[0] == h[2] == h[-1] and len(set(h.tolist())) == 4
+    made = []
+    t = Table(lambda k: made.append(k) or k.upper(), 2, wide=3)
+    assert [t[x] for x in "a b c a d wide wide".split()] == ["A", "B", "C", "A", "D", "WIDE", "WIDE"] and made == ["a", "b", "c", "d", "wide", "wide"]
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Words of 4096 letters that a polynomial modulo 2^64 can't tell apart, whatever its factor."""
+    x = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    y = x.translate(str.maketrans("ab", "ba"))
+    assert len(set(word_hashes(f"{x} {y}".encode()).tolist())) == 2
+    df = spark.createDataFrame([(1, x), (2, y), (3, f"{x} z z z z"), (4, f"{y} z z z z")], "doc_id long, text string")
+    assert rows(jaccard.jaccard_join(df)) == [(k, k, 0) for k in range(1, 5)]
+
+
+def test_ids_are_whole_numbers(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        jaccard.jaccard_join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+@pytest.mark.parametrize("depth", [1, 5])
+def test_any_depth(spark, depth):
+    """Boilerplate that all share, and groups of near copies: the same result however deep buckets are split."""
+    r = random.Random(9)
+    shared = [f"s{k}" for k in range(40)]
+    docs = []
+    for k in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        docs += [(10 * k + i, " ".join(shared + base[: 60 - i])) for i in range(r.choice([1, 1, 3]))]
+    got = jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), small=8, max_depth=depth)
+    assert {x.doc_id: (x.class_id, x.n_links) for x in got.collect()} == brute(docs)
 
 
 @pytest.mark.parametrize("n", [1, 4, 5, 6, 2000])

@@ -31,6 +31,36 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(seg.running("▁" + "ab" * 20_000, probs)).all()
 
 
+def test_unknown_characters_stand_as_bytes():
+    pieces = ["▁", "a", "b", "ab", *map(L.byte_piece, range(256))]
+    ids = {p: i for i, p in enumerate(pieces)}
+    probs = np.random.default_rng(2).dirichlet(np.ones(len(pieces)), 3).T
+    for w in ["▁ab", "▁日b", "▁😀é", "▁" + "ab" * 18 + "日" * 6]:
+        spelt = "".join(c if c in ids else "".join(map(L.byte_piece, c.encode())) for c in w)
+        assert np.allclose(L.Segmenter(pieces).forward([w], probs)[0], brute(spelt, ids, probs))
+
+
+def test_posterior_by_brute_force(spark):
+    """The score is the posterior that all segmentations of all words give, under equal priors."""
+    docs = spark.createDataFrame([(1, "la ta ra", "p"), (2, "ke ki ke", "q"), (3, "la ke ½ 日", None), (4, "ta KI", None)], "doc_id long, text string, lang string")
+    model = L.fit_languages(docs, default_model(), rounds=2)
+    pieces = L.vocabulary_of(default_model())
+    ids = {p: i for i, p in enumerate(pieces)}
+    for r in L.identify(docs, model).collect():
+        total = 0
+        for w in r.text.lower().split():
+            total = total + brute("".join(c if c in ids else "".join(map(L.byte_piece, c.encode())) for c in "▁" + w), ids, model[1])
+        best = int(total.argmax())
+        assert r.lang_pred == model[0][best] and math.isclose(r.score, 1 / np.exp(total - total[best]).sum(), rel_tol=1e-9)
+
+
+def test_letters_are_category_l(spark):
+    model = L.fit_languages(spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string"), default_model())
+    texts = ["½ ²③", "Ⅷ ٣", "\u0301 \u20dd", "½ a", "ª", "日", "_", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.lang_pred for r in L.identify(df, model).orderBy("doc_id").collect()] == ["und", "und", "und", "en", "en", "en", "und", "und"]
+
+
 def test_em_raises_the_likelihood():
     pieces = ["▁", "a", "b", "ab", "▁a", "▁ab"]
     words, counts = ["▁ab", "▁abab", "▁b"], [10, 5, 2]

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from helpers import rows
 
-from millrace.llm.neardup import near_duplicates
+from millrace.llm.neardup import Cells, near_duplicates
 
 
 def brute(data, threshold=0.98):
@@ -76,3 +76,41 @@ def test_few_links_among_many_vectors(spark):
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df, leaf=4).collect()}
     assert got == {i: (1, i % 6000) if i < 8 or i >= 6000 else (0, i) for i in range(6008)}
+
+
+def test_any_magnitude(spark):
+    """Cosines of vectors whose squares overflow or vanish."""
+    data = [(1, [1e-200, 0.0], 1), (2, [1.0, 1.0], 1), (3, [1e200, 1e200], 1), (4, [2e200, 2e200], 1), (5, [5e-324, 0.0], 1), (6, [1.7e308, -1.7e308], 1)]
+    got = rows(near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")))
+    assert got == [(1, 1, 1, True), (2, 2, 2, True), (3, 2, 2, False), (4, 2, 2, False), (5, 1, 1, False), (6, 0, 6, True)]
+
+
+@pytest.mark.parametrize("cell", [2048, 40])
+def test_the_check_finds_what_the_descent_leaves(spark, cell):
+    """With one round and short lists, the result is the same, and the audit says what was missing."""
+    data, report = vectors(5, 250, 90), {}
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    got = near_duplicates(df, k=2, trees=1, leaf=8, widest=2, rounds=1, cell=cell, report=report)
+    assert {tuple(r) for r in got.collect()} == brute(data)
+    assert report["nodes"] > 500 and report["links"] > 0 and 0 < report["recall"] < 1
+
+
+def test_cells_reach_every_point_nearby():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((3000, 20)) * np.linspace(2, 0.1, 20)
+    tree, radius = Cells(x[:500]), r.random(3000) * 1.5
+    for levels in (0, 3, 7):
+        row, cell, own = tree.reached(x, radius, np.full(3000, levels))
+        home = np.zeros(3000, np.int64)
+        home[row[own]] = cell[own]
+        assert sorted(row[own].tolist()) == list(range(3000)) and len(set(home.tolist())) > levels
+        seen = set(zip(row.tolist(), cell.tolist(), strict=True))
+        far = np.sqrt(((x[:200, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        assert all((i, home[j]) in seen for i, j in zip(*np.nonzero(far <= radius[:200, None]), strict=True))
+        assert levels < 3 or len(seen) < 3000 * 2**levels * 0.8
+
+
+def test_ids_are_whole_numbers(spark):
+    df = spark.createDataFrame([("a", [1.0], 1)], "vec_id string, embedding array<double>, label int")
+    with pytest.raises(ValueError, match="whole numbers"):
+        near_duplicates(df)

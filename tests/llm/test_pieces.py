@@ -38,6 +38,27 @@ def test_decode_any_ids(lib):
         assert CODEC.decode(ids) == lib.decode(ids), ids
 
 
+def test_chunks_that_polynomials_confuse(lib):
+    """Chunks that a polynomial modulo 2^64 can't tell apart, in one batch and in two."""
+    x = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    y = x.translate(str.maketrans("ab", "ba"))
+    for batches in ([[x, y]], [[x], [y]]):
+        encoder = Encoder(CODEC)
+        got = [(ids[a:b].tolist()) for batch in batches for ids, ends in [encoder.encode(batch, [2])] for a, b in zip(ends, ends[1:], strict=False)]
+        assert got == [lib.encode(t, add_eos=True) for t in (x, y)]
+
+
+def test_matches_are_the_longest():
+    """Where the automaton begins anew, it finds what a search of every prefix finds."""
+    r, real = random.Random(4), {CODEC.pieces[i] for i in CODEC.own}
+    for _ in range(300):
+        s = "".join(r.choice("▁thernsaiou") for _ in range(r.randint(1, 30)))
+        longest = [None] * (len(s) + 1)
+        for pos in r.sample(range(len(s)), len(s)):
+            got = CODEC._matches(s, pos, longest) if longest[pos] is None else longest[pos]
+            assert CODEC.pieces[got] == next(s[pos:e] for e in range(len(s), pos, -1) if s[pos:e] in real)
+
+
 def test_backtracking_needs_the_bitfield():
     """A vocabulary in which the longest match is wrong at first."""
     pieces = ["<unk>", "<s>", "</s>", "▁", "a", "b", "c", "d", "ab", "bc", "abc", "cd", "bcd"]
