@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANKS, Scratch, table
+from millrace.llm.common import BLANKS, Scratch, field, packed, table, unpacked
 from millrace.llm.jaccard import jaccard_join
 from millrace.llm.language import fit_languages, identify
 from millrace.llm.line_dedup import line_dedup
@@ -27,31 +27,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_languages(docs, default_model())
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    own = docs.select(*[F.col(c).alias(f"_{c}") for c in docs.columns])
-    judged = identify(own, model, text_col="_text").where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
-    return judged.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+    rows, given = packed(docs)
+    judged = identify(rows.withColumn("text", F.col(field(docs, "text"))), model)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*unpacked(docs, given))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents share go everywhere; n_chars follows the text. No document goes."""
-    out = line_dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Lines that ten different texts share stay in one of them and go from the others; n_chars follows the
+    text. Copies of one text count as one, so a group of copies reaches the next stage whole, and no line is lost
+    from the corpus. No document goes."""
+    rows, given = packed(docs)
+    kept = line_dedup(rows.select("row", F.col(field(docs, "doc_id")).alias("doc_id"), F.col(field(docs, "text")).alias("text")), keep_one=True)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(field(docs, c)).alias(c) for c in given])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of at least 0.8 join, the one with the smallest id stays; of documents
-    without a word, which are copies of nothing, too. Rows without id stay."""
-    classes = jaccard_join(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id")).where("doc_id = class_id").distinct()
-    blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) == 0
-    first = docs.where(blank).agg(F.min("doc_id").alias("m")).first()["m"]
-    kept = docs.join(classes, F.col("doc_id") == F.col("_id"), "left").where(F.col("_id").isNotNull() | F.col("doc_id").isNull())
-    return kept.where(~blank | (F.col("doc_id") == F.lit(first)) | F.col("doc_id").isNull()).select(*docs.columns)
+    """Of documents that links of at least 0.8 join, the one with the smallest id stays (all rows of that id, if
+    it is repeated); of documents without a word, which are copies of nothing, too. Rows without id stay."""
+    classes = jaccard_join(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id")).where("doc_id = class_id").distinct()
+    rows, given = packed(docs)
+    own, text = F.col(field(docs, "doc_id")), F.col(field(docs, "text"))
+    blank = F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))) == 0
+    first = rows.where(blank).agg(F.min(own).alias("m")).first()["m"]
+    kept = rows.join(classes, own == F.col("id"), "left").where(F.col("id").isNotNull() | own.isNull())
+    return kept.where(~blank | (own == F.lit(first)) | own.isNull()).select(*unpacked(docs, given))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    rows = mix_sources(docs.select(*[F.col(c).alias(f"_{c}") for c in docs.columns]), id_col="_doc_id", text_col="_text", source_col="_source")
-    return rows.select(*[F.col(f"_{c}").alias(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    rows, given = packed(docs)
+    rows = rows.select("row", *[F.col(field(docs, c)).alias(c) for c in ("doc_id", "text", "source")])
+    taken = mix_sources(rows).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*unpacked(docs, given))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
