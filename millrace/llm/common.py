@@ -112,6 +112,15 @@ def release(cycles: bool = True) -> None:
         pass
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nobody holds any more: it does so when the driver's garbage
+    is collected, which may come late."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
 
