@@ -112,13 +112,8 @@ def release(cycles: bool = True) -> None:
         pass
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nobody holds any more: it does so when the driver's garbage
-    is collected, which may come late."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Deletes the shuffle files of a query at its end. Set while a table is written, since nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -131,7 +126,13 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """The rows of `df` from a table; its shuffle files are deleted once that is written."""
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
