@@ -140,11 +140,11 @@ class Cells:
 
         along = points @ self.axes
         row, at, far = np.arange(len(points)), np.zeros(len(points), np.int64), np.zeros(len(points))
-        done = []
+        own, done = np.ones(len(points), bool), []
         for level in range(min(LEVELS, self.axes.shape[1]) + 1):
             ready = levels[row] == level
-            done.append((row[ready], at[ready], far[ready]))
-            row, at, far = row[~ready], at[~ready], far[~ready]
+            done.append((row[ready], at[ready], own[ready]))
+            row, at, far, own = row[~ready], at[~ready], far[~ready], own[~ready]
             if not len(row):
                 break
             gap = along[row, level] - self.cuts[level][at]
@@ -152,9 +152,8 @@ class Cells:
             other = far + gap * gap
             cross = other <= radius[row] ** 2
             row, far = np.concatenate([row, row[cross]]), np.concatenate([far, other[cross]])
-            at = np.concatenate([at * 2 + near, (at * 2 + ~near)[cross]])
-        row, at, far = (np.concatenate(x) for x in zip(*done, strict=True))
-        return row, at, far == 0
+            at, own = np.concatenate([at * 2 + near, (at * 2 + ~near)[cross]]), np.concatenate([own, np.zeros(int(cross.sum()), bool)])
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
 
 
 def _apart(units: DataFrame, threshold: float, leaf: int, sample_rows: int) -> DataFrame:

@@ -92,7 +92,7 @@ def test_the_check_finds_what_the_descent_leaves(spark, cell):
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
     got = near_duplicates(df, k=2, trees=1, leaf=8, widest=2, rounds=1, cell=cell, report=report)
     assert {tuple(r) for r in got.collect()} == brute(data)
-    assert report["nodes"] > 500 and report["links"] > 0 and 0 < report["recall"] < 1
+    assert report["nodes"] > 400 and report["links"] > 0 and 0 < report["recall"] < 1
 
 
 def test_cells_reach_every_point_nearby():
