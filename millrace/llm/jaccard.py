@@ -16,6 +16,9 @@ WORDS = 5
 RUNS = 20
 #: Hash values of a set that its sketch keeps.
 SKETCH = 64
+#: Tokens in common that a pair at the threshold expects where a bucket is split again. More than one, so that its
+#: chance to stay together does not vanish with the depth: one pass of RUNS runs is enough at any.
+AGAIN = 1.4
 
 def shingles(text: str | None, words: int = WORDS):
     """The sorted distinct hashes of a text's runs of `words` words (lower-cased, split at blanks); a shorter
@@ -33,13 +36,13 @@ def shingles(text: str | None, words: int = WORDS):
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def chosen(h, paths, lam: float):
+def chosen(h, paths, lam: float, shared: float = 1.0):
     """The children of `paths` for a set: of its tokens those whose hash under the path, a product with an
-    odd number of the path's own, is among the 1 / (lam * size) smallest, so that two sets as similar as
-    `lam` expect one token in common. A child's name is mixed from path and token."""
+    odd number of the path's own, is among the shared / (lam * size) smallest, so that two sets as similar as
+    `lam` expect `shared` tokens in common. A child's name is mixed from path and token."""
     import numpy as np
 
-    limit, odd = np.uint64(min(2**64 - 1, int(2**64 / (lam * len(h))))), mix(paths) | np.uint64(1)
+    limit, odd = np.uint64(min(2**64 - 1, int(2**64 * shared / (lam * len(h))))), mix(paths) | np.uint64(1)
     got = []
     for lo in range(0, len(h), 1 << 14):
         v = h[None, lo : lo + (1 << 14)] * odd[:, None]
@@ -130,7 +133,15 @@ def _sets(docs: DataFrame, threshold: float, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, th long, n long, key binary, sketch binary, kids array<long>")
 
 
-def _split(rows: DataFrame, threshold: float, words: int) -> DataFrame:
+def met(depth: int) -> float:
+    """The probability that a pair at the threshold shares a bucket of one run at that depth."""
+    below = 1.0
+    for _ in range(depth - 1):
+        below = 1 - math.exp(-AGAIN * below)
+    return 1 - math.exp(-below)
+
+
+def _split(rows: DataFrame, threshold: float, words: int, shared: float) -> DataFrame:
     """The children of (text, node, key, grps): (grp, node) below each of the set's buckets."""
 
     def run(batches):
@@ -142,14 +153,14 @@ def _split(rows: DataFrame, threshold: float, words: int) -> DataFrame:
                 h = shingles(t, words)
                 if len(h) and set_key(h) == key:
                     paths = np.array(grps, np.int64).view(np.uint64)
-                    kids = np.unique(np.concatenate([chosen(h, paths[k : k + 16], threshold) for k in range(0, len(paths), 16)]))
+                    kids = np.unique(np.concatenate([chosen(h, paths[k : k + 16], threshold, shared) for k in range(0, len(paths), 16)]))
                     yield pa.RecordBatch.from_arrays([pa.array(kids, pa.int64()), pa.array(np.full(len(kids), node), pa.int64())], names=["grp", "node"])
         release()
 
     return rows.mapInArrow(run, "grp long, node long")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, small: int = 256, block: int = 1024, max_depth: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, small: int = 1024, block: int = 1024, max_depth: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Joins documents whose sets of `words`-word shingles are at least `threshold` similar: one row per row
     of `docs` with doc_id, class_id and n_links.
 
@@ -157,11 +168,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
     smallest doc_id that links reach. Equal sets are one node throughout, so copies never make pairs.
 
     Chosen paths: in every run, a set joins the buckets of the tokens that a hash of the path picks from it,
-    about 1 / threshold of them. Buckets of more than `small` sets are split again by their sets' tokens, as
+    about 1 / threshold of them, and AGAIN / threshold where a bucket is split again. Buckets of more than `small` sets are split again by their sets' tokens, as
     deep as the logarithm of the number of sets asks for (or to `max_depth`), unless a split leaves as many sets in
     large buckets as it found: those can't be told apart, and are compared by brute force on sketches, like
-    small buckets, in blocks of `block`. A pair at the threshold shares a bucket in one run with a probability that
-    falls with the depth of the tree, 1 - exp(-1) at depth one; runs are repeated until none is missed with
+    small buckets, in blocks of `block`. A pair at the threshold shares a bucket in one run with a probability of
+    1 - exp(-1) at depth one, and of 0.4 at least at any (see met); runs are repeated until none is missed with
     probability `recall`. The components of the candidates are compared exactly, text by text, in blocks, so
     no link has less than the threshold, and links that the buckets missed inside a component are found too.
 
@@ -206,7 +217,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
             if not large:
                 break
             deep = at.join(counts.where(F.col("c") > small).select("grp"), "grp", "left_semi").groupBy("node").agg(F.collect_list("grp").alias("grps"))
-            at, depth = _split(text_of(deep), threshold, words).distinct(), depth + 1
+            at, depth = _split(text_of(deep), threshold, words, AGAIN).distinct(), depth + 1
         for k, r in enumerate(ready):
             members = r.join(nodes.select(F.col("node").alias("_n"), "sketch", "n"), F.col("node") == F.col("_n"))
             members = members.select("grp", "node", F.lit(1).cast("long").alias("w"), F.lit(4 * SKETCH).cast("long").alias("size"), "sketch", "n")
@@ -215,16 +226,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
             edges = found if edges is None else edges.union(found)
         for k in range(1, depth + 1):
             work.drop(f"at-{batch}-{k}")
-        # A pair at the threshold survives a level with probability 1 - exp(-expected survivors).
-        hit = 1.0
-        for _ in range(depth):
-            hit = 1 - math.exp(-hit)
-        missed, batch = missed * (1 - hit) ** RUNS, batch + 1
+        missed, batch = missed * (1 - met(depth)) ** RUNS, batch + 1
         if 1 - missed >= recall:
             break
         seeds = F.array(*[F.lit(batch * RUNS + k + 1).cast("long") for k in range(RUNS)])
         every = nodes.select("node", seeds.alias("grps"))
-        at = _split(text_of(every), threshold, words).distinct()
+        at = _split(text_of(every), threshold, words, 1.0).distinct()
     groups = components(edges, work, "candidates")
     members = text_of(groups.join(nodes.select(F.col("node").alias("_m"), "w", "n"), F.col("node") == F.col("_m")).select("node", F.col("root").alias("grp"), "w", (F.col("n") * 16).alias("size")))
     links = links_and_components(members, similar_sets(threshold, words), ["text"], work)
