@@ -234,7 +234,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
         at = _split(text_of(every), threshold, words, 1.0).distinct()
     groups = components(edges, work, "candidates")
     members = text_of(groups.join(nodes.select(F.col("node").alias("_m"), "w", "n"), F.col("node") == F.col("_m")).select("node", F.col("root").alias("grp"), "w", (F.col("n") * 16).alias("size")))
-    links = links_and_components(members, similar_sets(threshold, words), ["text"], work)
+    links = links_and_components(members, similar_sets(threshold, words), ["text"], work, per_block=block)
     roots = nodes.join(links.select(F.col("node").alias("_l"), "links", "root"), F.col("node") == F.col("_l"), "left").select("key", "doc", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     roots = work.write(roots, "roots")
     least = roots.groupBy("root").agg(F.min("doc").alias("class"))
