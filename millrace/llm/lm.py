@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 import math
-import zlib
-from functools import lru_cache, partial, reduce
+from functools import cached_property, lru_cache, reduce
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_64_digest
+from xxhash import xxh3_64_intdigest
 
 from millrace.llm.common import Scratch, column, lean, partitions, release, table, unpacked
 
-#: The hash of a text's end as a token.
-END = np.uint64(0x5851F42D4C957F2D)
+#: The hash of a text's end as a token; as a context, it is that of a text's first token.
+END = np.uint64(0)
 #: Tokens that a worker gathers before it passes their counts on.
 FLUSH = 900_000
 #: Customers of a dish up to which its tables are drawn from their conditional distribution; beyond, customers sit
 #: in blocks of an eighth of those before them.
 SINGLY = 64
-#: Restaurants of whole words as contexts: 2^11 for each of 32 classes of a word's last byte.
-BITS, CLASSES = 11, 32
+#: A word's restaurant is known by its last byte, of which there are CLASSES, and BITS of its hash.
+BITS, CLASSES = 56, 256
 #: Parts of the model for each shuffle partition: their hashes collide less, and a part is smaller.
 PARTS = 3
+#: Entries of restaurants that are summed in one place, about.
+ENTRIES = 2_000_000
 #: Words in one piece of the model.
 PIECE = 100_000
 #: Tokens in one piece of scoring work, about.
@@ -33,22 +35,29 @@ SHARD = 700_000
 SEED = 0x6D696C6C72616365
 #: The levels' strengths: root, last byte, word before.
 THETA = (1.0, 1.0, 1.0)
-#: All restaurants of words; the numbers that are summed over the model (customers and tables of each, tables of
-#: the classes' ones, eight more), and how many of them stand in one row.
-RESTAURANTS = CLASSES << BITS
-SUMS, RANGE = 2 * RESTAURANTS + CLASSES + 8, 4096
-TOKEN = np.dtype([("hash", "<u8"), ("context", "<u2")])
+#: The numbers that are summed over the model: customers and tables of each last byte's restaurant, eight more of the
+#: seating, all tokens, and the words' restaurants that each piece has entries of.
+SUMS = 2 * CLASSES + 10
+TOKEN = np.dtype([("hash", "<u8"), ("context", "<u8")])
 
-_hash = partial(xxh3_64_digest, seed=SEED)
+
+def room(h):
+    """The restaurant of what follows a word (hash): a number for each, the last byte first."""
+    return h << np.uint64(BITS) | h >> np.uint64(64 - BITS)
+
+
+def word_of(context):
+    """The word (hash) whose restaurant it is."""
+    return context << np.uint64(64 - BITS) | context >> np.uint64(BITS)
 
 
 def _known(words) -> np.ndarray:
-    """Words' hashes (XXH3), and the restaurants of what follows them: the low bits of the last byte, and the high
-    ones of the hash. 0 is the restaurant of a text's first token."""
+    """Words' hashes (BITS of XXH3, then the last byte), and the restaurants of what follows them: each word has its
+    own. 0 is a text's end, and the restaurant of a text's first token."""
     out = np.empty(len(words), TOKEN)
-    out["hash"] = h = np.frombuffer(b"".join(map(_hash, words)), ">u8")
     last = np.frombuffer(b"".join(words), np.uint8)[np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) - 1]
-    out["context"] = (last % CLASSES).astype(np.uint64) << np.uint64(BITS) | h >> np.uint64(64 - BITS)
+    out["hash"] = h = np.fromiter(map(xxh3_64_intdigest, words, repeat(SEED)), np.uint64, len(words)) & ~np.uint64(CLASSES - 1) | last
+    out["context"] = room(h)
     return out
 
 
@@ -76,21 +85,22 @@ class Tokens:
         self.n = int(self.ends[-1])
 
     def pairs(self, where: bool = True):
-        """(words' hashes, restaurants of the words before, counts, index of each token's pair): distinct pairs, by
-        hash and restaurant. The index is null if `where` is false, which takes less time and memory."""
+        """(distinct words' hashes; each pair's word and word before, as places among them; counts; index of each
+        token's pair): distinct pairs, by word and restaurant of the word before. The index is null if `where` is
+        false, which takes less time and memory."""
         import pyarrow as pa
 
-        coded = pa.chunked_array(self.words).dictionary_encode().unify_dictionaries()
-        known = _known(coded.chunk(0).dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False) if coded.num_chunks else [])
+        coded = pa.concat_arrays([pa.array([], pa.large_string()), *[x.cast(pa.large_string()) for x in self.words]]).dictionary_encode()
+        known = _known(coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False))
         number, word = np.zeros(self.n, np.uint32), np.ones(self.n, bool)
         word[self.ends[1:] - 1] = False
-        number[word] = np.concatenate([np.zeros(0, np.uint32), *[x.indices.to_numpy() for x in coded.chunks]]) + 1
-        h, context = np.append(END, known["hash"]), np.append(np.uint16(0), known["context"])
-        by = np.argsort(h)
-        rank = np.empty(len(by), np.uint64)
-        rank[by] = np.arange(len(by), dtype=np.uint64)
-        h, key = h[by], rank[number] << np.uint64(16)
-        key[1:] |= context[number[:-1]]  # what follows an end follows nothing, as the first token does
+        number[word] = coded.indices.to_numpy() + 1
+        h = np.append(END, known["hash"])
+        by, by_room = np.argsort(h), np.argsort(room(h))
+        rank, room_rank = np.empty((2, len(h)), np.uint64)
+        rank[by] = room_rank[by_room] = np.arange(len(h), dtype=np.uint64)
+        key = rank[number] << np.uint64(32)
+        key[1:] |= room_rank[number[:-1]]  # what follows an end follows nothing, as the first token does
         del number, word, coded
         if where:
             order = np.argsort(key)
@@ -104,7 +114,7 @@ class Tokens:
         if where:
             place = np.empty(len(order), np.int32)
             place[order] = np.cumsum(new) - 1
-        return h[one >> np.uint64(16)], (one & np.uint64(0xFFFF)).astype(np.uint16), count, place
+        return h[by], (one >> np.uint64(32)).astype(np.int64), rank[by_room].astype(np.int64)[one & np.uint64(2**32 - 1)], count, place
 
 
 def narrow(v) -> bytes:
@@ -146,15 +156,24 @@ def sliced(texts):
     return [texts.slice(a, b - a) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def by_part(words, w, u, parts: int):
+    """Of pairs as Tokens gives them, for each part: (part, its words, their numbers of pairs, the restaurants, the
+    slice of the pairs)."""
+    c, cut = room(words)[u], parts_of(words, parts)
+    ends = np.searchsorted(w, cut)
+    for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        a, b = ends[p], ends[p + 1]
+        yield p, words[cut[p] : cut[p + 1]].tobytes(), narrow(np.bincount(w[a:b] - cut[p], minlength=cut[p + 1] - cut[p])), c[a:b].tobytes(), slice(a, b)
+
+
 def _count(texts: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         def flush(t):
-            h, c, n, _ = t.pairs(where=False)
-            cut = parts_of(h, parts)
-            rows = [(p, h[a:b].tobytes(), c[a:b].tobytes(), narrow(n[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], (pa.int32(), *[pa.binary()] * 3)[k]) for k in range(4)], names=["part", "h", "c", "n"])
+            words, w, u, n, _ = t.pairs(where=False)
+            rows = [(*x, narrow(n[at])) for *x, at in by_part(words, w, u, parts)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], (pa.int32(), *[pa.binary()] * 4)[k]) for k in range(5)], names=["part", "w", "k", "c", "n"])
 
         t = Tokens()
         for b in batches:
@@ -169,33 +188,44 @@ def _count(texts: DataFrame, parts: int) -> DataFrame:
         release()
 
     lean(texts.sparkSession)
-    return texts.mapInArrow(run, "part int, h binary, c binary, n binary")
+    return texts.mapInArrow(run, "part int, w binary, k binary, c binary, n binary")
 
 
 def _merge(counted: DataFrame, parts: int) -> DataFrame:
-    """One row for each piece of a part: its words (sorted hashes), where each word's classes begin, the
-    classes, the counts, and the first seating: one table for each pair."""
+    """One row for each piece of a part: its words (sorted hashes), where each word's pairs begin, the words before
+    that have a restaurant there (sorted hashes), each pair's place among them, the counts, and the first seating: one
+    table for each pair."""
     def run(frame):
         import pandas as pd
 
-        h, c = (np.concatenate([np.frombuffer(x, kind) for x in frame[col]]) for col, kind in (("h", np.uint64), ("c", np.uint16)))
+        words, w = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["w"]]), return_inverse=True)
+        w = np.repeat(w, np.concatenate([wide(x) for x in frame["k"]]))
+        rooms, at = np.unique(word_of(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["c"]])), return_inverse=True)
         n = np.concatenate([wide(x) for x in frame["n"]])
-        order = np.lexsort((c, h))
-        h, c, n = h[order], c[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-        h, c, n = h[first], c[first], np.add.reduceat(n, first)
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        rows, ends = [], np.append(start, len(h))
-        for piece, lo in enumerate(range(0, len(start), PIECE)):
-            a, b = ends[lo], ends[min(lo + PIECE, len(start))]
-            chunk = Piece(h[start[lo : lo + PIECE]], start[lo : lo + PIECE] - a, c[a:b], n[a:b])
-            rows.append((int(frame["part"].iloc[0]), piece, *chunk.packed(), []))
-        return pd.DataFrame(rows, columns=["part", "piece", "words", "start", "classes", "counts", "seats", "sums", "kept"])
+        key = pair_key(w, rooms, at)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        w, at, n = w[order][first], at[order][first], np.add.reduceat(n[order], first)
+        rows, ends = [], np.searchsorted(w, np.arange(len(words) + 1))
+        for piece, lo in enumerate(range(0, len(words), PIECE)):
+            hi = min(lo + PIECE, len(words))
+            a, b = ends[lo], ends[hi]
+            here, near = np.unique(at[a:b], return_inverse=True)
+            rows.append((int(frame["part"].iloc[0]), piece, *Piece(words[lo:hi], ends[lo:hi] - a, rooms[here], near, n[a:b]).packed(), []))
+        return pd.DataFrame(rows, columns=MODEL_NAMES)
 
     return counted.repartition(partitions(counted.sparkSession), "part").groupBy("part").applyInPandas(run, MODEL)
 
 
-MODEL = "part int, piece int, words binary, start binary, classes binary, counts binary, seats binary, sums binary, kept array<binary>"
+MODEL = "part int, piece int, words binary, start binary, rooms binary, at binary, counts binary, seats binary, sums binary, kept array<binary>"
+MODEL_NAMES = [x.split()[0] for x in MODEL.split(", ")]
+
+
+def pair_key(word, rooms, at):
+    """A number for each pair, in the order of a piece: by word (its place), last byte of the word before, and place
+    of that."""
+    return word.astype(np.uint64) << np.uint64(40) | (rooms[at] & np.uint64(CLASSES - 1)) << np.uint64(32) | at.astype(np.uint64)
 
 
 @lru_cache(maxsize=16)
@@ -220,8 +250,10 @@ def reseat(customers, weight, discount: float, rng, gain=0.0):
     tables = np.minimum(customers, 1).astype(np.int64)
     gain = np.broadcast_to(np.asarray(gain, np.float64), weight.shape)
     some = np.flatnonzero((customers > 1) & (customers <= SINGLY))
-    for c in np.unique(customers[some]).tolist():
-        at = some[customers[some] == c]
+    some = some[np.argsort(customers[some].astype(np.uint8), kind="stable")]
+    ends = np.searchsorted(customers[some], np.arange(2, SINGLY + 2))
+    for c in (np.flatnonzero(ends[1:] > ends[:-1]) + 2).tolist():
+        at = some[ends[c - 2] : ends[c - 1]]
         for part in np.array_split(at, max(1, len(at) * c // 2_000_000)):
             opened = np.log(weight[part, None] + gain[part, None] * np.arange(c)[None, :])
             logs = np.cumsum(opened, axis=1) + _ways(discount)[c, 1 : c + 1][None, :]
@@ -240,43 +272,57 @@ def reseat(customers, weight, discount: float, rng, gain=0.0):
     return tables
 
 
+def rooms_of(row: dict):
+    """The restaurants (their words) that a piece has entries of, and each pair's place among them."""
+    rooms = np.frombuffer(row["rooms"], np.uint64)
+    return rooms, np.frombuffer(row["at"], np.uint16 if len(rooms) <= 1 << 16 else np.uint32)
+
+
 class Piece:
     """The restaurants' entries for some words. A word stands in the root, in a restaurant for each last
     byte of the words before it, and in one for each of those words; a table of one is a customer of its
     parent, so all of a word's seating is in one place."""
 
-    def __init__(self, words, start, classes, counts, seats=None):
-        self.words, self.start, self.classes, self.counts = words, start.astype(np.int64), classes.astype(np.int64), counts.astype(np.int64)
-        self.word = np.repeat(np.arange(len(words)), np.diff(np.append(self.start, len(classes))))
-        upper = self.classes >> BITS
+    def __init__(self, words, start, rooms, at, counts, seats=None):
+        self.words, self.start, self.rooms, self.at, self.counts = words, start.astype(np.int64), rooms, at.astype(np.int64), counts.astype(np.int64)
+        self.word = np.repeat(np.arange(len(words)), np.diff(np.append(self.start, len(at))))
+        upper = (rooms & np.uint64(CLASSES - 1)).astype(np.int64)[self.at]
         self.start1 = np.flatnonzero(np.concatenate([[True], (self.word[1:] != self.word[:-1]) | (upper[1:] != upper[:-1])])) if len(upper) else np.zeros(0, np.int64)
-        self.row1 = np.repeat(np.arange(len(self.start1)), np.diff(np.append(self.start1, len(classes))))
+        self.row1 = np.repeat(np.arange(len(self.start1)), np.diff(np.append(self.start1, len(at))))
         self.upper, self.word1 = upper[self.start1], self.word[self.start1]
         self.start0 = np.searchsorted(self.word1, np.arange(len(words)))
-        self.seats = seats if seats is not None else tuple(np.ones(n, np.int64) for n in (len(classes), len(self.start1), len(words)))
+        self.seats = seats if seats is not None else tuple(np.ones(n, np.int64) for n in (len(at), len(self.start1), len(words)))
 
     @classmethod
     def of(cls, row: dict, seats: bytes | None = None):
-        out = cls(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["start"], np.uint32), np.frombuffer(row["classes"], np.uint16), wide(row["counts"]))
-        raw = wide(seats or row["seats"])
-        a, b = len(out.classes), len(out.classes) + len(out.start1)
-        out.seats = (raw[:a], raw[a:b], raw[b:])
+        out = cls(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["start"], np.uint32), *rooms_of(row), wide(row["counts"]))
+        out.seats = out.seated(seats or row["seats"])
         return out
 
+    def seated(self, seats: bytes) -> tuple:
+        raw, a, b = wide(seats), len(self.at), len(self.at) + len(self.start1)
+        return raw[:a], raw[a:b], raw[b:]
+
+    @property
+    def classes(self):
+        """Each pair's restaurant."""
+        return room(self.rooms)[self.at]
+
     def packed(self) -> tuple:
-        """Words, starts, classes, counts, seats, and the sums by restaurant (see SUMS)."""
+        """Words, starts, restaurants, places, counts, seats, and the sums (see SUMS)."""
+        return self.words.tobytes(), self.start.astype(np.uint32).tobytes(), self.rooms.tobytes(), self.at.astype(np.uint16 if len(self.rooms) <= 1 << 16 else np.uint32).tobytes(), narrow(self.counts), *self.packed_seats()
+
+    def packed_seats(self) -> tuple:
         t2, t1, t0 = self.seats
-        add = lambda at, v, size: np.bincount(at, v, size).astype(np.int64)
+        c1, c0 = self.customers()
         few = [t0.sum(), len(self.words)]
-        for n in (np.add.reduceat(t1, self.start0) if len(self.words) else t0, np.add.reduceat(t2, self.start1) if len(self.words) else t1, self.counts):
+        for n in (c0, c1, self.counts):
             few += [(n == 1).sum(), (n == 2).sum()]
-        sums = np.concatenate([add(self.classes, self.counts, RESTAURANTS), add(self.classes, t2, RESTAURANTS), add(self.upper, t1, CLASSES), np.array(few, np.int64)])
-        return self.words.tobytes(), self.start.astype(np.uint32).tobytes(), self.classes.astype(np.uint16).tobytes(), narrow(self.counts), narrow(np.concatenate(self.seats)), zlib.compress(sums.tobytes(), 1)
+        sums = np.concatenate([np.bincount(self.upper, v, CLASSES).astype(np.int64) for v in (c1, t1)] + [np.array([*few, self.counts.sum(), len(self.rooms)], np.int64)])
+        return narrow(np.concatenate(self.seats)), sums.tobytes()
 
     def customers(self):
         """Of the last-byte restaurants and of the root: the tables below."""
-        if not len(self.words):
-            return self.seats[1], self.seats[2]
         return np.add.reduceat(self.seats[0], self.start1), np.add.reduceat(self.seats[1], self.start0)
 
     def parents(self, s: dict):
@@ -290,9 +336,7 @@ class Piece:
     def sweep(self, s: dict, rng) -> None:
         """Each dish of each restaurant is seated anew, given the totals of the last sweep without the dish's own:
         its customers and tables, and its tables as customers of the parent. First the tokens, then the tables
-        below as customers of each next restaurant."""
-        if not len(self.words):
-            return
+        below as customers of each next restaurant. T2 has the tables of each restaurant of `rooms`."""
         (d0, d1, d2), (th0, th1, th2) = s["d"], THETA
         p0, _ = self.parents(s)
         old2, old1, old0 = self.seats
@@ -301,7 +345,7 @@ class Piece:
         rest, up = c1[self.row1] - old2, self.upper[self.row1]
         own = np.where(rest > 0, np.maximum(rest - d1 * np.minimum(old1[self.row1], rest), 0.0), 0.0)
         p1 = (own + (th1 + d1 * s["T1"][up]) * p0[self.word1][self.row1]) / (th1 + s["C1"][up] - old2)
-        t2 = reseat(self.counts, (th2 + d2 * (s["T2"][self.classes] - old2)) * p1, d2, rng, d2 * p1)
+        t2 = reseat(self.counts, (th2 + d2 * (s["T2"][self.at] - old2)) * p1, d2, rng, d2 * p1)
         rest = c0[self.word1] - old1
         own = np.where(rest > 0, np.maximum(rest - d0 * np.minimum(old0[self.word1], rest), 0.0), 0.0)
         p = (own + (th0 + d0 * s["T0"]) * s["base"]) / (th0 + s["C0"] - old1)
@@ -309,108 +353,191 @@ class Piece:
         t0 = reseat(np.add.reduceat(t1, self.start0), (th0 + d0 * (s["T0"] - old0)) * s["base"], d0, rng, d0 * s["base"])
         self.seats = (t2, t1, t0)
 
-    def keys(self, s: dict) -> tuple:
-        """What predict looks up, made once for all who ask: the root's probabilities, and the entries of both other
-        levels by word and class, with their customers less the discounts."""
-        (_, d1, d2), (c1, _), (p0, _) = s["d"], self.customers(), self.parents(s)
-        return p0, self.word1 << 8 | self.upper, c1 - d1 * self.seats[1], self.word << 16 | self.classes, self.counts - d2 * self.seats[0]
+    @cached_property
+    def keys(self) -> tuple:
+        """The entries of both other levels, in their order: by word and last byte, and by pair."""
+        return self.word1 << 8 | self.upper, pair_key(self.word, self.rooms, self.at)
 
-    def predict(self, h, c, s: dict, keys: tuple | None = None):
-        """The probability of each word (hash) after each class."""
-        (d0, d1, d2), (th0, th1, th2) = s["d"], THETA
-        p0, keys1, own1, keys2, own2 = keys or self.keys(s)
-        w = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        here = self.words[w] == h
-        root = np.where(here, p0[w], (th0 + d0 * s["T0"]) * s["base"] / (th0 + s["C0"]))
-        up = c >> BITS
+    def find(self, words, w, c, first):
+        """Places in this piece of `words`; of the pairs' entries (w, place among `words`; c, restaurant); and of the
+        entries in the last bytes' restaurants, for the pairs `first`. It is the place after the last for what is not
+        here."""
+
+        def place(have, x, ok=True):
+            k = np.minimum(np.searchsorted(have, x), len(have) - 1)
+            return np.where(ok & (have[k] == x), k, len(have))
+
+        ones, pairs = self.keys
+        word, at = place(self.words, words), place(self.rooms, word_of(c))
+        row = word[w]
+        here, up = row < len(self.words), (c >> np.uint64(BITS)).astype(np.int64)
+        one = place(ones, row[first] << 8 | up[first], here[first])
+        return word, one, place(pairs, (row << 40 | up << 32 | at).astype(np.uint64), here & (at < len(self.rooms)))
+
+    def predict(self, h, c, s: dict):
+        """The probability of each word (hash) after each restaurant's word."""
+        c, (c1, c0) = np.asarray(c).astype(np.uint64), self.customers()
+        every = np.arange(len(h))
+        word, one, pair = self.find(h, every, c, every)
+        at = lambda v, k: np.append(v, 0)[k]
+        p0 = root(s, at(c0, word), at(self.seats[2], word))
+        p1 = last_byte(s, (c >> np.uint64(BITS)).astype(np.int64), at(c1, one), at(self.seats[1], one), p0)
+        return word_before(s, at(self.counts, pair), at(self.seats[0], pair), s["C2"][c], s["T2"][c], p1)
 
-        def entry(word, cls, bits, keys, values):
-            k = np.minimum(np.searchsorted(keys, word << bits | cls), len(keys) - 1)
-            return np.where(here & (keys[k] == (word << bits | cls)), values[k], 0.0)
 
-        own1, own2 = entry(w, up, 8, keys1, own1), entry(w, c, 16, keys2, own2)
-        one = (own1 + (th1 + d1 * s["T1"][up]) * root) / (th1 + s["C1"][up])
-        return (own2 + (th2 + d2 * s["T2"][c]) * one) / (th2 + s["C2"][c])
+def root(s: dict, customers, tables):
+    """The root's probability of words with so many customers and tables there."""
+    return (customers - s["d"][0] * tables + (THETA[0] + s["d"][0] * s["T0"]) * s["base"]) / (THETA[0] + s["C0"])
 
-    def known(self, h, total):
-        """The tokens of each word (hash), of the words' `total`."""
-        w = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[w] == h, total[w], 0)
+
+def last_byte(s: dict, up, customers, tables, parent):
+    """The probability in the restaurants `up` of last bytes, given the root's."""
+    return (customers - s["d"][1] * tables + (THETA[1] + s["d"][1] * s["T1"][up]) * parent) / (THETA[1] + s["C1"][up])
+
+
+def word_before(s: dict, customers, tables, all_customers, all_tables, parent):
+    """The probability in restaurants of words before, with so many customers and tables in all, given the last
+    byte's."""
+    return (customers - s["d"][2] * tables + (THETA[2] + s["d"][2] * all_tables) * parent) / (THETA[2] + all_customers)
 
 
 def _totals(model: DataFrame, discounts=None) -> dict:
-    """Sums over all pieces: tables and customers by restaurant (RESTAURANTS of them), and from the first
-    seating the discounts n1 / (n1 + 2 n2) of the levels. A task sums its pieces and passes the sums on in
-    ranges of restaurants, which are summed apart; one row of each range reaches the driver."""
+    """Sums over all pieces: tables and customers of the last bytes' restaurants and of the root, and from the first
+    seating the discounts n1 / (n1 + 2 n2) of the levels. A task sums its pieces; one number of each kind reaches the
+    driver."""
     def run(batches):
         import pyarrow as pa
 
         total = np.zeros(SUMS, np.int64)
         for b in batches:
             for raw in b.column("sums").to_pylist():
-                total += np.frombuffer(zlib.decompress(raw), np.int64)
-        lo = [k for k in range(0, SUMS, RANGE) if total[k : k + RANGE].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array([total[k : k + RANGE].tobytes() for k in lo], pa.binary())], names=["lo", "v"])
-
-    def add(frame):
-        import pandas as pd
-
-        return pd.DataFrame({"lo": frame["lo"].iloc[:1], "v": [sum(np.frombuffer(x, np.int64) for x in frame["v"]).tobytes()]})
+                total += np.frombuffer(raw, np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["k", "v"])
 
     s = np.zeros(SUMS)
-    for r in model.select("sums").mapInArrow(run, "lo long, v binary").groupBy("lo").applyInPandas(add, "lo long, v binary").collect():
-        s[r["lo"] : r["lo"] + RANGE] = np.frombuffer(r["v"], np.int64)
-    c2, t2, t1, few = np.split(s, [RESTAURANTS, 2 * RESTAURANTS, 2 * RESTAURANTS + CLASSES])
+    for r in model.select("sums").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        s[r["k"]] = r["v"]
+    c1, t1, few = np.split(s, [CLASSES, 2 * CLASSES])
     if discounts is None:
-        discounts = tuple(min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5 for a, b in few[2:].reshape(3, 2))
-    return {"C2": c2, "T2": t2, "T1": t1, "C1": t2.reshape(CLASSES, -1).sum(axis=1), "C0": t1.sum(), "T0": few[0], "base": 1.0 / (few[1] + 1), "N": c2.sum(), "V": few[1], "d": discounts}
+        discounts = tuple(min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5 for a, b in few[2:8].reshape(3, 2))
+    return {"T1": t1, "C1": c1, "C0": t1.sum(), "T0": few[0], "base": 1.0 / (few[1] + 1), "N": few[8], "V": few[1], "d": discounts, "entries": int(few[9])}
+
+
+def _summed(model: DataFrame, parts: int, entries: int, kept: bool = False) -> DataFrame:
+    """The tables of the words' restaurants, each summed over all pieces. A piece sends its own sums to where the
+    restaurant's word stands (`to`, a range of the hash); back come those of the whole model, in the order of the
+    piece's restaurants: (part, piece, to, sums). If `kept`, they stay there instead: (part, rooms, sums) of each
+    part's words, with the customers and the tables of each kept sample;
+    a part may have two rows."""
+    ranges = min(parts, max(1, math.ceil(entries / ENTRIES)))
+    sent = "to int, part int, piece int, rooms binary, sums array<binary>"
+
+    def send(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                rooms, at = rooms_of(row)
+                own = [row["counts"], *(row["kept"] or [row["seats"]])] if kept else [row["seats"]]
+                sums = [np.bincount(at, wide(x)[: len(at)], len(rooms)).astype(np.int64) for x in own]
+                cut = parts_of(rooms, ranges)
+                rows = [(r, row["part"], row["piece"], rooms[x:y].tobytes(), [narrow(v[x:y]) for v in sums]) for r, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["to", "part", "piece", "rooms", "sums"])
+        release()
+
+    def add(rows):
+        import pyarrow as pa
+
+        given = [np.frombuffer(x, np.uint64) for x in rows.column("rooms").to_pylist()]
+        ends = np.cumsum([len(x) for x in given])
+        rooms, at = np.unique(np.concatenate(given), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([wide(x) for x in v])).astype(np.int64) for v in zip(*rows.column("sums").to_pylist(), strict=True)]
+        if kept:
+            cut = parts_of(rooms, parts)
+            here = [(p, x, y) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            return pa.Table.from_arrays([pa.array([p for p, _, _ in here], pa.int32()), pa.array([rooms[x:y].tobytes() for _, x, y in here], pa.binary()), pa.array([[narrow(v[x:y]) for v in sums] for _, x, y in here], pa.list_(pa.binary()))], names=["part", "rooms", "sums"])
+        back = [narrow(x) for x in np.split(sums[0][at], ends[:-1])]
+        return pa.Table.from_arrays([rows.column("part"), rows.column("piece"), rows.column("to"), pa.array(back, pa.binary())], names=["part", "piece", "to", "sums"])
+
+    own = model.select("part", "piece", "rooms", "at", "seats", *(["counts", "kept"] if kept else [])).mapInArrow(send, sent)
+    return own.groupBy("to").applyInArrow(add, "part int, rooms binary, sums array<binary>" if kept else "part int, piece int, to int, sums binary")
+
+
+class Rooms:
+    """Sums of the words' restaurants, which stay in their table: those asked for are looked up there."""
+
+    def __init__(self, rooms: DataFrame, parts: int, k: int):
+        self.rooms, self.parts, self.k = rooms, parts, k
+
+    def __getitem__(self, c):
+        h = word_of(np.asarray(c).astype(np.uint64))
+        out = np.zeros(h.shape)
+        among = np.unique((h >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).tolist()
+        for r in self.rooms.where(F.col("part").isin(among)).select("rooms", F.col("sums")[self.k].alias("v")).toLocalIterator():
+            rooms, v = np.frombuffer(r["rooms"], np.uint64), wide(r["v"])
+            k = np.minimum(np.searchsorted(rooms, h), len(rooms) - 1)
+            out = np.where(rooms[k] == h, v[k], out)
+        return out
+
+    def sum(self) -> int:
+        return sum(int(wide(r["v"]).sum()) for r in self.rooms.select(F.col("sums")[self.k].alias("v")).toLocalIterator())
 
 
 def train(texts: DataFrame, work: Scratch, sweeps: int = 4, keep: int = 2, seed: int = 1):
-    """(model table, totals of each kept sample): see score_texts."""
+    """(model table, totals of each kept sample, parts): see score_texts. The totals of the words' restaurants stay
+    in the table `rooms` of the scratch folder."""
     parts = PARTS * partitions(texts.sparkSession)
     model = work.write(_merge(_count(texts, parts), parts), "model-0")
     totals = _totals(model)
     first, samples = totals, []
-    for k in range(1, sweeps + 1):
-        def run(batches, k=k, s=totals):
+
+    def swept(k: int, s: dict):
+        def run(key, rows, sums):
             import pyarrow as pa
 
-            for b in batches:
-                for i in range(b.num_rows):  # one piece at a time stands in memory beside the batch
-                    row = b.slice(i, 1).to_pylist()[0]
-                    piece = Piece.of(row)
-                    piece.sweep(s, np.random.default_rng([seed, k, row["part"], row["piece"]]))
-                    row["seats"], row["sums"] = piece.packed()[4:]
-                    row["kept"] = [*row["kept"], row["seats"]] if k > sweeps - keep else []
-                    yield pa.RecordBatch.from_pylist([row], schema=b.schema)
-            release()
-
-        model = work.write(model.mapInArrow(run, MODEL), f"model-{k}")
+            release(cycles=False)
+            row = rows.to_pylist()[0]
+            piece = Piece.of(row)
+            total = np.concatenate([wide(x) for x in sums.sort_by("to").column("sums").to_pylist()])
+            piece.sweep(s | {"T2": total}, np.random.default_rng([seed, k, row["part"], row["piece"]]))
+            row["seats"], row["sums"] = piece.packed_seats()
+            row["kept"] = [*row["kept"], row["seats"]] if k > sweeps - keep else []
+            return pa.Table.from_pylist([row], schema=rows.schema)
+
+        return run
+
+    for k in range(1, sweeps + 1):
+        sums = _summed(model, parts, first["entries"]).groupBy("part", "piece")
+        model = work.write(model.groupBy("part", "piece").cogroup(sums).applyInArrow(swept(k, totals), MODEL), f"model-{k}")
         work.drop(f"model-{k - 1}")
         totals = _totals(model, first["d"])
         if k > sweeps - keep:
             samples.append(totals)
-    return model, samples or [first], parts
+    rooms = work.write(_summed(model, parts, first["entries"], kept=True), "rooms")
+    samples = [s | {"C2": Rooms(rooms, parts, 0), "T2": Rooms(rooms, parts, 1 + k)} for k, s in enumerate(samples or [first])]
+    return model, samples, parts
 
 
-def score_texts(docs: DataFrame, training: DataFrame, sweeps: int = 4, keep: int = 2, seed: int = 1, passes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, sweeps: int = 4, keep: int = 2, seed: int = 1, passes: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row of `docs`, by a hierarchical
     Pitman-Yor model of the texts of `training`; other columns of `docs` pass through.
 
     Tokens are words (A-Z lower-cased, split at blanks) and an end. The restaurants of a token are that of
-    the whole word before it, that of the word's last byte, which all words with that byte share as parent, and the
-    root, whose base is uniform over the vocabulary and one unknown. Words as contexts are hashed to RESTAURANTS, so
-    that the totals of all restaurants fit one row; rare words share one, frequent ones prevail in theirs. Seating is
+    the whole word before it, of which each word has its own, that of that word's last byte, which all words with that
+    byte share as parent, and the root, whose base is uniform over the vocabulary and one unknown. Seating is
     sampled in `sweeps` Gibbs sweeps, in which each dish's customers leave and sit down again given the
     others' totals; predictive probabilities are averaged over the last `keep`, and `score` is the sum of
     their log10. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1))) instead, c a token's count.
 
-    A task counts the pairs of its texts and passes them on by ranges of the word's hash, so a word's
-    restaurants are in one place and a sweep needs no shuffle: only totals by restaurant meet on the driver. To
-    score, texts are dealt into shards by a hash of the row; a shard asks each part
-    of the model for its distinct pairs once and gets their probabilities back, packed. The shards are scored in
-    `passes`, each written before the next begins, so that what travels for one is gone before the next.
+    A task counts the pairs of its texts and passes them on by ranges of the word's hash, so a word's entries in all
+    restaurants are in one place. A restaurant's total of tables is summed where its own word stands, and sent back
+    to the pieces that have entries of it before each sweep; only totals of the last bytes' restaurants meet on the
+    driver. To score, texts are dealt into shards by a hash of the row; a shard asks each part of the model for the
+    customers and tables of its distinct words and pairs once. The shards are scored in `passes`, each written before
+    the next begins, so that what travels for one is gone before the next.
 
     Null texts count as empty: the end only. Repeated rows are tokens, and rows of the result, of their
     own; null ids are kept. If nothing is there to learn from, every token is unknown. Words are known by
@@ -419,7 +546,9 @@ def score_texts(docs: DataFrame, training: DataFrame, sweeps: int = 4, keep: int
     spark = docs.sparkSession
     work = Scratch(spark, "lm")
     model, samples, parts = train(training.select(column(text_col).alias("text")), work, sweeps, keep, seed)
-    last = samples[-1]
+    # The words' restaurants stay in their table; a shard asks for the totals of its own.
+    plain = [{k: v for k, v in s.items() if k not in ("C2", "T2")} for s in samples]
+    last, n_samples = plain[-1], len(plain)
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     letters = docs.agg(F.sum(F.length(column(text_col)))).first()[0] or 0
     shards = max(1, math.ceil(letters / 6 / SHARD))
@@ -428,7 +557,8 @@ def score_texts(docs: DataFrame, training: DataFrame, sweeps: int = 4, keep: int
     given = [c for c in rest.columns if c not in made]
     dealt = docs.select(shard.alias("_shard"), column(text_col).alias("_text"), F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(rest.columns)]).alias("row"))
     base = math.log10(0.1 / (last["N"] + 0.1 * (last["V"] + 1)))
-    sums = spark.sparkContext.broadcast(samples)
+    sums = spark.sparkContext.broadcast(plain)
+    shapes = 1 + 3 * n_samples, 2 * n_samples, 1 + n_samples
 
     def gather(texts):
         t = Tokens()
@@ -440,81 +570,111 @@ def score_texts(docs: DataFrame, training: DataFrame, sweeps: int = 4, keep: int
         import pyarrow as pa
 
         release(cycles=False)
-        h, c, _, _ = gather(rows.column("_text")).pairs(where=False)
-        cut = parts_of(h, parts)
-        asked = []
-        for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b > a:
-                first = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]]))
-                asked.append((p, key[0].as_py(), h[a:b][first].tobytes(), narrow(np.diff(np.append(first, b - a))), c[a:b].tobytes()))
+        words, w, u, _, _ = gather(rows.column("_text")).pairs(where=False)
+        asked = [(p, key[0].as_py(), *x) for p, *x, _ in by_part(words, w, u, parts)]
         kinds = {"part": pa.int32(), "shard": pa.int32(), "w": pa.binary(), "k": pa.binary(), "c": pa.binary()}
         return pa.Table.from_arrays([pa.array([r[i] for r in asked], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
-    def answer(key, pieces, asked):
-        import pandas as pd
+    def answer(key, held, asked):
+        """For each word asked for its tokens (the customers of its restaurant, too), its customers and tables in the
+        root and the tables of its restaurant; for each word and last byte, and for each pair, customers and tables;
+        customers of pairs are tokens, all else is by sample."""
+        import pyarrow as pa
 
         release(cycles=False)
-        s, rows = sums.value, pieces.sort_values("piece").to_dict("records")
-        got = [[read(x) for x in asked[col]] for col, read in (("w", lambda x: np.frombuffer(x, np.uint64)), ("k", wide), ("c", lambda x: np.frombuffer(x, np.uint16)))]
-        prob = [np.full(len(c), -1.0) for c in got[2]]
-        count = [np.zeros(len(w), np.int64) for w in got[0]]
-        bounds = [int(np.frombuffer(r["words"], np.uint64)[0]) for r in rows]
-        for i in range(max(1, len(rows))):
-            lo, hi = np.uint64(bounds[i] if i else 0), np.uint64(bounds[i + 1] - 1 if i + 1 < len(rows) else 2**64 - 1)
-            samples_here = [Piece.of(rows[i], x) for x in (rows[i]["kept"] if len(rows[i]["kept"]) else [rows[i]["seats"]])] if rows else []
-            keys = [x.keys(t) for x, t in zip(samples_here, s, strict=True)] if rows else []
-            total = np.add.reduceat(samples_here[0].counts, samples_here[0].start) if rows else None
-            for q, (w, k, c) in enumerate(zip(*got, strict=True)):
-                a, b = np.searchsorted(w, lo), np.searchsorted(w, hi, side="right")
-                begin = np.concatenate([[0], np.cumsum(k, dtype=np.int64)])
-                at = slice(begin[a], begin[b])
-                if a == b:
+        got = []
+        for w, k, c in zip(*(asked.column(x).to_pylist() for x in ("w", "k", "c")), strict=True):
+            words, k, c = np.frombuffer(w, np.uint64), wide(k), np.frombuffer(c, np.uint64)
+            w = np.repeat(np.arange(len(words)), k)
+            first = np.flatnonzero(starts(w, c >> np.uint64(BITS)))
+            got.append((words, w, c, first, [np.zeros(x, np.int64) for x in zip(shapes, (len(words), len(first), len(c)), strict=True)]))
+        for row in (held.slice(i, 1).to_pylist()[0] for i in range(held.num_rows) if got):
+            if row["piece"] < 0:
+                rooms = np.frombuffer(row["rooms"], np.uint64)
+                for words, _, _, _, out in got:
+                    k = np.minimum(np.searchsorted(rooms, words), len(rooms) - 1)
+                    for i, x in enumerate(row["kept"][1:]):
+                        out[0][1 + 2 * n_samples + i] += np.where(rooms[k] == words, wide(x)[k], 0)
+                continue
+            piece, of_word, of_one, of_pair = Piece.of(row, row["kept"][0]), [], [], []
+            of_word.append(np.add.reduceat(piece.counts, piece.start))
+            of_pair.append(piece.counts)
+            for x in row["kept"]:
+                piece.seats = piece.seated(x)
+                c1, c0 = piece.customers()
+                of_word += [c0, piece.seats[2]]
+                of_one += [c1, piece.seats[1]]
+                of_pair.append(piece.seats[0])
+            tables = [[np.append(v, 0) for v in x] for x in (of_word, of_one, of_pair)]
+            for words, w, c, first, out in got:
+                a, b = np.searchsorted(words, piece.words[0]), np.searchsorted(words, piece.words[-1], side="right")
+                x, y = np.searchsorted(w, (a, b))
+                g, h = np.searchsorted(first, (x, y))
+                if x == y:
                     continue
-                h, cls = np.repeat(w[a:b], k[a:b]), c[at].astype(np.int64)
-                if samples_here:
-                    prob[q][at] = sum(x.predict(h, cls, t, k_) for x, t, k_ in zip(samples_here, s, keys, strict=True)) / len(s)
-                    count[q][a:b] = samples_here[0].known(w[a:b], total)
-                else:
-                    prob[q][at] = s[-1]["base"] if not s[-1]["C0"] else _absent(s, cls)
-        return pd.DataFrame({"shard": asked["shard"], "part": key[0], "p": [packed_logs(x) for x in prob], "n": [narrow(x) for x in count]}, columns=["shard", "part", "p", "n"])
+                places = piece.find(words[a:b], w[x:y] - a, c[x:y], first[g:h] - x)
+                for here, at, k, v in zip(out, (slice(a, b), slice(g, h), slice(x, y)), places, tables, strict=True):
+                    for i, numbers in enumerate(v):
+                        here[i, at] += numbers[k]
+        back = [narrow(np.concatenate([x.ravel() for x in out])) for *_, out in got]
+        return pa.Table.from_arrays([asked.column("shard"), asked.column("part"), pa.array(back, pa.binary())], names=["shard", "part", "numbers"])
 
     def score(rows, answers):
         import pyarrow as pa
 
         release(cycles=False)
         t = gather(rows.column("_text"))
-        h, _, _, at = t.pairs()
-        answers = answers.sort_by("part")
-        p = np.concatenate([unpacked_logs(x) for x in answers.column("p").to_pylist()])
-        c = np.concatenate([wide(x) for x in answers.column("n").to_pylist()])
-        c = c[np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))]
+        words, w, u, _, at = t.pairs()
+        up = (words[u] & np.uint64(CLASSES - 1)).astype(np.int64)
+        first = np.flatnonzero(starts(w, up))
+        cut = parts_of(words, parts)
+        pairs = np.searchsorted(w, cut)
+        cuts = cut, np.searchsorted(first, pairs), pairs
+        of_word, of_one, of_pair = got = [np.zeros(x, np.int64) for x in zip(shapes, (len(words), len(first), len(w)), strict=True)]
+        for part, raw in zip(answers.column("part").to_pylist(), answers.column("numbers").to_pylist(), strict=True):
+            v, lo = wide(raw), 0
+            for numbers, ends in zip(got, cuts, strict=True):
+                a, b = ends[part], ends[part + 1]
+                numbers[:, a:b] = v[lo : lo + len(numbers) * (b - a)].reshape(len(numbers), b - a)
+                lo += len(numbers) * (b - a)
+        one, p = np.cumsum(starts(w, up)) - 1, 0.0
+        for i, s in enumerate(sums.value):
+            p0 = root(s, *of_word[1 + 2 * i : 3 + 2 * i])
+            p1 = last_byte(s, up[first], *of_one[2 * i : 2 * i + 2], p0[w[first]])
+            p = p + word_before(s, of_pair[0], of_pair[1 + i], of_word[0][u], of_word[1 + 2 * n_samples + i][u], p1[one])
+        p = np.log10(p / n_samples)
+        c = of_word[0]
         low = np.log10((c + 0.1) / (last["N"] + 0.1 * (last["V"] + 1))) if last["N"] else np.full(len(c), base)
         ends = t.ends[:-1]
         total = lambda v: pa.array(np.add.reduceat(v[at], ends))
-        new = [pa.array(np.diff(t.ends)), total((c > 0).astype(np.int64)), pa.array(np.full(rows.num_rows, int(last["N"]))), total(low), total(p)]
+        new = [pa.array(np.diff(t.ends)), total((c > 0).astype(np.int64)[w]), pa.array(np.full(rows.num_rows, int(last["N"]))), total(low[w]), total(p)]
         return pa.Table.from_arrays([rows.column("row"), *new], names=["row", *made])
 
     out = T.StructType([dealt.schema["row"], *[T.StructField(c, T.LongType() if k < 3 else T.DoubleType()) for k, c in enumerate(made)]])
-    sent = model.select("part", "piece", "words", "start", "classes", "counts", F.when(F.size("kept") == 0, F.col("seats")).alias("seats"), "kept")
+    kept = F.when(F.size("kept") == 0, F.array("seats")).otherwise(F.col("kept"))
+    none = F.lit(None).cast("binary")
+    sent = model.select("part", "piece", "words", "start", "rooms", "at", "counts", kept.alias("kept"))
+    sent = sent.union(spark.read.parquet(work.path("rooms")).select("part", F.lit(-1), none, none, "rooms", none, none, "sums"))
     scored, passes = [], min(passes, shards)
     for k in range(passes):
+        # Both uses of these rows have the same columns, so that they are shuffled once.
         here = dealt.where(F.col("_shard") % passes == k)
-        requests = here.select("_shard", "_text").groupBy("_shard").applyInArrow(ask, "part int, shard int, w binary, k binary, c binary")
-        answers = sent.groupBy("part").cogroup(requests.groupBy("part")).applyInPandas(answer, "shard int, part int, p binary, n binary")
+        requests = here.groupBy("_shard").applyInArrow(ask, "part int, shard int, w binary, k binary, c binary")
+        answers = sent.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(answer, "shard int, part int, numbers binary")
         scored.append(work.write(here.groupBy("_shard").cogroup(answers.groupBy("shard")).applyInArrow(score, out), f"scored-{k}"))
     work.keep(*[f"scored-{k}" for k in range(passes)])
     return reduce(DataFrame.union, scored).select(*unpacked(rest, given), *made)
 
 
+def starts(*keys):
+    """Where runs of equal keys begin, as a mask."""
+    return np.concatenate([np.ones(min(1, len(keys[0])), bool), np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+
+
 def _absent(samples: list[dict], c):
-    """The probability of a word that no training text holds, after each class."""
-    total, (th0, th1, th2) = 0.0, THETA
-    for s in samples:
-        d0, d1, d2 = s["d"]
-        root = (th0 + d0 * s["T0"]) * s["base"] / (th0 + s["C0"])
-        one = (th1 + d1 * s["T1"][c >> BITS]) * root / (th1 + s["C1"][c >> BITS])
-        total = total + (th2 + d2 * s["T2"][c]) * one / (th2 + s["C2"][c])
-    return total / len(samples)
+    """The probability of a word that no training text holds, after each restaurant's word."""
+    up = np.asarray(c).astype(np.uint64) >> np.uint64(BITS)
+    return sum(word_before(s, 0, 0, s["C2"][c], s["T2"][c], last_byte(s, up.astype(np.int64), 0, 0, root(s, 0, 0))) for s in samples) / len(samples)
 
 
 def op5_lm_scoring(spark, sf_dir):

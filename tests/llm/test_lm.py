@@ -172,3 +172,19 @@ def test_packing():
         assert lm.wide(lm.narrow(np.array(v, np.int64))).tolist() == v
     p = np.array([1.0, 0.5, 1e-9, 1e-60])
     assert np.allclose(lm.unpacked_logs(lm.packed_logs(p)), np.log10(p), rtol=0, atol=1e-12)
+
+
+def test_each_word_has_its_own_restaurant(spark):
+    """As many restaurants as words, however many; texts without a word in common share none."""
+    words = [f"w{k}" for k in range(70_000)]
+    known = lm._known([w.encode() for w in words])
+    assert len(set(known["context"].tolist())) == len(words) == len(set(known["hash"].tolist()))
+    assert (lm.word_of(known["context"]) == known["hash"]).all() and {int(c) >> lm.BITS for c in known["context"]} == set(b"0123456789")
+    r = np.random.default_rng(2)
+    order = r.permutation(words)
+    df = spark.createDataFrame([(k, " ".join(order[100 * k : 100 * k + 100])) for k in range(700)], "doc_id long, text string")
+    work = Scratch(spark, "t")
+    model, samples, _ = lm.train(df.select("text"), work, sweeps=2, keep=1)
+    pairs = [(int(c), int(n)) for row in model.collect() for p in [lm.Piece.of(row.asDict())] for c, n in zip(p.classes, p.counts, strict=True)]
+    assert len(pairs) == 700 * 101 and len({c for c, _ in pairs}) == 70_001
+    assert samples[0]["C2"][known["context"]].tolist() == [1.0] * 70_000 and samples[0]["T2"][known["context"]].tolist() == [1.0] * 70_000
