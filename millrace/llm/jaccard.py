@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, column, components, lean, release, table, whole_ids
+from millrace.llm.common import Scratch, column, components, forget, lean, release, table, whole_ids
 from millrace.llm.groups import compare_groups, links_and_components
 from millrace.llm.words import FACTOR, digest, mix, word_hashes
 
@@ -115,6 +115,7 @@ def _sets(docs: DataFrame, threshold: float, words: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        forget()
         roots = np.arange(1, RUNS + 1, dtype=np.uint64)
         for b in batches:
             for lo in range(0, b.num_rows, 256):

@@ -143,3 +143,12 @@ def test_one_id_with_several_texts(spark):
     df = spark.createDataFrame([(1, a), (1, b), (2, b + " x"), (3, a + " y"), (4, a)], "doc_id long, text string")
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_join(df).collect())
     assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 1, 2)]
+
+
+def test_workers_drop_other_operators_models():
+    """A model that an earlier operator left in a worker goes before texts are cut into shingles."""
+    from millrace.llm import common
+
+    common.once("a model", lambda: 1)
+    common.forget()
+    assert not common._held
