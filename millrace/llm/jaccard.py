@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ SKETCH = 64
 #: Tokens in common that a pair at the threshold expects where a bucket is split again. More than one, so that its
 #: chance to stay together does not vanish with the depth: one pass of RUNS runs is enough at any.
 AGAIN = 1.4
+#: Rows of 64 bits, at most, that tell which texts are asked for.
+BITMAP = 1 << 19
+
 
 def shingles(text: str | None, words: int = WORDS):
     """The sorted distinct hashes of a text's runs of `words` words (lower-cased, split at blanks); a shorter
@@ -161,6 +165,15 @@ def _split(rows: DataFrame, threshold: float, words: int, shared: float) -> Data
     return rows.mapInArrow(run, "grp long, node long")
 
 
+def asked_for(texts: DataFrame, which: DataFrame, total: int) -> DataFrame:
+    """The rows of `texts` whose th is one of `which`, and a few more that share a bit with one: a filter of bounded
+    size before a shuffle of whole texts. `which` has some of `total` values."""
+    rows = min(BITMAP, 1 << max(4, math.ceil(math.log2(max(1, total) / 4))))
+    row, bit = F.pmod("th", F.lit(rows)), F.expr("shiftleft(1L, cast(pmod(shiftright(th, 32), 64) as int))")
+    bits = which.groupBy(row.alias("_row")).agg(F.bit_or(bit).alias("_bits"))
+    return texts.join(F.broadcast(bits), (row == F.col("_row")) & (bit.bitwiseAND(F.col("_bits")) != 0), "left_semi")
+
+
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, small: int = 1024, block: int = 1024, max_depth: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Joins documents whose sets of `words`-word shingles are at least `threshold` similar: one row per row
     of `docs` with doc_id, class_id and n_links.
@@ -197,10 +210,30 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
     total = nodes.count()
     deepest = max_depth or 2 + int(math.log(max(1.0, total / small), 16))
 
-    def text_of(which: DataFrame) -> DataFrame:
+    def text_of(which: DataFrame, name: str) -> DataFrame:
         """`which` (node, ...) with the text and key of each node's first document."""
-        firsts = which.join(nodes.select(F.col("node").alias("_n"), "key", "doc", "th"), F.col("node") == F.col("_n")).drop("_n")
-        return firsts.join(texts, ["doc", "th"]).drop("doc", "th")
+        firsts = work.write(which.join(nodes.select(F.col("node").alias("_n"), "key", "doc", "th"), F.col("node") == F.col("_n")).drop("_n"), name)
+        return firsts.join(asked_for(texts, firsts, total), ["doc", "th"]).drop("doc", "th")
+
+    def linked(buckets: DataFrame, edges: DataFrame | None, name: str) -> DataFrame:
+        """`edges` and the candidates among the members of `buckets` (grp, node)."""
+        members = buckets.select("grp", "node").join(nodes.select(F.col("node").alias("_n"), "sketch", "n"), F.col("node") == F.col("_n"))
+        members = members.select("grp", "node", F.lit(1).cast("long").alias("w"), F.lit(4 * SKETCH).cast("long").alias("size"), "sketch", "n")
+        found = compare_groups(members, similar_sketches(threshold), ["sketch", "n"], per_block=block, block_bytes=1 << 30, count=False)
+        found = work.write(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), name)
+        return found if edges is None else edges.union(found)
+
+    def linked_large(buckets: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        """The same for buckets (grp, node, c) of several blocks, whose pairs are many. A group of near copies fills
+        many of them: each set's largest is compared, and of the others those whose members the links so far don't
+        join into one component. The components are the same."""
+        top = buckets.groupBy("node").agg(F.max(F.struct("c", "grp")).alias("top")).select("top.grp").distinct()
+        edges = linked(buckets.join(top, "grp", "left_semi"), edges, f"{name}-top")
+        rest = buckets.join(top, "grp", "left_anti")
+        roots = components(edges, work, name).select(F.col("node").alias("_r"), "root")
+        rest = work.write(rest.join(roots, F.col("node") == F.col("_r"), "left").select("grp", "node", F.coalesce("root", "node").alias("root")), f"{name}-rest")
+        apart = rest.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
+        return linked(rest.join(apart, "grp", "left_semi"), edges, name)
 
     at, missed, batch, edges = nodes.select(F.explode("kids").alias("grp"), "node"), 1.0, 0, None
     while True:
@@ -214,17 +247,17 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
             large = over > 0 and depth < deepest and (before is None or over < 0.8 * before)
             before = over
             pick = counts.where(F.col("c") <= small) if large else counts
-            ready.append(at.join(pick.select("grp"), "grp", "left_semi"))
+            ready.append(at.join(pick.select("grp", "c"), "grp"))
             if not large:
                 break
             deep = at.join(counts.where(F.col("c") > small).select("grp"), "grp", "left_semi").groupBy("node").agg(F.collect_list("grp").alias("grps"))
-            at, depth = _split(text_of(deep), threshold, words, AGAIN).distinct(), depth + 1
+            at, depth = _split(text_of(deep, f"deep-{batch}-{depth}"), threshold, words, AGAIN).distinct(), depth + 1
         for k, r in enumerate(ready):
-            members = r.join(nodes.select(F.col("node").alias("_n"), "sketch", "n"), F.col("node") == F.col("_n"))
-            members = members.select("grp", "node", F.lit(1).cast("long").alias("w"), F.lit(4 * SKETCH).cast("long").alias("size"), "sketch", "n")
-            found = compare_groups(members, similar_sketches(threshold), ["sketch", "n"], per_block=block, block_bytes=1 << 30, count=False)
-            found = work.write(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), f"edges-{batch}-{k}")
-            edges = found if edges is None else edges.union(found)
+            edges = linked(r.where(F.col("c") <= block), edges, f"edges-{batch}-{k}")
+        large = reduce(DataFrame.union, (r.where(F.col("c") > block) for r in ready))
+        if over > 0 or small > block:
+            edges = linked_large(work.write(large, f"large-{batch}"), edges, f"edges-{batch}-large")
+            work.drop(f"large-{batch}")
         for k in range(1, depth + 1):
             work.drop(f"at-{batch}-{k}")
         missed, batch = missed * (1 - met(depth)) ** RUNS, batch + 1
@@ -232,9 +265,9 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, re
             break
         seeds = F.array(*[F.lit(batch * RUNS + k + 1).cast("long") for k in range(RUNS)])
         every = nodes.select("node", seeds.alias("grps"))
-        at = _split(text_of(every), threshold, words, 1.0).distinct()
+        at = _split(text_of(every, f"every-{batch}"), threshold, words, 1.0).distinct()
     groups = components(edges, work, "candidates")
-    members = text_of(groups.join(nodes.select(F.col("node").alias("_m"), "w", "n"), F.col("node") == F.col("_m")).select("node", F.col("root").alias("grp"), "w", (F.col("n") * 16).alias("size")))
+    members = text_of(groups.join(nodes.select(F.col("node").alias("_m"), "w", "n"), F.col("node") == F.col("_m")).select("node", F.col("root").alias("grp"), "w", (F.col("n") * 16).alias("size")), "members")
     links = links_and_components(members, similar_sets(threshold, words), ["text"], work, per_block=block)
     roots = nodes.join(links.select(F.col("node").alias("_l"), "links", "root"), F.col("node") == F.col("_l"), "left").select("key", "doc", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     roots = work.write(roots, "roots")

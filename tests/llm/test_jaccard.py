@@ -145,6 +145,31 @@ def test_one_id_with_several_texts(spark):
     assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 1, 2)]
 
 
+def test_texts_that_are_asked_for(spark):
+    """The filter before the shuffle of texts loses none that is asked for, and leaves most others out."""
+    texts = spark.range(4000).selectExpr("id AS doc", "xxhash64(cast(id AS string)) AS th", "cast(id AS string) AS text")
+    for n in (0, 1, 200):
+        got = {r.doc for r in jaccard.asked_for(texts, texts.where(f"doc < {n}"), 4000).collect()}
+        assert set(range(n)) <= got and len(got) <= 1.2 * n
+
+
+def test_near_copies_are_compared_once(spark, monkeypatch):
+    """A group of near copies fills many large buckets; those whose members are joined already aren't compared."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    docs = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i, k in enumerate(r.randrange(150) for _ in range(150))] + [(1000 + i, t) for i, t in corpus(2, 10)]
+    seen, real = [], jaccard.compare_groups
+
+    def counted(members, *args, **kwargs):
+        seen.append(members.groupBy("grp").count().where("count > 30").count())
+        return real(members, *args, **kwargs)
+
+    monkeypatch.setattr(jaccard, "compare_groups", counted)
+    got = jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), small=20, block=30)
+    assert {x.doc_id: (x.class_id, x.n_links) for x in got.collect()} == brute(docs)
+    assert 1 <= sum(seen) <= 12, seen
+
+
 def test_workers_drop_other_operators_models():
     """A model that an earlier operator left in a worker goes before texts are cut into shingles."""
     from millrace.llm import common
