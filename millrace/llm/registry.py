@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import jaccard, language, line_dedup, lm, mixing, neardup, pieces, spelling, topk, url_filter, warc
+from millrace.llm import divergence, jaccard, language, line_dedup, lm, mixing, neardup, pieces, spelling, topk, toxicity, url_filter, warc
 
-MODULES = (jaccard, line_dedup, mixing, topk, lm, url_filter, language, pieces, neardup, warc, spelling)
+MODULES = (jaccard, line_dedup, mixing, topk, lm, url_filter, language, pieces, neardup, warc, toxicity, divergence, spelling)
 
 
 def queries() -> dict:
