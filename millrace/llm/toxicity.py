@@ -25,6 +25,8 @@ QUOTES = '"“”„«»'
 DEFAULTS = {"insult": 0.0, "insult/t": 1.0, "insult/n": -2.0, "insult/n/t": -1.5, "insult/r": -2.0, "insult/r/t": -1.5, "insult/n/r": -3.0, "insult/n/r/t": -3.0} | {"threat": -1.0, "threat/t": 2.0, "threat/n": -2.0, "threat/n/t": -1.0, "threat/r": -2.0, "threat/r/t": -1.0, "threat/n/r": -3.0, "threat/n/r/t": -3.0}
 #: Words that a negation reaches, and that a target may be away.
 SCOPE, REACH = 3, 4
+#: Log-odds from which a word can be read as an insult.
+LEAST = 1.0
 #: Clauses that the prior of a rate counts as, and the least letters of a stem and the most.
 PRIOR, STEM, STEMS = 8.0, 4, 10
 #: Logistic weights of (1, largest clause score, log of 1 + their sum) where nothing could be learned.
@@ -103,24 +105,31 @@ def negation() -> Transducer:
 
 
 def targets() -> Transducer:
-    """Marks events with a target within REACH words before or after (/t). Whether one comes after is guessed; a
-    path whose guess isn't met has no end."""
-    events = [x + m for x in ("insult", "threat") for m in ("", "/n", "/r", "/n/r")]
+    """Marks events with a target within REACH words before or after (/t). A state is (seen, not before, by): a
+    target counts for `seen` more words; where none does, an event guesses whether one comes: none may come within
+    the next words, or one must. Paths whose guess is wrong have no end."""
+    marked = [x + m for x in ("insult", "threat") for m in ("", "/n", "/r", "/n/r")]
     arcs: dict = {}
-    for k in range(REACH + 1):  # ("seen", k): a target for k more words; ("due", k): one must come within k words
-        seen, due = arcs.setdefault(("seen", k), {}), arcs.setdefault(("due", k), {})
-        for x in PLAIN:
-            hit = x == "target"
-            seen[x] = [(x, 0.0, ("seen", REACH if hit else max(k - 1, 0)))]
-            if hit or k > 1:
-                due[x] = [(x, 0.0, ("seen", REACH) if hit else ("due", k - 1))]
-        for x in events:
-            if k:
-                seen[x] = [(x + "/t", 0.0, ("seen", k - 1))]
-                due[x] = [(x + "/t", 0.0, ("due", k - 1))] if k > 1 else []
-            else:
-                seen[x] = [(x, 0.0, ("seen", 0)), (x + "/t", 0.0, ("due", REACH))]
-    return Transducer(("seen", 0), arcs, {("seen", k) for k in range(REACH + 1)})
+    todo = [(0, 0, 0)]
+    while todo:
+        if (state := todo.pop()) in arcs:
+            continue
+        seen, wait, by = state
+        arcs[state] = own = {x: [] for x in [*PLAIN, *marked]}
+        if not wait:
+            own["target"].append(("target", 0.0, (REACH, 0, 0)))
+        if by != 1:
+            later = max(seen - 1, 0), max(wait - 1, 0), max(by - 1, 0)
+            for x in PLAIN:
+                if x != "target":
+                    own[x].append((x, 0.0, later))
+            for x in marked:
+                if seen or by:
+                    own[x].append((x + "/t", 0.0, later))
+                else:
+                    own[x] += [(x, 0.0, (0, REACH, 0)), (x + "/t", 0.0, (0, later[1], REACH))]
+        todo += [to for ways in own.values() for *_, to in ways]
+    return Transducer((0, 0, 0), arcs, {s for s in arcs if not s[2]})
 
 
 def events(kind: str, weights: dict[str, float]) -> Transducer:
@@ -161,7 +170,7 @@ class Grammar:
         out = [(self.fixed.get(word, "word"), 0.0)]
         if out[0][0] == "threat":
             out.insert(0, ("word", 0.0))
-        if (w := self.insult(word)) > 0:
+        if (w := self.insult(word)) >= LEAST:
             out.append(("insult", w))
         return out
 
