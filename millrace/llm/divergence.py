@@ -37,7 +37,7 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
         def summed(held, dfs):
             for (lang, source), terms in held.items():
                 seen = dfs[lang, source]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(terms.values(), pa.int64()), pa.array([seen[t] for t in terms], pa.int64())], names=["lang", "source", "term", "c", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(terms.values(), pa.int64()), pa.array([seen[t] for t in terms], pa.int64())], names=["lang", "source", "term", "c", "df"])
 
         held: dict = {}
         dfs: dict = {}
