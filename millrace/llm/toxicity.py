@@ -25,8 +25,8 @@ QUOTES = '"“”„«»'
 DEFAULTS = {"insult": 0.0, "insult/t": 1.0, "insult/n": -2.0, "insult/n/t": -1.5, "insult/r": -2.0, "insult/r/t": -1.5, "insult/n/r": -3.0, "insult/n/r/t": -3.0} | {"threat": -1.0, "threat/t": 2.0, "threat/n": -2.0, "threat/n/t": -1.0, "threat/r": -2.0, "threat/r/t": -1.0, "threat/n/r": -3.0, "threat/n/r/t": -3.0}
 #: Words that a negation reaches, and that a target may be away.
 SCOPE, REACH = 3, 4
-#: Log-odds from which a word can be read as an insult.
-LEAST = 1.0
+#: Log-odds from which a word can be read as an insult, and the highest rate of an entry.
+LEAST, SURE = 1.0, 0.999
 #: Clauses that the prior of a rate counts as, and the least letters of a stem and the most.
 PRIOR, STEM, STEMS = 8.0, 4, 10
 #: Logistic weights of (1, largest clause score, log of 1 + their sum) where nothing could be learned.
@@ -204,7 +204,7 @@ def lexicon_of(counts: list[tuple[str, int, int]], rate: float) -> dict[str, flo
     out: dict[str, float] = {}
     for entry, pos, neg in sorted(counts):
         below = next((rates[entry[:k]] for k in range(len(entry) - 1, STEM - 1, -1) if entry[:k] in rates), None)
-        r = (pos + PRIOR * (rate if below is None else below)) / (pos + neg + PRIOR)
+        r = min(SURE, (pos + PRIOR * (rate if below is None else below)) / (pos + neg + PRIOR))
         if r > 0.5 if below is None else abs(logit(r) - logit(below)) > 1.0:
             rates[entry] = r
             out[entry] = logit(r) - logit(rate)

@@ -79,6 +79,12 @@ def test_lexicon():
     assert set(got) == {"lowe", "lowea ", "lowex "} and got["lowea "] > got["lowe"] > 4 and got["lowex "] < toxicity.LEAST
 
 
+def test_rates_stay_below_one():
+    """Beginnings of beginnings, each of which only toxic clauses have."""
+    got = toxicity.lexicon_of([("scoundrel"[:k], 10**6, 0) for k in range(4, 10)], 0.05)
+    assert got["scou"] > 5 and all(math.isfinite(w) for w in got.values())
+
+
 def made(n, seed, toxic=0.2):
     """Clean prose, toxic prose with insults of a lexicon unknown to the library, and copies of one toxic text."""
     r = random.Random(seed)
