@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import compare
@@ -37,7 +37,9 @@ def join(r: DataFrame, s: DataFrame, q: Join, how: str = "hash", r_order: list[s
 def join_cells(r: DataFrame, s: DataFrame, q: Join, how: str = "hash", r_order: list[str] = (), s_order: list[str] = ()) -> DataFrame:
     """The matches as cells: row_key, family, qualifier, value. A key's further matches are told apart by
     their number, in R's order then S's for `merge`, in S's then R's for `hash`; the columns of r_order and
-    s_order give that order, since files have none here."""
+    s_order give that order, or else the lines of the files, if rows have them (_file and _line of with_lines)."""
+    lines = lambda df, order: order or [c for c in ("_file", "_line") if c in df.columns]
+    r_order, s_order = lines(r, r_order), lines(s, s_order)
     matches = join(r, s, q, how, r_order, s_order)
     by = [f"_R_{k}" for k in range(len(r_order))], [f"_S_{k}" for k in range(len(s_order))]
     by = by[0] + by[1] if how == "merge" else by[1] + by[0]
@@ -69,20 +71,20 @@ def distinct(r: DataFrame, q: Distinct, ranked: bool = False) -> DataFrame:
     return ranked_rows(rows, F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in cols], F.lit(""))) if ranked else rows
 
 
-def ranked_rows(rows: DataFrame, key, name: str = "rank") -> DataFrame:
-    """`rows` with their place from 0 in the order of `key` (a string column), ties by all columns.
+def ranked_rows(rows: DataFrame, *keys: Column, name: str = "rank") -> DataFrame:
+    """`rows` with their place from 0 in the order of `keys` (columns, which may be descending), ties by all columns.
 
     Rows are dealt into ranges of the order and kept so; ranges are counted and their counts summed in order
     (one row per range), and only within a range are rows numbered.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["_k", *rows.columns]
-    dealt = cut(rows.withColumn("_k", key).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    order = [*keys, *rows.columns]
+    dealt = cut(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     out = dealt.withColumn("_i", own).join(parts, "_p")
-    return out.withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_k", "_p", "_before", "_i")
+    return out.withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_p", "_before", "_i")
 
 
 def run(spec: str, read: Callable[[str], DataFrame], how: str = "hash", strategy: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import number
+from millrace.sources.lines import with_lines
 
 #: Fixed values of the public TPC-H schema: each table's columns in order.
 TPCH = {
@@ -28,11 +29,13 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths))
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "|", columns: list[str] | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "|", columns: list[str] | None = None, lines: bool = False) -> DataFrame:
     """A file without header whose lines end in a separator or don't: with or without that, the columns of
-    `schema`, or those asked for, once each, in the order asked for."""
-    df = spark.read.csv(path, sep=sep, schema=f"{schema}, _end string", quote="", enforceSchema=True, mode="PERMISSIVE").drop("_end")
-    return df.select(*dict.fromkeys(columns)) if columns else df
+    `schema`, or those asked for, once each, in the order asked for; with `lines`, then _file and _line, by which
+    the rows of files have an order (see with_lines)."""
+    df = spark.read.csv(path, sep=sep, schema=f"{schema}, _end string", quote="", enforceSchema=True, mode="PERMISSIVE")
+    df = (with_lines(df) if lines else df).drop("_end")
+    return df.select(*dict.fromkeys(columns), *(["_file", "_line"] if lines else [])) if columns else df
 
 
 def read_keyed(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -50,6 +53,32 @@ def read_edges(spark: SparkSession, *paths: str, default_weight: float | None =
     return rows.select(F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"), F.coalesce(number(F.get("t", F.lit(2))), F.lit(default_weight).cast("double")).alias("weight"))
 
 
+def read_graph(spark: SparkSession, *paths: str, default_weight: float | None = None) -> DataFrame:
+    """src, dst, weight from edge files that begin with a line that counts vertices and one that counts edges, as
+    write_edges makes them. The counts hold: ValueError if a file has no such lines, other than so many edges, or a
+    line that is no edge, or if an end isn't among the vertices 0, 1, ... that all files together count. Blank lines
+    don't matter. All of that is found in one pass of sums by file."""
+    t = F.filter(F.split("value", "[ \t]+"), lambda w: w != "")
+    rows = with_lines(spark.read.text(list(paths))).select("_file", "_line", t.alias("t")).where(F.size("t") > 0)
+    whole = lambda k: F.get("t", F.lit(k)).try_cast("long")
+    weight = number(F.get("t", F.lit(2)))
+    head = lambda k: F.max(F.when((F.col("_line") == k) & (F.size("t") == 1), whole(0)))
+    is_edge = (F.col("_line") > 1) & F.size("t").isin(2, 3) & whole(0).isNotNull() & whole(1).isNotNull() & ((F.size("t") == 2) | weight.isNotNull())
+    files = rows.groupBy("_file").agg(head(0).alias("v"), head(1).alias("e"), F.count_if(is_edge).alias("edges"), F.count_if((F.col("_line") > 1) & ~is_edge).alias("bad"), F.max(F.when(is_edge, F.greatest(whole(0), whole(1)))).alias("top"), F.min(F.when(is_edge, F.least(whole(0), whole(1)))).alias("low"))
+    files = files.cache()
+    try:
+        wrong = files.where(F.col("v").isNull() | F.col("e").isNull() | (F.col("e") != F.col("edges")) | (F.col("bad") > 0)).orderBy("_file").first()
+        if wrong:
+            said = "no counts" if wrong["v"] is None or wrong["e"] is None else f"{wrong['e']} edges"
+            raise ValueError(f"{wrong['_file']}: its first two lines say {said}; it has {wrong['edges']}, and {wrong['bad']} lines that are no edges")
+        total = files.agg(F.sum("v").alias("v"), F.max("top").alias("top"), F.min("low").alias("low")).first()
+        if total["top"] is not None and (total["top"] >= total["v"] or total["low"] < 0):
+            raise ValueError(f"the files count {total['v']} vertices, but edges have ends from {total['low']} to {total['top']}")
+    finally:
+        files.unpersist()
+    return rows.where(is_edge).select(whole(0).alias("src"), whole(1).alias("dst"), F.coalesce(weight, F.lit(default_weight).cast("double")).alias("weight"))
+
+
 def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
 
@@ -64,12 +93,20 @@ def read_similarity(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.csv(list(paths), sep=" ", schema="a long, b long, sim double")
 
 
+#: Bytes of a record: two unsigned longs and a double.
+RECORD = 24
+
+
 def read_similarity_records(spark: SparkSession, path: str) -> DataFrame:
-    """a, b, sim from files of 24-byte records (two unsigned longs and a double, little-endian). Files are
-    cut in Spark's expressions; ids must be below 2^63."""
-    raw = spark.read.format("binaryFile").load(path).select(F.hex("content").alias("h"))
-    at = F.explode(F.sequence(F.lit(0), F.expr("length(h) div 48 - 1"))).alias("i")
-    rec = raw.where(F.length("h") >= 48).select(at, "h").select(F.expr("substring(h, i * 48 + 1, 48)").alias("r"))
+    """a, b, sim from files of 24-byte records (two unsigned longs and a double, little-endian), or a folder of
+    them; ids must be below 2^63.
+
+    Files are cut into splits at record borders, so a task reads a part of a file, from any store that Spark reads, and
+    a row is a record; the bytes are taken apart by expressions. A file that ends within a record is an error when
+    it is read."""
+    records = spark.sparkContext._jsc.binaryRecords(path, RECORD).rdd()
+    raw = DataFrame(spark._jsparkSession.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+    rec = raw.select(F.hex("value").alias("r"))
     flip = lambda lo: F.concat(*[F.substring("r", lo + 2 * k, 2) for k in range(7, -1, -1)])
     whole = lambda lo: F.conv(flip(lo), 16, 10).cast("long")
     bits = flip(33)

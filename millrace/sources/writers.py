@@ -84,7 +84,7 @@ def edge_headers(edges: DataFrame, parts: int, vertex_count: int | None = None)
     """part, vertices, edges: the header of each part: how many of the ids 0 to vertex_count - 1 (by default,
     to the largest id of an edge) fall to it, and its edges."""
     if vertex_count is None:
-        vertex_count = (edges.agg(F.max(F.greatest("src", "dst")).alias("m")).first()["m"] or -1) + 1
+        vertex_count = edges.agg(F.coalesce(F.max(F.greatest("src", "dst")), F.lit(-1)).alias("m")).first()["m"] + 1
     every = edges.sparkSession.range(parts).select((F.col("id") + 1).cast("int").alias("part"))
     vertices = F.lit(vertex_count // parts).cast("long") + F.when(F.col("part") <= vertex_count % parts, F.lit(1)).otherwise(0)
     counts = hash_partition(edges, parts).groupBy("part").agg(F.count("*").alias("edges"))
