@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import graph, metrics, relational, simrank, textagg
 from millrace.plans.pregel import VertexProgram, pregel
 from millrace.plans.state import scratch_path
-from millrace.sources import TPCH, distance_lines, edge_headers, in_neighbours, out_degrees, rank_lines, read_delimited, read_edges, read_keyed, read_lines, read_table, similarity_lines, wide_cells, write_edges, write_lines, write_vertices
+from millrace.sources import TPCH, distance_lines, edge_headers, in_neighbours, out_degrees, rank_lines, read_delimited, read_edges, read_graph, read_keyed, read_lines, read_similarity, read_table, similarity_lines, wide_cells, write_edges, write_lines, write_similarity, write_vertices
 from millrace.spec import Ref
 
 #: The sample specs of the query language.
@@ -70,6 +70,37 @@ def join_cells_hash(spark, d):
     return relational.run_cells("S=orders R=lineitem join:R0=S0 res:S1,R1,R3", _reader(spark, d), "hash", r_order=["l_linenumber", "l_partkey", "l_suppkey"], s_order=["o_orderkey"])
 
 
+_LINES = """
+    WITH m AS (SELECT l_orderkey, o_custkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) - 1 AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_LINES += _CELLS[_CELLS.index("    SELECT l_orderkey::VARCHAR"):]
+
+
+def _in_files(spark, d, sorted_by: dict[str, list]):
+    """A reader of tables that were written as |-separated files, in an order of their own, and are read again by the
+    order of their lines alone."""
+    folder = scratch_path(spark, "lines")
+    for name, by in sorted_by.items():
+        df = read_table(spark, d, name)
+        line = F.concat(*[F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|")) for c in df.columns])
+        write_lines(df.repartitionByRange(4, *by).sortWithinPartitions(*by).select(line.alias("value")), f"{folder}/{name}")
+    schema = lambda name: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read_table(spark, d, name).schema)
+    return lambda name: read_delimited(spark, f"{folder}/{name}", schema(name), lines=True)
+
+
+@query(_LINES.format(order="l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber"))
+def join_cells_lines(spark, d):
+    """Matches numbered by the order of the lines of R's files, and then of S's."""
+    read = _in_files(spark, d, {"lineitem": [F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber"], "orders": [F.desc("o_totalprice"), "o_orderkey"]})
+    return relational.run_cells("R=lineitem S=orders join:R0=S0 res:S1,R1,R3", read, "sort")
+
+
+@query(_LINES.format(order="o_totalprice DESC, o_orderkey, l_suppkey, l_partkey DESC, l_linenumber"))
+def join_cells_lines_hash(spark, d):
+    """The same, in the order of S's lines, and then of R's."""
+    read = _in_files(spark, d, {"lineitem": ["l_suppkey", F.desc("l_partkey"), "l_linenumber"], "orders": [F.desc("o_totalprice"), "o_orderkey"]})
+    return relational.run_cells("R=lineitem S=orders join:R0=S0 res:S1,R1,R3", read, "hash")
+
+
 @query("SELECT n_name AS r1, r_name AS s1 FROM nation JOIN region ON n_regionkey = r_regionkey")
 def join_nation_region(spark, d):
     return _named(relational.run("R=nation S=region join:R2=S0 res:R1,S1", _reader(spark, d), "sort"), r1="R1", s1="S1")
@@ -181,18 +212,6 @@ def pair_stats(spark, d):
 # Graphs ---------------------------------------------------------------------------------------------------
 
 
-def nation_edges(spark, d) -> DataFrame:
-    """From a customer's nation to a supplier's, for every line of an order; weight: the least quantity."""
-    read = _reader(spark, d)
-    orders = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").cast("long").alias("src"))
-    lines = read("lineitem").join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", F.col("s_nationkey").cast("long").alias("dst"), "l_quantity")
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("src", "dst").agg(F.min("l_quantity").alias("weight"))
-
-
-_NATION = """SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, min(l_quantity) AS weight FROM orders JOIN customer ON o_custkey = c_custkey
-    JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"""
-
-
 def user_edges(spark, d) -> DataFrame:
     """From a user to the next one with an event of the same type on the same day; every such pair is an edge,
     and its weight is 1 more than the later event's value."""
@@ -205,9 +224,23 @@ _USERS = """SELECT * FROM (SELECT lag(user_id) OVER (PARTITION BY event_type, ts
     WHERE src IS NOT NULL AND src <> dst"""
 
 
-@query(f"SELECT dst AS src, src AS dst, weight FROM ({_NATION})")
+def first_edges(spark, d) -> DataFrame:
+    """A sparse graph, all of it: of each user's edges of user_edges, the earliest and the latest (both, if they
+    lead to the same user; one, if it is the same event)."""
+    by = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
+    rows = read_table(spark, d, "events").select("ts", "event_id", F.lag("user_id").over(by).alias("src"), F.col("user_id").alias("dst"), (F.abs("value") + 1).alias("weight"))
+    edge = F.struct("ts", "event_id", "dst", "weight")
+    ends = rows.where("src IS NOT NULL AND src <> dst").groupBy("src").agg(F.min(edge).alias("first"), F.max(edge).alias("last"))
+    return ends.select("src", F.explode(F.array_distinct(F.array("first", "last"))).alias("e")).select("src", "e.dst", "e.weight")
+
+
+_FIRST = """SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY src ORDER BY ts DESC, event_id DESC) AS z FROM (
+    SELECT ts, event_id, lag(user_id) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) AS src, user_id AS dst, abs(value) + 1 AS weight FROM events) WHERE src IS NOT NULL AND src <> dst) WHERE a = 1 OR z = 1"""
+
+
+@query(f"SELECT dst AS src, src AS dst, weight FROM ({_FIRST})")
 def transpose(spark, d):
-    return graph.transpose(nation_edges(spark, d)).select("src", "dst", "weight")
+    return graph.transpose(first_edges(spark, d)).select("src", "dst", "weight")
 
 
 @query(f"SELECT src, dst, min(weight) AS weight FROM ({_USERS}) WHERE src <> dst GROUP BY 1, 2")
@@ -220,9 +253,9 @@ def out_degree(spark, d):
     return out_degrees(user_edges(spark, d))
 
 
-@query(f"SELECT dst AS id, string_agg(src::VARCHAR, ' ' ORDER BY src) AS neighbours FROM ({_NATION}) GROUP BY 1")
+@query(f"SELECT dst AS id, string_agg(src::VARCHAR, ' ' ORDER BY src) AS neighbours FROM ({_FIRST}) GROUP BY 1")
 def in_neighbour_lists(spark, d):
-    return in_neighbours(nation_edges(spark, d)).select("id", F.array_join(F.col("neighbours").cast("array<string>"), " ").alias("neighbours"))
+    return in_neighbours(first_edges(spark, d)).select("id", F.array_join(F.col("neighbours").cast("array<string>"), " ").alias("neighbours"))
 
 
 @query(f"""WITH e AS MATERIALIZED ({_USERS}), n AS (SELECT max(greatest(src, dst)) + 1 AS n FROM e)
@@ -249,23 +282,23 @@ def _rank_halt(n: int) -> str:
     return f", halt AS (SELECT min(k) AS k FROM ({steps}) WHERE change < 1e-6) SELECT id, round(rank, 6) AS rank, k AS steps FROM ({every}) JOIN halt USING (k)"
 
 
-@query(_rank_steps(_NATION, 40) + _rank_halt(40))
+@query(_rank_steps(_FIRST, 120) + _rank_halt(120))
 def pagerank_converged(spark, d):
-    ranks, steps = graph.pagerank(nation_edges(spark, d))
+    ranks, steps = graph.pagerank(first_edges(spark, d))
     return ranks.select("id", F.round("rank", 6).alias("rank"), F.lit(steps - 1).cast("int").alias("steps"))
 
 
-@query(_rank_steps(_NATION, 40) + _rank_halt(40).replace("SELECT id, round(rank, 6) AS rank, k AS steps", "SELECT id, printf('%d: %f', id, rank) AS value"))
+@query(_rank_steps(_FIRST, 10) + " SELECT id, printf('%d: %f', id, rank) AS value FROM r10")
 def pagerank_lines(spark, d):
-    return rank_lines(graph.pagerank(nation_edges(spark, d))[0])
+    return rank_lines(graph.pagerank(first_edges(spark, d), max_steps=10)[0])
 
 
-@query(_rank_steps(_NATION, 40) + _rank_halt(40).replace("SELECT id, round(rank, 6) AS rank, k AS steps", "SELECT printf('%d: %f', id, rank) AS value"))
+@query(_rank_steps(_FIRST, 10) + " SELECT printf('%d: %f', id, rank) AS value FROM r10")
 def pagerank_files(spark, d):
     """From edge files with headers to vertex files, and those read again."""
     folder = scratch_path(spark, "graph")
-    write_edges(nation_edges(spark, d), f"{folder}/edges", 4)
-    ranks, _ = graph.pagerank(read_edges(spark, *[f"{folder}/edges/part={k}" for k in range(1, 5)]))
+    write_edges(first_edges(spark, d), f"{folder}/edges", 4)
+    ranks, _ = graph.pagerank(read_edges(spark, *[f"{folder}/edges/part={k}" for k in range(1, 5)]), max_steps=10)
     write_vertices(rank_lines(ranks), f"{folder}/ranks", 4)
     return read_lines(spark, f"{folder}/ranks/part=*")
 
@@ -286,22 +319,33 @@ def sssp_hops(spark, d):
     return distance_lines(graph.sssp(user_edges(spark, d), 0, max_hops=2))
 
 
-@query(_path_steps(_NATION, 25) + ", p AS (SELECT e.dst AS id, min(e.src) AS pred FROM e JOIN d25 s ON s.id = e.src JOIN d25 t ON t.id = e.dst WHERE s.dist + e.weight = t.dist AND t.dist > 0 GROUP BY 1) SELECT v.id, dist, coalesce(pred, -1) AS pred FROM v LEFT JOIN d25 USING (id) LEFT JOIN p USING (id)")
+@query(_path_steps(_FIRST, 30) + " SELECT v.id, round(dist, 6) AS dist FROM v LEFT JOIN d30 USING (id)")
+def sssp_files(spark, d):
+    """Over weighted edge files, whose headers hold; an edge without weight has none in its line, and is one of
+    none that counts."""
+    folder = scratch_path(spark, "weighted")
+    write_edges(first_edges(spark, d).where("weight IS NOT NULL"), folder, 4, users(spark, d).agg(F.max("id")).first()[0] + 1)
+    bare = first_edges(spark, d).where("weight IS NULL").select("src", "dst")
+    edges = read_graph(spark, f"{folder}/part=*").union(bare.select("src", "dst", F.lit(None).cast("double")))
+    return graph.sssp(edges, 0).select("id", F.round("dist", 6).alias("dist"))
+
+
+@query(_path_steps(_FIRST, 25) + ", p AS (SELECT e.dst AS id, min(e.src) AS pred FROM e JOIN d25 s ON s.id = e.src JOIN d25 t ON t.id = e.dst WHERE s.dist + e.weight = t.dist AND t.dist > 0 GROUP BY 1) SELECT v.id, dist, coalesce(pred, -1) AS pred FROM v LEFT JOIN d25 USING (id) LEFT JOIN p USING (id)")
 def shortest_paths(spark, d):
-    return graph.shortest_paths(nation_edges(spark, d), 0).withColumn("pred", F.coalesce("pred", F.lit(-1).cast("long")))
+    return graph.shortest_paths(first_edges(spark, d), 0).withColumn("pred", F.coalesce("pred", F.lit(-1).cast("long")))
 
 
-_PRED = _path_steps(_NATION, 25) + ", p AS (SELECT e.dst AS id, min(e.src) AS pred FROM e JOIN d25 s ON s.id = e.src JOIN d25 t ON t.id = e.dst WHERE s.dist + e.weight = t.dist AND t.dist > 0 GROUP BY 1)"
+_PRED = _path_steps(_FIRST, 25) + ", p AS (SELECT e.dst AS id, min(e.src) AS pred FROM e JOIN d25 s ON s.id = e.src JOIN d25 t ON t.id = e.dst WHERE s.dist + e.weight = t.dist AND t.dist > 0 GROUP BY 1)"
 
 
 @query("WITH RECURSIVE " + _PRED.removeprefix("WITH ") + ", w AS (SELECT id, id AS vertex, 0 AS back FROM d25 UNION ALL SELECT w.id, p.pred, back + 1 FROM w JOIN p ON p.id = w.vertex) SELECT id, (max(back) OVER (PARTITION BY id) - back)::BIGINT AS place, vertex FROM w")
 def path_vertices(spark, d):
-    return graph.paths_back(graph.shortest_paths(nation_edges(spark, d), 0), 0)
+    return graph.paths_back(graph.shortest_paths(first_edges(spark, d), 0), 0)
 
 
-@query(_path_steps(_NATION, 25) + " SELECT v.id, dist FROM v LEFT JOIN d25 USING (id)")
+@query(_path_steps(_FIRST, 25) + " SELECT v.id, dist FROM v LEFT JOIN d25 USING (id)")
 def program_by_name(spark, d):
-    return graph.run_program("sssp", nation_edges(spark, d), source=0).select("id", "dist")
+    return graph.run_program("sssp", first_edges(spark, d), source=0).select("id", "dist")
 
 
 def _hops(edges: str, n: int) -> str:
@@ -326,13 +370,13 @@ def vertex_program(spark, d):
 # SimRank --------------------------------------------------------------------------------------------------
 
 
-def nations(spark, d) -> DataFrame:
-    return read_table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+def users(spark, d) -> DataFrame:
+    return read_table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
 
 
 def _sim_steps(n: int, matrix: bool) -> str:
-    ctes = [f"e AS MATERIALIZED ({_NATION})", "q AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE / any_value(n) AS share FROM e JOIN (SELECT dst, count(*) AS n FROM e GROUP BY 1) USING (dst) GROUP BY 1, 2)"]
-    unit = "SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT AS b, 1.0::DOUBLE AS sim FROM nation"
+    ctes = [f"e AS MATERIALIZED ({_FIRST})", "q AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE / any_value(n) AS share FROM e JOIN (SELECT dst, count(*) AS n FROM e GROUP BY 1) USING (dst) GROUP BY 1, 2)"]
+    unit = "SELECT DISTINCT user_id AS a, user_id AS b, 1.0::DOUBLE AS sim FROM events"
     ctes.append(f"s0 AS MATERIALIZED (SELECT a, b, sim * (1 - 0.8::DOUBLE) AS sim FROM ({unit}))" if matrix else f"s0 AS MATERIALIZED ({unit})")
     for k in range(1, n + 1):
         half = f"SELECT s.a, y.dst AS b, sum(s.sim * y.share) AS sim FROM s{k - 1} s JOIN q y ON y.src = s.b GROUP BY 1, 2"
@@ -349,24 +393,64 @@ def _sim_halt(n: int) -> str:
 
 @query(_sim_steps(3, False) + " SELECT a, b, round(sim, 6) AS sim FROM s3 WHERE a < b")
 def simrank_3(spark, d):
-    return simrank.simrank(nation_edges(spark, d), nations(spark, d), 0.8, max_steps=3, tolerance=0.0)[0].select("a", "b", F.round("sim", 6).alias("sim"))
+    return simrank.simrank(first_edges(spark, d), users(spark, d), 0.8, max_steps=3, tolerance=0.0)[0].select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(_sim_steps(3, True) + " SELECT a, b, round(sim, 6) AS sim FROM s3")
 def simrank_matrix_3(spark, d):
-    return simrank.simrank_matrix(nation_edges(spark, d), nations(spark, d), 0.8, max_steps=3, tolerance=0.0)[0].select("a", "b", F.round("sim", 6).alias("sim"))
+    return simrank.simrank_matrix(first_edges(spark, d), users(spark, d), 0.8, max_steps=3, tolerance=0.0)[0].select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(_sim_steps(100, False) + _sim_halt(100))
 def simrank_converged(spark, d):
-    sim, steps = simrank.simrank(nation_edges(spark, d), nations(spark, d), 0.8)
+    sim, steps = simrank.simrank(first_edges(spark, d), users(spark, d), 0.8)
+    return sim.select("a", "b", F.round("sim", 6).alias("sim"), F.lit(steps).alias("steps"))
+
+
+@query(_sim_steps(5, False) + " SELECT a, b, round(sim, 6) AS sim, 5 AS steps FROM s5 WHERE a < b")
+def simrank_blocks(spark, d):
+    """The same similarity on packed blocks."""
+    sim, changes = simrank.simrank_blocks(first_edges(spark, d), users(spark, d), 0.8, max_steps=5, tolerance=0.0)
+    return sim.select("a", "b", F.round("sim", 6).alias("sim"), F.lit(len(changes)).alias("steps"))
+
+
+def nation_edges(spark, d) -> DataFrame:
+    """From each customers' nation to the suppliers' nations of its earliest and its latest line of an order."""
+    read = _reader(spark, d)
+    orders = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", F.col("c_nationkey").cast("long").alias("src"))
+    lines = read("lineitem").join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", F.col("s_nationkey").cast("long").alias("dst"))
+    line = F.struct("o_orderdate", "l_orderkey", "l_linenumber", "dst")
+    ends = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("src").agg(F.min(line).alias("first"), F.max(line).alias("last"))
+    return ends.select("src", F.explode(F.array_distinct(F.array("first", "last"))).alias("e")).select("src", "e.dst")
+
+
+def nations(spark, d) -> DataFrame:
+    return read_table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+
+
+#: One pair after the other: a step of the recursion writes one value of the list of all pairs' values.
+_IN_PLACE = """WITH RECURSIVE l AS (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, o_orderdate, l_orderkey, l_linenumber FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey),
+    e AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY o_orderdate, l_orderkey, l_linenumber, dst) AS f, row_number() OVER (PARTITION BY src ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, dst DESC) AS z FROM l) WHERE f = 1 OR z = 1),
+    q AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE / any_value(n) AS share FROM e JOIN (SELECT dst, count(*) AS n FROM e GROUP BY 1) USING (dst) GROUP BY 1, 2),
+    r AS MATERIALIZED (SELECT x.dst AS a, y.dst AS b, least(x.src, y.src) AS p, greatest(x.src, y.src) AS q, sum(0.8 * x.share * y.share) AS w FROM q x JOIN q y ON x.dst < y.dst GROUP BY 1, 2, 3, 4),
+    k AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY a, b) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT a, b FROM r)),
+    o AS MATERIALIZED (SELECT k.k, k.n, list({{'w': r.w, 'k': coalesce(v.k, 0), 'one': r.p = r.q}}) AS reads FROM k JOIN r ON r.a = k.a AND r.b = k.b LEFT JOIN k v ON v.a = r.p AND v.b = r.q GROUP BY 1, 2),
+    t AS (SELECT 0 AS step, list_transform(range(n), lambda x: 0.0::DOUBLE) AS s FROM (SELECT any_value(n) AS n FROM k)
+        UNION ALL SELECT step + 1, list_concat(list_concat(s[1:o.k - 1], [list_sum(list_transform(o.reads, lambda x: x.w * CASE WHEN x.one THEN 1.0 WHEN x.k = 0 THEN 0.0 ELSE list_extract(s, x.k) END))]), s[o.k + 1:]) FROM t JOIN o ON o.k = step % o.n + 1 WHERE step < o.n * {sweeps})
+    SELECT a, b, round(list_extract(s, k), 6) AS sim, {sweeps} AS steps FROM k JOIN t ON step = n * {sweeps} WHERE list_extract(s, k) > 0"""
+
+
+@query(_IN_PLACE.format(sweeps=3))
+def simrank_in_place(spark, d):
+    """Three sweeps that read what they have written."""
+    sim, steps = simrank.simrank_in_place(nation_edges(spark, d), nations(spark, d), 0.8, max_steps=3, tolerance=0.0)
     return sim.select("a", "b", F.round("sim", 6).alias("sim"), F.lit(steps).alias("steps"))
 
 
 def _mc_steps(steps: int, rounds: int = 100) -> str:
     """Walks against the edges by the draws of uniform_draw, and where two walkers of a round first meet."""
-    ctes = [f"e AS MATERIALIZED (SELECT dst AS src, src AS dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS k FROM ({_NATION}))", "n AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY 1)"]
-    ctes.append(f"w0 AS MATERIALIZED (SELECT n_nationkey::BIGINT AS walker, r AS round, n_nationkey::BIGINT AS spot FROM nation, range({rounds}) t(r))")
+    ctes = [f"e AS MATERIALIZED (SELECT dst AS src, src AS dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS k FROM ({_FIRST}))", "n AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY 1)"]
+    ctes.append(f"w0 AS MATERIALIZED (SELECT walker, r AS round, walker AS spot FROM (SELECT DISTINCT user_id AS walker FROM events), range({rounds}) t(r))")
     ctes += [f"w{k + 1} AS MATERIALIZED (SELECT walker, round, e.dst AS spot FROM w{k} JOIN n ON n.src = spot JOIN e ON e.src = spot AND e.k = ('0x' || substr(md5(concat_ws(':', 1, round, walker, {k})), 1, 12))::BIGINT % n.n)" for k in range(steps)]
     spots = " UNION ALL ".join(f"SELECT {k} AS step, * FROM w{k}" for k in range(1, steps + 1))
     ctes.append(f"p AS MATERIALIZED ({spots})")
@@ -376,37 +460,37 @@ def _mc_steps(steps: int, rounds: int = 100) -> str:
 
 @query(_mc_steps(5) + " SELECT a, b, round(sum(pow(0.8::DOUBLE, step)) / 100, 6) AS sim FROM m GROUP BY 1, 2")
 def simrank_mc(spark, d):
-    return simrank.simrank_monte_carlo(graph.transpose(nation_edges(spark, d)), nations(spark, d), rounds=100, length=6, c=0.8).select("a", "b", F.round("sim", 6).alias("sim"))
+    return simrank.simrank_monte_carlo(graph.transpose(first_edges(spark, d)), users(spark, d), rounds=100, length=6, c=0.8).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query(_mc_steps(6) + ", s AS (SELECT a, b, round(sum(pow(0.8::DOUBLE, step)) / 100, 6) AS sim FROM m GROUP BY 1, 2) SELECT a, b, sim FROM s UNION ALL SELECT b, a, sim FROM s UNION ALL SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 1.0::DOUBLE FROM nation")
+@query(_mc_steps(6) + ", s AS (SELECT a, b, round(sum(pow(0.8::DOUBLE, step)) / 100, 6) AS sim FROM m GROUP BY 1, 2) SELECT a, b, sim FROM s UNION ALL SELECT b, a, sim FROM s UNION ALL SELECT DISTINCT user_id, user_id, 1.0::DOUBLE FROM events")
 def simrank_mc_meeting(spark, d):
-    return simrank.simrank_monte_carlo_meeting(nation_edges(spark, d), nations(spark, d), rounds=100, length=6, c=0.8).select("a", "b", F.round("sim", 6).alias("sim"))
+    return simrank.simrank_monte_carlo_meeting(first_edges(spark, d), users(spark, d), rounds=100, length=6, c=0.8).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(_sim_steps(5, False) + " SELECT a AS id, a || ': {' || string_agg(printf(' %d: %f,', b, sim), '' ORDER BY b) || '}' AS value FROM s5 WHERE a < b AND sim > 0 GROUP BY a")
 def simrank_lines(spark, d):
-    return similarity_lines(simrank.simrank(nation_edges(spark, d), nations(spark, d), 0.8, max_steps=5, tolerance=0.0)[0])
+    return similarity_lines(simrank.simrank(first_edges(spark, d), users(spark, d), 0.8, max_steps=5, tolerance=0.0)[0])
 
 
 @query(_mc_steps(5) + """, t AS (SELECT a, b, sim FROM s20 WHERE a < b), l AS (SELECT r.done AS round, a, b, sum(pow(0.8::DOUBLE, step)) / r.done AS sim FROM (SELECT unnest([25, 50, 75, 100]) AS done) r JOIN m ON m.round < r.done GROUP BY 1, 2, 3),
     c AS (SELECT coalesce(x.round, y.round + 25) AS round, max(abs(coalesce(x.sim, 0) - coalesce(y.sim, 0))) AS update FROM l x FULL JOIN (SELECT * FROM l WHERE round < 100) y ON x.round = y.round + 25 AND x.a = y.a AND x.b = y.b GROUP BY 1),
     g AS (SELECT r.done AS round, sum(abs(coalesce(l.sim, 0) - t.sim)) AS error FROM (SELECT unnest([25, 50, 75, 100]) AS done) r JOIN t ON true LEFT JOIN l ON l.round = r.done AND l.a = t.a AND l.b = t.b GROUP BY 1),
     h AS (SELECT l.round, sum(l.sim) AS error FROM l ANTI JOIN t ON l.a = t.a AND l.b = t.b GROUP BY 1)
-    SELECT c.round::INT AS round, round(update, 6) AS update, round((g.error + coalesce(h.error, 0)) / 300, 6) AS error FROM c JOIN g USING (round) LEFT JOIN h USING (round)""".replace("s20", "(" + _sim_steps(20, False) + " SELECT * FROM s20)"))
+    SELECT c.round::INT AS round, round(update, 6) AS update, round((g.error + coalesce(h.error, 0)) / (SELECT count(DISTINCT user_id) FROM events), 6) AS error FROM c JOIN g USING (round) LEFT JOIN h USING (round)""".replace("s20", "(" + _sim_steps(20, False) + " SELECT * FROM s20)"))
 def similarity_progress(spark, d):
     """How far the Monte-Carlo log of 25, 50, 75 and 100 rounds is from 20 exact sweeps."""
-    edges, ids, log = nation_edges(spark, d), nations(spark, d), scratch_path(spark, "log")
+    edges, ids, log = first_edges(spark, d), users(spark, d), scratch_path(spark, "log")
     simrank.simrank_monte_carlo(graph.transpose(edges), ids, rounds=100, length=6, c=0.8, batch=25, log=log)
     truth = simrank.simrank(edges, ids, 0.8, max_steps=20, tolerance=0.0)[0]
-    return metrics.progress(spark.read.parquet(log), truth, 300, 25).select("round", F.round("update", 6).alias("update"), F.round("error", 6).alias("error"))
+    return metrics.progress(spark.read.parquet(log), truth, ids.count(), 25).select("round", F.round("update", 6).alias("update"), F.round("error", 6).alias("error"))
 
 
 # Quality --------------------------------------------------------------------------------------------------
 
 
 def _two(spark, d) -> tuple[DataFrame, DataFrame]:
-    edges, ids = nation_edges(spark, d), nations(spark, d)
+    edges, ids = first_edges(spark, d), users(spark, d)
     one = simrank.simrank(edges, ids, 0.8, max_steps=2, tolerance=0.0)[0]
     three = simrank.simrank(edges, ids, 0.8, max_steps=4, tolerance=0.0)[0]
     clean = lambda m: m.select("a", "b", F.round("sim", 6).alias("sim"))
@@ -424,9 +508,9 @@ def value_error(spark, d):
 _RANKS = _TWO + ", xr AS (SELECT a, b, row_number() OVER (ORDER BY sim DESC, a, b) - 1 AS rank FROM x), yr AS (SELECT a, b, row_number() OVER (ORDER BY sim DESC, a, b) - 1 AS rank FROM y)"
 
 
-@query(_RANKS + ", m AS (SELECT least((SELECT count(*) FROM xr), (SELECT count(*) FROM yr)) AS n, abs((SELECT count(*) FROM xr) - (SELECT count(*) FROM yr)) AS d), t AS (SELECT sum(abs(CASE WHEN xr.rank < m.n THEN xr.rank ELSE 0 END - coalesce(yr.rank, 0)))::BIGINT AS displaced FROM xr FULL JOIN yr USING (a, b), m) SELECT displaced, (d * (d - 1) // 2)::BIGINT AS tail, (displaced + d * (d - 1) / 2) / (n + d) AS error, (displaced + d * (d - 1) / 2) * 2 / 25.0::DOUBLE / 26.0::DOUBLE AS error_of_all FROM t, m")
+@query(_RANKS + ", m AS (SELECT least((SELECT count(*) FROM xr), (SELECT count(*) FROM yr)) AS n, abs((SELECT count(*) FROM xr) - (SELECT count(*) FROM yr)) AS d), t AS (SELECT sum(abs(CASE WHEN xr.rank < m.n THEN xr.rank ELSE 0 END - coalesce(yr.rank, 0)))::BIGINT AS displaced FROM xr FULL JOIN yr USING (a, b), m) SELECT displaced, (d * (d - 1) // 2)::BIGINT AS tail, (displaced + d * (d - 1) / 2) / (n + d) AS error, (displaced + d * (d - 1) / 2) * 2 / u.ids / (u.ids + 1) AS error_of_all FROM t, m, (SELECT count(DISTINCT user_id)::DOUBLE AS ids FROM events) u")
 def rank_error(spark, d):
-    return metrics.rank_error(*_two(spark, d), 25)
+    return metrics.rank_error(*_two(spark, d), users(spark, d).count())
 
 
 @query(_RANKS + " SELECT a, b, rank FROM xr WHERE rank < 20")
@@ -434,5 +518,13 @@ def similarity_top(spark, d):
     return metrics.ranked(_two(spark, d)[0], 20).select("a", "b", "rank")
 
 
+@query(_sim_steps(3, False) + " SELECT a, b, round(sim, 6) AS sim, (row_number() OVER (ORDER BY round(sim, 6) DESC, a, b) - 1)::BIGINT AS rank FROM s3 WHERE a < b")
+def similarity_log(spark, d):
+    """Ranked similarities from a log of lines."""
+    path = scratch_path(spark, "log")
+    write_similarity(simrank_3(spark, d), path)
+    return metrics.ranked(read_similarity(spark, path))
+
+
 def flagship(spark, d) -> DataFrame:
     return join_hash(spark, d)

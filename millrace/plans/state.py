@@ -35,3 +35,23 @@ def cut(df: DataFrame, cached: bool = False) -> DataFrame:
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
+
+
+class Tables:
+    """Tables of one run in the shared folder, which cut lineage and outlive a lost executor. Unlike a checkpoint,
+    one can be dropped when it is used up, and read in parts by the columns it was written `by`."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, scratch_path(spark, name)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        df.write.mode("overwrite").partitionBy(*by).parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, name: str = "") -> None:
+        """Deletes one table, or all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
