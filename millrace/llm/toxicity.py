@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import defaultdict
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,6 +209,19 @@ def lexicon_of(counts: list[tuple[str, int, int]], rate: float) -> dict[str, flo
     return out
 
 
+def event_weights(seen: dict[tuple[str, int], int], rate: float) -> dict[str, float]:
+    """What each kind of event adds, from its counts in toxic (1) and clean (0) texts: the log-odds of its rate over
+    those of plain insults, which add nothing to what their words weigh, or for threats over those of `rate`; drawn
+    to DEFAULTS as if PRIOR events said so."""
+    odds = lambda r: logit(min(max(r, 1 - SURE), SURE))
+    share = lambda e, r: (seen.get((e, 1), 0) + PRIOR * r) / (seen.get((e, 0), 0) + seen.get((e, 1), 0) + PRIOR)
+    out = {}
+    for e, w in DEFAULTS.items():
+        base = odds(share("insult", 0.5)) if e.startswith("insult") else odds(rate)
+        out[e] = 0.0 if e == "insult" else odds(share(e, 1 / (1 + math.exp(-base - w)))) - base
+    return out
+
+
 def _calibrated(x, y, weight):
     """Logistic weights by Newton's method with a small ridge; slopes aren't negative."""
     beta = np.zeros(x.shape[1])
@@ -297,21 +308,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, docs_per_label: int = 20_00
     model = {"lexicon": {e: w for e, w in weights.items() if e.rstrip(" ") not in fixed}, "weights": dict(DEFAULTS), "beta": UNTAUGHT}
 
     def tally(grammar, text, y):
-        # Every event with the lexical weight of its clause, under the defaults.
-        for _, _, w, events_ in grammar.clauses(text):
-            for e in events_:
-                yield e, y, w - sum(DEFAULTS[x] for x in events_), 1
-
-    seen = _each(sample, model, tally, "event string, y int, w double, n long").groupBy("event", "y").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
-    by: dict = defaultdict(lambda: [0, 0, 0.0])
-    for r in seen:
-        by[r["event"]][r["y"]] += r["n"]
-        by[r["event"]][2] += r["w"]
-    for e, (neg, pos, w) in by.items():
-        mean = w / (neg + pos)
-        before = 1 / (1 + math.exp(-(logit(rate) + mean + DEFAULTS[e])))
-        now = (pos + PRIOR * before) / (pos + neg + PRIOR)
-        model["weights"][e] = max(-8.0, min(8.0, logit(min(max(now, 1e-6), 1 - 1e-6)) - logit(rate) - mean))
+        for *_, found_ in grammar.clauses(text):
+            for e in found_:
+                yield e, y
+
+    seen = _each(sample, model, tally, "event string, y int").groupBy("event", "y").agg(F.count("*").alias("n")).collect()
+    model["weights"] = event_weights({(r["event"], r["y"]): r["n"] for r in seen}, rate)
 
     def features(grammar, text, y):
         scores = [w for _, _, w, _ in grammar.clauses(text)]

@@ -85,6 +85,15 @@ def test_rates_stay_below_one():
     assert got["scou"] > 5 and all(math.isfinite(w) for w in got.values())
 
 
+def test_weights_of_events():
+    """Without counts, those of DEFAULTS; with counts, what they say against plain insults."""
+    none = toxicity.event_weights({}, 0.1)
+    assert all(abs(none[e] - w) < 1e-6 for e, w in DEFAULTS.items() if e != "insult") and none["insult"] == 0.0
+    seen = {("insult", 1): 900, ("insult", 0): 100, ("insult/n", 1): 10, ("insult/n", 0): 390, ("insult/r", 1): 900, ("insult/r", 0): 100, ("threat/t", 0): 500}
+    got = toxicity.event_weights(seen, 0.1)
+    assert got["insult"] == 0.0 and got["insult/n"] < -4 and abs(got["insult/r"]) < 0.3 and got["threat/t"] < 0.0
+
+
 def made(n, seed, toxic=0.2):
     """Clean prose, toxic prose with insults of a lexicon unknown to the library, and copies of one toxic text."""
     r = random.Random(seed)
