@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import graph, metrics, relational, simrank, textagg
+from millrace.plans.inbox import InboxProgram, run_inbox
 from millrace.plans.pregel import VertexProgram, pregel
 from millrace.plans.state import scratch_path
-from millrace.sources import TPCH, distance_lines, edge_headers, in_neighbours, out_degrees, rank_lines, read_delimited, read_edges, read_graph, read_keyed, read_lines, read_similarity, read_table, similarity_lines, wide_cells, write_edges, write_lines, write_similarity, write_vertices
+from millrace.sources import TPCH, CellTable, cells_of_rows, distance_lines, edge_headers, in_neighbours, out_degrees, rank_lines, read_delimited, read_edges, read_graph, read_keyed, read_lines, read_similarity, read_table, similarity_lines, wide_cells, write_edges, write_lines, write_similarity, write_vertices
 from millrace.spec import Ref
 
 #: The sample specs of the query language.
@@ -116,6 +117,18 @@ def join_delimited(spark, d):
     return _named(relational.run("R=nation S=region join:R2=S0 res:R1,S1", lambda name: read_delimited(spark, f"{folder}/{name}", TPCH[name])), r1="R1", s1="S1")
 
 
+@query("""SELECT c_custkey::VARCHAR AS row_key, 'res' AS family, q AS qualifier, v AS value FROM (SELECT c_custkey, 'R1' AS q, c_name AS v FROM customer UNION ALL SELECT c_custkey, 'R2', coalesce(n, c_nationkey)::VARCHAR FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey)
+    WHERE c_custkey::VARCHAR >= '10' AND c_custkey::VARCHAR < '5'""")
+def cell_table(spark, d):
+    """Cells that are put, some of them put again and some deleted, and then a range of keys."""
+    cells = CellTable(spark, scratch_path(spark, "cells")).create()
+    read = _reader(spark, d)
+    cells.put(cells_of_rows(read("customer"), "c_custkey", {"R1": "c_name", "R2": "c_nationkey", "R4": "c_mktsegment"}))
+    cells.put(cells_of_rows(read("orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "o_custkey", {"R2": "n"}))
+    cells.put(cells_of_rows(read("customer"), "c_custkey", {"R4": "c_mktsegment"}).withColumn("value", F.lit(None).cast("string")))
+    return cells.scan("10", "5")
+
+
 # Groups ---------------------------------------------------------------------------------------------------
 
 
@@ -367,6 +380,26 @@ def vertex_program(spark, d):
     return pregel(user_edges(spark, d), program)[0].select("id", "hops")
 
 
+def _second_steps(n: int) -> str:
+    ctes = [f"e AS MATERIALIZED ({_FIRST})", "v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)", "t0 AS MATERIALIZED (SELECT id, (id * 7919 % 1009)::DOUBLE AS value FROM v)"]
+    ctes += [f"t{k} AS MATERIALIZED (SELECT t.id, coalesce(m.value, t.value) AS value FROM t{k - 1} t LEFT JOIN (SELECT dst, value FROM (SELECT e.dst, value + weight AS value, row_number() OVER (PARTITION BY e.dst ORDER BY value + weight) AS r FROM e JOIN t{k - 1} s ON s.id = e.src WHERE weight IS NOT NULL) WHERE r = 2) m ON m.dst = t.id)" for k in range(1, n + 1)]
+    return "WITH " + ",\n".join(ctes)
+
+
+@query(_second_steps(4) + " SELECT id, round(value, 6) AS value FROM t4")
+def vertex_inbox(spark, d):
+    """A program that no combiner expresses: every vertex takes the second smallest of its messages, if it has two."""
+
+    def compute(step, vertices, inbox):
+        second = inbox.groupby("id", sort=False)["msg"].nth(1)
+        found = dict(zip(inbox.loc[second.index, "id"], second, strict=True))
+        value = [found.get(i, v) for i, v in zip(vertices["id"], vertices["value"], strict=True)]
+        return vertices.assign(value=value, send=value, halt=False)
+
+    program = InboxProgram("value double", {"value": (F.col("id") * 7919 % 1009).cast("double")}, "double", compute, lambda send, weight: send + weight)
+    return run_inbox(first_edges(spark, d), program, max_steps=5)[0].select("id", F.round("value", 6).alias("value"))
+
+
 # SimRank --------------------------------------------------------------------------------------------------
 
 
