@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.pregel import PROGRAMS, VertexProgram, pregel, register
-from millrace.plans.state import cut
+from millrace.plans.pregel import PROGRAMS, VertexProgram, pregel, register, vertices_of
+from millrace.plans.state import Tables, cut
 
 
 def transpose(edges: DataFrame) -> DataFrame:
@@ -126,3 +126,60 @@ def run_program(name: str, edges: DataFrame, vertices: DataFrame | None = None,
     if name not in PROGRAMS:
         raise ValueError(f"no program {name!r}; there are {', '.join(sorted(PROGRAMS))}")
     return pregel(edges, PROGRAMS[name](**arguments), vertices)[0]
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """u, v, up, down for every two vertices u < v that an edge joins: whether there is one from u to v, and from v to
+    u. Loops and further edges don't count."""
+    ends = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), (F.col("src") < F.col("dst")).alias("up"))
+    return ends.groupBy("u", "v").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down"))
+
+
+def directed_triangles(edges: DataFrame) -> DataFrame:
+    """One row (triangles, cycles, transitive): threes of vertices of which each two are joined, and among the ways
+    to choose one edge for each two of them, how many run in a circle and how many don't.
+
+    Vertices stand in the order of their degrees, and every pair is kept at its first vertex: so a wedge starts at the
+    vertex of least degree, a hub has few pairs of its own, and all wedges are at most the number of edges times the
+    root of twice it. Wedges meet the pair that closes them in an equi-join."""
+    pairs = cut(_joined(edges))
+    degree = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("deg"))
+    place = lambda end: degree.select(F.col("id").alias(end), F.struct("deg", "id").alias(f"p_{end}"))
+    ranked = pairs.join(place("u"), "u").join(place("v"), "v")
+    ahead = F.col("p_u") < F.col("p_v")
+    low, high = F.when(ahead, F.col("p_u")).otherwise(F.col("p_v")), F.when(ahead, F.col("p_v")).otherwise(F.col("p_u"))
+    arcs = cut(ranked.select(low.alias("a"), high.alias("b"), F.when(ahead, F.col("up")).otherwise(F.col("down")).alias("ab"), F.when(ahead, F.col("down")).otherwise(F.col("up")).alias("ba")))
+    other = arcs.select(F.col("a").alias("_a"), F.col("b").alias("c"), F.col("ab").alias("ac"), F.col("ba").alias("ca"))
+    wedges = arcs.join(other, (F.col("a") == F.col("_a")) & (F.col("b") < F.col("c"))).drop("_a")
+    closing = arcs.select(F.col("a").alias("_b"), F.col("b").alias("_c"), F.col("ab").alias("bc"), F.col("ba").alias("cb"))
+    found = wedges.join(closing, (F.col("b") == F.col("_b")) & (F.col("c") == F.col("_c")))
+    one = {c: F.col(c).cast("long") for c in ("ab", "ba", "ac", "ca", "bc", "cb")}
+    cycles = one["ab"] * one["bc"] * one["ca"] + one["ac"] * one["cb"] * one["ba"]
+    ways = (one["ab"] + one["ba"]) * (one["ac"] + one["ca"]) * (one["bc"] + one["cb"])
+    zero = F.lit(0).cast("long")
+    return found.agg(F.count("*").alias("triangles"), F.coalesce(F.sum(cycles), zero).alias("cycles"), F.coalesce(F.sum(ways - cycles), zero).alias("transitive"))
+
+
+def core_numbers(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """(id, core): the largest k for which the vertex is in a set of vertices that are each joined to at least k others
+    of it, whatever the edges' directions. Loops and further edges don't count.
+
+    Every vertex starts from its degree, and takes the largest k for which k of its neighbours have at least k (their
+    h-index), until none changes: that is its core number. A vertex's neighbours are counted by their values before
+    they meet, so a hub has a row for each value, not for each neighbour."""
+    kept = Tables(edges.sparkSession, "cores")
+    pairs = _joined(edges)
+    both = kept.write(pairs.select(F.col("u").alias("id"), F.col("v").alias("other")).union(pairs.select(F.col("v").alias("id"), F.col("u").alias("other"))), "pairs")
+    ids = (vertices if vertices is not None else vertices_of(edges)).select("id")
+    degree = both.groupBy("id").agg(F.count("*").alias("core"))
+    state, step = kept.write(ids.join(degree, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core")), "core-0"), 0
+    more = Window.partitionBy("id").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        seen = both.join(state.select(F.col("id").alias("other"), F.col("core").alias("value")), "other").groupBy("id", "value").agg(F.count("*").alias("n"))
+        index = seen.withColumn("n", F.sum("n").over(more)).groupBy("id").agg(F.max(F.least("value", "n")).alias("new"))
+        moved = state.join(index, "id", "left").select("id", F.least("core", F.coalesce("new", F.lit(0))).alias("core"), (F.col("core") > F.coalesce("new", F.lit(0))).alias("fell"))
+        moved = kept.write(moved, f"core-{step + 1}")
+        kept.drop(f"core-{step}")
+        state, step = moved, step + 1
+        if not state.where("fell").limit(1).count():
+            return state.select("id", "core")

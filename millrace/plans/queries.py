@@ -400,6 +400,25 @@ def vertex_inbox(spark, d):
     return run_inbox(first_edges(spark, d), program, max_steps=5)[0].select("id", F.round("value", 6).alias("value"))
 
 
+@query(f"""WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({_USERS}) WHERE src <> dst), u AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM e)
+    SELECT (SELECT count(*) FROM u x JOIN u y ON y.u = x.v JOIN u z ON z.u = x.u AND z.v = y.v) AS triangles,
+        (SELECT count(*) // 3 FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = y.dst AND z.dst = x.src)::BIGINT AS cycles,
+        (SELECT count(*) FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst) AS transitive""")
+def directed_triangles(spark, d):
+    return graph.directed_triangles(user_edges(spark, d))
+
+
+def _core_steps(n: int) -> str:
+    ctes = [f"e AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT src AS id, dst AS other FROM ({_FIRST}) UNION ALL SELECT dst, src FROM ({_FIRST})) WHERE id <> other)", "c0 AS MATERIALIZED (SELECT id, count(*) AS core FROM e GROUP BY 1)"]
+    ctes += [f"c{k} AS MATERIALIZED (SELECT id, max(least(core, r)) AS core FROM (SELECT e.id, c.core, row_number() OVER (PARTITION BY e.id ORDER BY c.core DESC) AS r FROM e JOIN c{k - 1} c ON c.id = e.other) GROUP BY 1)" for k in range(1, n + 1)]
+    return "WITH " + ",\n".join(ctes)
+
+
+@query(_core_steps(40) + " SELECT id, core FROM c40")
+def core_numbers(spark, d):
+    return graph.core_numbers(first_edges(spark, d))
+
+
 # SimRank --------------------------------------------------------------------------------------------------
 
 

@@ -279,3 +279,44 @@ def test_simrank_in_place_takes_fewer_sweeps(spark):
     got = {(r.a, r.b): r.sim for r in sim.collect()}
     assert steps == brute_in_place(8, SMALL, 0.6)[1] == 12
     assert all(abs(got[p] - v) < 1e-6 for p, v in {(1, 2): 0.322451, (3, 5): 0.309370, (0, 6): 0.201720, (4, 6): 0.185622}.items())
+
+
+def test_crowds_of_walkers(spark, monkeypatch):
+    """A hub where nearly all walkers stand, dealt into blocks: the same meetings, and no key with more than a few blocks."""
+    edges = edges_of(spark, [(k, 0, 1) for k in range(1, 90)] + [(0, 1, 1), (0, 2, 1), (5, 6, 1)])
+    walks = simrank._walks(edges, spark.range(90), range(4), 4, 1).persist()
+    whole = rows(simrank._meetings(walks))
+    monkeypatch.setattr(simrank, "CROWD", 7)
+    assert rows(simrank._meetings(walks)) == whole and len(whole) > 4000
+    monkeypatch.setattr(simrank, "CROWD", 1)
+    assert rows(simrank._meetings(walks)) == whole
+    walks.unpersist()
+
+
+def brute_triangles(n, edges):
+    e = {(a, b) for a, b, *_ in edges if a != b}
+    threes = [(a, b, c) for a in range(n) for b in range(n) for c in range(n) if len({a, b, c}) == 3]
+    joined = lambda a, b: (a, b) in e or (b, a) in e
+    triangles = sum(a < b < c and joined(a, b) and joined(b, c) and joined(a, c) for a, b, c in threes)
+    cycles = sum((a, b) in e and (b, c) in e and (c, a) in e for a, b, c in threes) // 3
+    return triangles, cycles, sum((a, b) in e and (b, c) in e and (a, c) in e for a, b, c in threes)
+
+
+@pytest.mark.parametrize("edges", [some_edges(14, 70, 1), some_edges(20, 60, 2) + [(0, k, 1) for k in range(20)] + [(k, 0, 1) for k in range(5)], [(0, 1, 1), (1, 2, 1)], [(3, 3, 1)]])
+def test_directed_triangles(spark, edges):
+    assert rows(graph.directed_triangles(edges_of(spark, edges))) == [brute_triangles(20, edges)]
+
+
+def test_core_numbers(spark):
+    edges = some_edges(30, 90, 4) + [(a, b, 1) for a in range(6) for b in range(6)] + [(29, k, 1) for k in range(29)] + [(30, 31, 1), (31, 30, 1)]
+    near = {v: {b for a, b, *_ in edges if a == v} | {a for a, b, *_ in edges if b == v} for v in range(33)}
+    core, left = {}, {v: x - {v} for v, x in near.items()}
+    k = 0
+    while left:
+        k += 1
+        while gone := [v for v, x in left.items() if len(x) < k]:
+            for v in gone:
+                core[v] = k - 1
+            left = {v: x - set(gone) for v, x in left.items() if v not in gone}
+    assert dict(rows(graph.core_numbers(edges_of(spark, edges), spark.range(33)))) == core and len(set(core.values())) > 3
+    assert rows(graph.core_numbers(edges_of(spark, edges).limit(0))) == []
