@@ -33,6 +33,15 @@ def test_edges(spark, tmp_path):
     assert rows(read_edges(spark, str(tmp_path / "bare"), default_weight=1.0).select("src", "dst")) == rows(e.select("src", "dst"))
 
 
+def test_six_places_are_those_of_c(spark):
+    """Ties of the shortest decimal text, which the double's exact value lies below, on or above."""
+    values = [k / 1e7 for k in range(5, 20_000_000, 99_990)] + [0.6929375, 0.5, 2.0**-7, 3 * 2.0**-7, 0.0, 123456789.0000005]
+    r = spark.createDataFrame(list(enumerate(values)), "id long, rank double")
+    assert dict(rows(rank_lines(r))) == {i: f"{i}: {v:f}" for i, v in enumerate(values)}
+    s = spark.createDataFrame([(0, i + 1, v) for i, v in enumerate(values)], "a long, b long, sim double")
+    assert similarity_lines(s).first()["value"] == "0: {" + "".join(f" {i + 1}: {v:f}," for i, v in enumerate(values)) + "}"
+
+
 def test_vertex_lines(spark, tmp_path):
     r = spark.createDataFrame([(0, 1.5), (1, 0.15)], "id long, rank double")
     assert rows(rank_lines(r)) == [(0, "0: 1.500000"), (1, "1: 0.150000")]
