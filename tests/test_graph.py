@@ -273,6 +273,21 @@ def test_simrank_in_place(spark, edges, n, sweeps):
     assert all(abs(v - want[p]) < 1e-12 for p, v in have.items())
 
 
+def test_plans_of_levels_do_not_grow(spark, monkeypatch):
+    """What a level or a sweep is computed from is a table, however many levels came before."""
+    sizes, write = {}, simrank.Tables.write
+
+    def seen(self, df, name, *by):
+        sizes[name] = len(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, df, name, *by)
+
+    monkeypatch.setattr(simrank.Tables, "write", seen)
+    simrank.simrank_in_place(edges_of(spark, some_edges(9, 20, 8)), spark.range(10), 0.8, max_steps=2, tolerance=0.0)
+    levels = max(int(n.partition("-")[2]) for n in sizes if n.startswith("level-")) - 1
+    late = max(v for n, v in sizes.items() if n.startswith("sweep-"))
+    assert levels >= 5 and late <= 1.5 * sizes["level-2"], (levels, late, sizes["level-2"])
+
+
 def test_simrank_in_place_takes_fewer_sweeps(spark):
     """12 instead of 21 on the known graph at c = 0.6, to the same values."""
     sim, steps = simrank.simrank_in_place(edges_of(spark, [(a, b, 1) for a, b in SMALL]), spark.range(8), 0.6)
