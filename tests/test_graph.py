@@ -273,6 +273,17 @@ def test_simrank_in_place(spark, edges, n, sweeps):
     assert all(abs(v - want[p]) < 1e-12 for p, v in have.items())
 
 
+def test_converged_similarity_leaves_no_sweeps_behind(spark, monkeypatch):
+    """Sweeps are tables that are dropped, not checkpoints that stay until the session ends."""
+    edges, left, dropped, cut, drop = edges_of(spark, [(0, 1, 1), (0, 2, 1), (1, 3, 1), (2, 4, 1)]), [], [], simrank.cut, simrank.Tables.drop
+    monkeypatch.setattr(queries, "first_edges", lambda *_: edges)
+    monkeypatch.setattr(queries, "users", lambda *_: spark.range(5).select("id"))
+    monkeypatch.setattr(simrank, "cut", lambda df: left.append(df) or cut(df))
+    monkeypatch.setattr(simrank.Tables, "drop", lambda self, name="": dropped.append(name) or drop(self, name))
+    assert rows(queries.simrank_converged(spark, "")) == [(1, 2, 0.8, 3), (3, 4, 0.64, 3)]
+    assert not left and dropped == ["sweep-1", "sweep-2"]
+
+
 def test_plans_of_levels_do_not_grow(spark, monkeypatch):
     """What a level or a sweep is computed from is a table, however many levels came before."""
     sizes, write = {}, simrank.Tables.write
