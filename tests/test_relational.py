@@ -1,9 +1,11 @@
 import numpy as np
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from millrace.functions import COMPARISONS, compare, decimal_format, fields, number, tokens, uniform_draw
 from millrace.operators import relational
+from millrace.plans import state
 from millrace.sources import cells_of_groups, wide_cells, write_table
 from millrace.spec import Ref, parse
 
@@ -104,3 +106,16 @@ def test_scalars(spark):
     assert pick(decimal_format(F.lit(0.125), 2)) == ".12" and pick(decimal_format(F.lit(12.3), 3)) == "12.300"
     draws = [r[0] for r in spark.range(3000).select(uniform_draw(F.lit(3), F.col("id"), F.lit(7))).collect()]
     assert all(abs(draws.count(k) - 1000) < 100 for k in range(3)) and pick(uniform_draw(F.lit(0), F.lit(7))) is None
+
+
+@pytest.mark.parametrize("how", ["hash", "sort"])
+def test_cells_of_many_rows_are_dealt_into_more_parts(spark, monkeypatch, how):
+    """A task sorts about TASK_ROWS rows, whatever the session's number of partitions; the cells are the same."""
+    r = spark.range(3000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v"))
+    s = spark.range(1000).select((F.col("id") % 900).alias("k"), (F.col("id") * 3).alias("w"))
+    cells = lambda: relational.run_cells("R=R S=S join:R0=S0 res:R1,S1", {"R": r, "S": s}.get, how, r_order=["v"], s_order=["w"])
+    want = rows(cells())
+    monkeypatch.setattr(state, "TASK_ROWS", 100)
+    got = cells()
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 30
+    assert rows(got) == want and len(want) > 3000
