@@ -6,6 +6,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import relational
+from millrace.plans import queries, state
 from millrace.sources import read_delimited, read_graph, read_lines, read_similarity_records, with_lines, write_edges
 
 
@@ -108,3 +109,24 @@ def test_records_are_read_in_splits(spark, tmp_path):
     (tmp_path / "torn").write_bytes(b"x" * 30)
     with pytest.raises(Exception, match="EOFException"):
         read_similarity_records(spark, str(tmp_path / "torn")).count()
+
+
+@pytest.mark.parametrize("name", ["join_cells_lines", "join_cells_lines_hash"])
+def test_files_and_joins_of_lines_grow_in_number(spark, sf_dir, monkeypatch, name):
+    """Tables are written as files of about TASK_ROWS lines, and lines are placed by one number over all of them."""
+    read, out = queries.read_delimited, []
+    monkeypatch.setattr(queries, "read_delimited", lambda spark, path, *a, **b: out.append(path) or read(spark, path, *a, **b))
+    want = rows(queries.QUERIES[name](spark, sf_dir))
+    monkeypatch.setattr(state, "TASK_ROWS", 500)
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert len(read_lines(spark, out[-2]).inputFiles()) >= 10
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() >= 10
+    assert rows(got) == want
+
+
+def test_places_over_all_files(spark, tmp_path, small_splits):
+    for name, n in (("a", 900), ("b", 0), ("c", 1), ("d", 40)):
+        (tmp_path / name).write_text("".join(f"{name}{k:04d}\n" for k in range(n)))
+    placed, count = relational._placed(with_lines(read_lines(spark, *[str(tmp_path / n) for n in "abcd"])))
+    assert count == 941
+    assert [r["_place"] for r in placed.orderBy("value").collect()] == list(range(941))
