@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.relational import ranked_rows
 from millrace.plans.pregel import PROGRAMS, VertexProgram, pregel, register, vertices_of
-from millrace.plans.state import Tables, cut
+from millrace.plans.state import Tables, cut, parts_for
 
 
 def transpose(edges: DataFrame) -> DataFrame:
@@ -139,23 +140,35 @@ def directed_triangles(edges: DataFrame) -> DataFrame:
     """One row (triangles, cycles, transitive): threes of vertices of which each two are joined, and among the ways
     to choose one edge for each two of them, how many run in a circle and how many don't.
 
-    Vertices stand in the order of their degrees, and every pair is kept at its first vertex: so a wedge starts at the
-    vertex of least degree, a hub has few pairs of its own, and all wedges are at most the number of edges times the
-    root of twice it. Wedges meet the pair that closes them in an equi-join."""
+    Vertices are numbered in the order of their degrees, and every pair is kept at its first vertex: so a hub has few
+    pairs of its own, and no vertex more than the root of twice the number of edges. A pair takes what follows it in its first
+    vertex's list to the list of its second vertex, which it shares with the third vertices of its triangles: a row
+    for each pair, not for each wedge, and only triangles become rows."""
+    spark = edges.sparkSession
     pairs = cut(_joined(edges))
     degree = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("deg"))
-    place = lambda end: degree.select(F.col("id").alias(end), F.struct("deg", "id").alias(f"p_{end}"))
-    ranked = pairs.join(place("u"), "u").join(place("v"), "v")
-    ahead = F.col("p_u") < F.col("p_v")
-    low, high = F.when(ahead, F.col("p_u")).otherwise(F.col("p_v")), F.when(ahead, F.col("p_v")).otherwise(F.col("p_u"))
-    arcs = cut(ranked.select(low.alias("a"), high.alias("b"), F.when(ahead, F.col("up")).otherwise(F.col("down")).alias("ab"), F.when(ahead, F.col("down")).otherwise(F.col("up")).alias("ba")))
-    other = arcs.select(F.col("a").alias("_a"), F.col("b").alias("c"), F.col("ab").alias("ac"), F.col("ba").alias("ca"))
-    wedges = arcs.join(other, (F.col("a") == F.col("_a")) & (F.col("b") < F.col("c"))).drop("_a")
-    closing = arcs.select(F.col("a").alias("_b"), F.col("b").alias("_c"), F.col("ab").alias("bc"), F.col("ba").alias("cb"))
-    found = wedges.join(closing, (F.col("b") == F.col("_b")) & (F.col("c") == F.col("_c")))
-    one = {c: F.col(c).cast("long") for c in ("ab", "ba", "ac", "ca", "bc", "cb")}
-    cycles = one["ab"] * one["bc"] * one["ca"] + one["ac"] * one["cb"] * one["ba"]
-    ways = (one["ab"] + one["ba"]) * (one["ac"] + one["ca"]) * (one["bc"] + one["cb"])
+    place = cut(ranked_rows(degree, F.col("deg"), F.col("id")).select("id", "rank"))
+    number = lambda end: place.select(F.col("id").alias(end), F.col("rank").alias(f"p_{end}"))
+    ranked = pairs.join(number("u"), "u").join(number("v"), "v")
+    # How the first of the two stands to the second: 1 for an edge to it, 2 for one from it, 3 for both.
+    ahead, up, down = F.col("p_u") < F.col("p_v"), F.col("up").cast("tinyint"), F.col("down").cast("tinyint")
+    way = F.when(ahead, up + down * F.lit(2).cast("tinyint")).otherwise(down + up * F.lit(2).cast("tinyint")).cast("tinyint")
+    arcs = ranked.select(F.least("p_u", "p_v").alias("a"), F.greatest("p_u", "p_v").alias("b"), way.alias("way"))
+    lists = cut(arcs.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("b", "way"))).alias("l")).select("a", F.col("l.b").alias("to"), F.col("l.way").alias("ways")))
+    first = lists.select(F.posexplode("to").alias("k", "b"), "to", "ways")
+    rest = lambda c: F.slice(c, F.col("k") + 2, F.size(c))
+    first = first.where(F.col("k") + 1 < F.size("to")).select("b", F.get("ways", F.col("k")).alias("ab"), rest("to").alias("to"), rest("ways").alias("ways"))
+    parts = parts_for(spark, 2 * (lists.agg(F.sum(F.size("to"))).first()[0] or 0))
+    second = lists.select(F.col("a").alias("_b"), F.col("to").alias("_to"), F.col("ways").alias("_ways")).repartition(parts, "_b")
+    met = first.repartition(parts, "b").join(second.hint("shuffle_hash"), F.col("b") == F.col("_b"))
+    met = met.withColumn("both", F.array_intersect("to", "_to")).where(F.size("both") > 0)
+    found = met.select("ab", "to", "ways", "_to", "_ways", F.explode("both").alias("c"))
+    way_of = lambda to, ways: F.get(ways, (F.array_position(to, F.col("c")) - 1).cast("int"))
+    found = found.select("ab", way_of("to", "ways").alias("ac"), way_of("_to", "_ways").alias("bc"))
+    there = {c: F.col(c).bitwiseAND(1).cast("long") for c in ("ab", "ac", "bc")}
+    back = {c: F.shiftright(F.col(c).cast("int"), 1).cast("long") for c in ("ab", "ac", "bc")}
+    cycles = there["ab"] * there["bc"] * back["ac"] + there["ac"] * back["bc"] * back["ab"]
+    ways = (there["ab"] + back["ab"]) * (there["ac"] + back["ac"]) * (there["bc"] + back["bc"])
     zero = F.lit(0).cast("long")
     return found.agg(F.count("*").alias("triangles"), F.coalesce(F.sum(cycles), zero).alias("cycles"), F.coalesce(F.sum(ways - cycles), zero).alias("transitive"))
 

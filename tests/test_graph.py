@@ -333,6 +333,32 @@ def test_directed_triangles(spark, edges):
     assert rows(graph.directed_triangles(edges_of(spark, edges))) == [brute_triangles(20, edges)]
 
 
+def joined_rows(df):
+    """The rows that each join of a frame gave, once it has run."""
+    df = df.agg(*[F.sum(c) for c in df.columns])
+    df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif "Join" in kind:
+            out.append(node.metrics().get("numOutputRows").get().value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return out
+
+
+def test_triangles_join_a_row_for_each_pair(spark):
+    """Thirty vertices joined to thirty others have 900 pairs, 13,050 wedges and no triangle."""
+    got = graph.directed_triangles(edges_of(spark, [(a, b, 1) for a in range(30) for b in range(30, 60)]))
+    assert rows(got) == [(0, 0, 0)]
+    made = joined_rows(got)
+    assert made and max(made) <= 900
+
+
 def test_core_numbers(spark):
     edges = some_edges(30, 90, 4) + [(a, b, 1) for a in range(6) for b in range(6)] + [(29, k, 1) for k in range(29)] + [(30, 31, 1), (31, 30, 1)]
     near = {v: {b for a, b, *_ in edges if a == v} | {a for a, b, *_ in edges if b == v} for v in range(33)}
