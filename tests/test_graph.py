@@ -6,9 +6,9 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import graph, metrics, simrank
-from millrace.plans import queries
+from millrace.plans import queries, state
 from millrace.plans.pregel import PROGRAMS, VertexProgram, check_ids, pregel, vertices_of
-from millrace.sources import edge_headers
+from millrace.sources import edge_headers, similarity_lines
 
 
 def edges_of(spark, edges):
@@ -319,6 +319,24 @@ def test_crowds_of_walkers(spark, monkeypatch):
     walks.unpersist()
 
 
+@pytest.mark.parametrize("method", [simrank.simrank, simrank.simrank_matrix])
+def test_similarity_is_dealt_by_counts(spark, monkeypatch, method):
+    """Sweeps and lists of many cells get more parts than the session's, whose settings hold afterwards."""
+    edges, ids = edges_of(spark, some_edges(40, 120, 9)), spark.range(40)
+    found = lambda: method(edges, ids, 0.8, max_steps=2, tolerance=0.0)[0]
+    shown = lambda m: rows(m.select("a", "b", F.round("sim", 9)))
+    few = found()
+    settings = {c: spark.conf.get(c) for c in (state.SHUFFLE, state.COALESCE)}
+    monkeypatch.setattr(state, "TASK_ROWS", 20)
+    many = found()
+    assert {c: spark.conf.get(c) for c in settings} == settings
+    assert many.rdd.getNumPartitions() > 30
+    assert shown(many) == shown(few) and len(shown(few)) > 500
+    lines = similarity_lines(many)
+    assert lines.rdd.getNumPartitions() > 20
+    assert [r.id for r in lines.orderBy("id").collect()] == sorted({a for a, b, _ in shown(few) if a < b})
+
+
 def brute_triangles(n, edges):
     e = {(a, b) for a, b, *_ in edges if a != b}
     threes = [(a, b, c) for a in range(n) for b in range(n) for c in range(n) if len({a, b, c}) == 3]
