@@ -284,6 +284,32 @@ def test_converged_similarity_leaves_no_sweeps_behind(spark, monkeypatch):
     assert not left and dropped == ["sweep-1", "sweep-2"]
 
 
+@pytest.mark.parametrize("name", ["simrank_converged", "similarity_progress"])
+def test_exact_queries_keep_numbers_of_vertices(spark, monkeypatch, name):
+    """A graph whose vertices are all similar: no table of the exact sweeps holds its pairs, and progress asks for
+    the similarities of the pairs that met alone."""
+    n, sizes, asked, write, exact = 60, {}, [], simrank.Tables.write, simrank.simrank_blocks
+
+    def seen(self, df, name, *by):
+        sizes[name] = (out := write(self, df, name, *by)).count()
+        return out
+
+    def run(*given, **named):
+        asked.append(named.get("pairs"))
+        return exact(*given, **named)
+
+    monkeypatch.setattr(queries, "first_edges", lambda *_: edges_of(spark, [(0, k, 1) for k in range(1, n)]))
+    monkeypatch.setattr(queries, "users", lambda *_: spark.range(n).select("id"))
+    monkeypatch.setattr(simrank.Tables, "write", seen)
+    monkeypatch.setattr(simrank, "simrank_blocks", run)
+    got = rows(queries.QUERIES[name](spark, ""))
+    assert "sweep-1" in sizes and max(sizes.values()) <= n
+    if name == "simrank_converged":
+        assert len(got) == (n - 1) * (n - 2) // 2 and {r[2:] for r in got} == {(0.8, 2)}
+    else:
+        assert asked[0] is not None and {r[0] for r in got} == {25, 50, 75, 100} and {r[2] for r in got} == {0.0}
+
+
 def test_plans_of_levels_do_not_grow(spark, monkeypatch):
     """What a level or a sweep is computed from is a table, however many levels came before."""
     sizes, write = {}, simrank.Tables.write
